@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.operators.panel import BLOCK, block_running, blocks_before, guard, rows, win
+from tidemark.operators.panel import BLOCK, block_running, blocks_before, rows, running, win
 
 
 @dataclass(frozen=True, eq=False)
@@ -60,29 +60,55 @@ def lag(x: Feature, k: int = 1) -> Feature:
     return feature(f"{x.name}_l{k}", [x], lambda: F.lag(x.c, k).over(win()))
 
 
-def sma(x: Feature, n: int) -> Feature:
-    return feature(f"{x.name}_sma{n}", [x], lambda: guard(n, x.c, F.avg(x.c).over(rows(n)), rows(n)))
+def guard(n: int, x: Feature, value: Column, skip: int = 0, holes: bool = False) -> Column:
+    """``value`` only where all n bars of the window carry a defined x. Most series are undefined
+    only at their head, so looking at the oldest bar is enough; ``holes`` counts them all."""
+    if holes:
+        return F.when(F.count(x.c).over(rows(n, skip)) == n, value)
+    if n + skip == 1:
+        return F.when(x.c.isNotNull(), value)
+    return F.when(F.lag(x.c, n - 1 + skip).over(win()).isNotNull(), value)
 
 
-def std(x: Feature, n: int) -> Feature:
-    return feature(f"{x.name}_std{n}", [x],
-                   lambda: guard(n, x.c, F.stddev_pop(x.c).over(rows(n)), rows(n)))
+def prefix(x: Feature) -> tuple[Feature, Feature]:
+    """(running sum inside the 512-bar block, total of the block before)."""
+    p = feature(f"{x.name}_ps", [x],
+                lambda: F.sum(F.coalesce(x.c, F.lit(0.0))).over(block_running()))
+    t = feature(f"{x.name}_pt", [x],
+                lambda: F.coalesce(F.sum(x.c).over(blocks_before(1)), F.lit(0.0)))
+    return p, t
+
 
+def rsum(x: Feature, n: int, holes: bool = False) -> Feature:
+    """Sum of the last n bars (n <= 512) from two running sums: constant work per bar for any n,
+    and rounding that cannot build up past a block."""
+    p, t = prefix(x)
+
+    def e():
+        at = pos_in_block()
+        old = F.lag(p.c, n).over(win())
+        total = F.when(at >= n, p.c - old).when(at == n - 1, p.c).otherwise(p.c + (t.c - old))
+        return guard(n, x, total, holes=holes)
+    return feature(f"{x.name}_sum{n}", [x, p, t], e)
 
-def rsum(x: Feature, n: int) -> Feature:
-    return feature(f"{x.name}_sum{n}", [x], lambda: guard(n, x.c, F.sum(x.c).over(rows(n)), rows(n)))
+
+def sma(x: Feature, n: int, holes: bool = False) -> Feature:
+    s = rsum(x, n, holes)
+    return feature(f"{x.name}_sma{n}", [s], lambda: s.c / n)
+
+
+def std(x: Feature, n: int) -> Feature:
+    return feature(f"{x.name}_std{n}", [x], lambda: guard(n, x, F.stddev_pop(x.c).over(rows(n))))
 
 
 def rmax(x: Feature, n: int, skip: int = 0) -> Feature:
-    w = lambda: rows(n, skip)
     return feature(f"{x.name}_max{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x.c, F.max(x.c).over(w()), w()))
+                   lambda: guard(n, x, F.max(x.c).over(rows(n, skip)), skip))
 
 
 def rmin(x: Feature, n: int, skip: int = 0) -> Feature:
-    w = lambda: rows(n, skip)
     return feature(f"{x.name}_min{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x.c, F.min(x.c).over(w()), w()))
+                   lambda: guard(n, x, F.min(x.c).over(rows(n, skip)), skip))
 
 
 def roc(x: Feature, n: int) -> Feature:
@@ -96,7 +122,7 @@ def roc(x: Feature, n: int) -> Feature:
 def slope(x: Feature, n: int) -> Feature:
     """Least-squares slope against 0..n-1."""
     return feature(f"{x.name}_slope{n}", [x], lambda: guard(
-        n, x.c, F.regr_slope(x.c, F.col("bar_idx").cast("double")).over(rows(n)), rows(n)))
+        n, x, F.regr_slope(x.c, F.col("bar_idx").cast("double")).over(rows(n))))
 
 
 def rank_pct(x: Feature, n: int) -> Feature:
@@ -157,15 +183,22 @@ def affine(name: str, u: Feature, q: float, first: int) -> Feature:
     return feature(name, [p], e)
 
 
+def _first(x: Feature, start: int, n: int) -> Column:
+    """Sum of the n values from bar ``start`` on, read at the last of them: a running sum, because
+    a sliding one would do n updates on every bar for a value needed once."""
+    return F.sum(F.when(F.col("bar_idx").between(start, start + n - 1), x.c)).over(running())
+
+
 def smooth(name: str, x: Feature, n: int, alpha: float, start: int, seed: str = "mean") -> Feature:
     """Exponential smoothing of x (defined from bar ``start``) seeded by the mean of its first n
     values at bar start+n-1, or by the first value itself (``seed='first'``)."""
     at = start + n - 1 if seed == "mean" else start
-    s = sma(x, n) if seed == "mean" else x
-    i = F.col
-    u = feature(f"{name}_u", [x, s], lambda: F.when(i("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)) * alpha)
-                .when(i("bar_idx") == at, s.c).otherwise(0.0))
-    return affine(name, u, 1.0 - alpha, at)
+
+    def e():
+        first = _first(x, start, n) / n if seed == "mean" else x.c
+        return (F.when(F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)) * alpha)
+                .when(F.col("bar_idx") == at, first).otherwise(0.0))
+    return affine(name, feature(f"{name}_u", [x], e), 1.0 - alpha, at)
 
 
 def ema(x: Feature, n: int, start: int = 0) -> Feature:
@@ -179,10 +212,9 @@ def wilder(x: Feature, n: int, start: int) -> Feature:
 def wilder_sum(x: Feature, n: int, start: int) -> Feature:
     """Decayed running sum: plain sum of the first n-1 values, then y = y·(1-1/n) + x."""
     at = start + n - 2
-    s = rsum(x, n - 1)
-    u = feature(f"{x.name}_wsum{n}_u", [x, s],
-                lambda: F.when(F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)))
-                .when(F.col("bar_idx") == at, s.c).otherwise(0.0))
+    u = feature(f"{x.name}_wsum{n}_u", [x], lambda: F.when(
+        F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)))
+        .when(F.col("bar_idx") == at, _first(x, start, n - 1)).otherwise(0.0))
     return affine(f"{x.name}_wsum{n}", u, 1.0 - 1.0 / n, at + 1)
 
 
@@ -286,7 +318,7 @@ def aroon(n: int = 25) -> tuple[Feature, Feature]:
     def age(pick, x, sgn):
         at = pick(F.struct(x.alias("x"), (F.col("bar_idx") * sgn).alias("i"))).over(rows(n + 1))
         return F.col("bar_idx") - at["i"] * sgn
-    full = lambda: F.count(HIGH.c).over(rows(n + 1)) == n + 1
+    full = lambda: F.lag(HIGH.c, n).over(win()).isNotNull()
     up = row(f"aroon_up{n}", [HIGH, IDX], lambda: F.when(
         full(), 100.0 * (n - age(F.max, HIGH.c, 1)) / n))
     dn = row(f"aroon_dn{n}", [LOW, IDX], lambda: F.when(
@@ -319,13 +351,14 @@ def willr(n: int = 14) -> Feature:
 
 
 def cci(n: int = 20) -> Feature:
+    mean = sma(TYPICAL, n)
+
     def e():
         arr = F.collect_list(TYPICAL.c).over(rows(n))
-        mean = F.avg(TYPICAL.c).over(rows(n))
-        mad = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
-        return F.when(F.size(arr) == n, F.when(mad > 0, (TYPICAL.c - mean) / (0.015 * mad))
+        mad = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean.c)) / n
+        return F.when(mean.c.isNotNull(), F.when(mad > 0, (TYPICAL.c - mean.c) / (0.015 * mad))
                       .otherwise(0.0))
-    return feature(f"cci{n}", [TYPICAL], e)
+    return feature(f"cci{n}", [TYPICAL, mean], e)
 
 
 SIGNED_VOLUME = row("obv_step", [CLOSE, _PC, VOLUME], lambda: F.when(
@@ -404,7 +437,7 @@ def prior_extreme(high_side: bool, far: int = 100, near: int = 10) -> Feature:
         w = win().rowsBetween(-far, -near)
         s = F.struct(CLOSE.c.alias("c"), (F.col("bar_idx") * (-1 if high_side else 1)).alias("i"),
                      AO.c.alias("ao"))
-        return F.when(F.count(CLOSE.c).over(w) == far - near + 1,
+        return F.when(F.lag(CLOSE.c, far).over(win()).isNotNull(),
                       (F.max(s) if high_side else F.min(s)).over(w))
     return feature("prior_hi" if high_side else "prior_lo", [AO, CLOSE, IDX], e)
 
@@ -416,7 +449,7 @@ RS_TERM = row("rs_term", [OPEN, HIGH, LOW, CLOSE], lambda: F.when(
 
 
 def rs_vol(n: int = 24) -> Feature:
-    m = sma(RS_TERM, n)
+    m = sma(RS_TERM, n, holes=True)
     return row(f"rs_vol{n}", [m], lambda: F.sqrt(m.c))
 
 
@@ -432,10 +465,10 @@ def nvi_rel() -> Feature:
 # ------------------------------------------------------------------ swing structure
 
 FR_HI = feature("fractal_hi", [HIGH], lambda: F.when(
-    (F.count(HIGH.c).over(rows(5)) == 5) & (F.lag(HIGH.c, 2).over(win()) == F.max(HIGH.c).over(rows(5))),
+    F.lag(HIGH.c, 4).over(win()).isNotNull() & (F.lag(HIGH.c, 2).over(win()) == F.max(HIGH.c).over(rows(5))),
     F.lag(HIGH.c, 2).over(win())))
 FR_LO = feature("fractal_lo", [LOW], lambda: F.when(
-    (F.count(LOW.c).over(rows(5)) == 5) & (F.lag(LOW.c, 2).over(win()) == F.min(LOW.c).over(rows(5))),
+    F.lag(LOW.c, 4).over(win()).isNotNull() & (F.lag(LOW.c, 2).over(win()) == F.min(LOW.c).over(rows(5))),
     F.lag(LOW.c, 2).over(win())))
 SWING_HI, SWING_LO = ffill(FR_HI), ffill(FR_LO)
 _PH, _PL = lag(SWING_HI), lag(SWING_LO)
@@ -485,7 +518,7 @@ LOWER = row("lower_wick", [OPEN, LOW, CLOSE], lambda: F.least(OPEN.c, CLOSE.c) -
 def _avg_before(x: Feature, n: int, skip: int = 1) -> Feature:
     """Mean of the n bars ending ``skip`` bars ago."""
     return feature(f"{x.name}_avg{n}_p{skip}", [x],
-                   lambda: guard(n, x.c, F.avg(x.c).over(rows(n, skip)), rows(n, skip)))
+                   lambda: guard(n, x, F.avg(x.c).over(rows(n, skip)), skip))
 
 
 def engulfing() -> Feature:

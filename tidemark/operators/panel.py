@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import dense_bar_index
-from tidemark.session import materialize
+from tidemark.session import lean_columns, materialize
 
 BLOCK = 512                 # closed-form block of the affine scan
 CHUNK = 65_536
 HALO = 8_192                # >= 30 / -ln(q) bars for the slowest smoother in the catalogue
+ROWS_PER_TASK = 40_000
 SERIES = ("symbol", "tf")
 KEYS = (*SERIES, "ck")
 
@@ -52,12 +54,17 @@ def build_panel(bars: DataFrame, *, chunk: int = CHUNK, halo: int = HALO,
     """
     if chunk % BLOCK or halo % BLOCK or chunk % halo:
         raise ValueError("chunk must be a multiple of halo, both multiples of the block size")
+    lean_columns()
     if not indexed:
         bars = dense_bar_index(bars)
     if not stored:
         bars = materialize(bars, "bars")
-    longest = bars.agg(F.max("n_bars")).first()[0] or 0
-    split = longest > chunk
+    total, longest = bars.agg(F.count(F.lit(1)), F.max("n_bars")).first()
+    split = (longest or 0) > chunk
+    # Window stages are CPU-bound on narrow rows: size partitions by rows, not by bytes, so
+    # coalescing by shuffle bytes does not serialise them.
+    parallel = max(bars.sparkSession.sparkContext.defaultParallelism,
+                   int(total * (1 + (halo / chunk if split else 0)) // ROWS_PER_TASK) + 1)
     i = F.col("bar_idx")
     own = F.floor(i / chunk)
     if split:
@@ -66,31 +73,44 @@ def build_panel(bars: DataFrame, *, chunk: int = CHUNK, halo: int = HALO,
         df = bars.withColumn("ck", F.explode(cks))
     else:
         df = bars.withColumn("ck", own)
-    return Panel(df.withColumn("blk", F.floor(i / BLOCK)), chunk, halo, split)
+    df = df.withColumn("blk", F.floor(i / BLOCK)).repartition(parallel, *KEYS)
+    return Panel(df, chunk, halo, split)
 
 
 # ------------------------------------------------------------------ windows
 
+_SPECS: dict = {}
+
+
+def _spec(name: str, make, *args):
+    """Window specs are JVM objects: build each once per application."""
+    key = (SparkContext._active_spark_context.applicationId, name, *args)
+    if key not in _SPECS:
+        _SPECS[key] = make()
+    return _SPECS[key]
+
+
 def win():
     """Series order inside a chunk. (blk, bar_idx) so block windows reuse the same sort."""
-    return W.partitionBy(*KEYS).orderBy("blk", "bar_idx")
+    return _spec("win", lambda: W.partitionBy(*KEYS).orderBy("blk", "bar_idx"))
 
 
 def rows(n: int, skip: int = 0):
     """The last n bars, ending ``skip`` bars ago."""
-    return win().rowsBetween(-(n - 1) - skip, -skip)
+    return _spec("rows", lambda: win().rowsBetween(-(n - 1) - skip, -skip), n, skip)
 
 
 def running():
-    return win().rowsBetween(W.unboundedPreceding, 0)
+    return _spec("run", lambda: win().rowsBetween(W.unboundedPreceding, 0))
 
 
 def block_running():
-    return W.partitionBy(*KEYS, "blk").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0)
+    return _spec("block", lambda: W.partitionBy(*KEYS, "blk").orderBy("bar_idx")
+                 .rowsBetween(W.unboundedPreceding, 0))
 
 
 def blocks_before(j: int):
-    return W.partitionBy(*KEYS).orderBy("blk").rangeBetween(-j, -1)
+    return _spec("before", lambda: W.partitionBy(*KEYS).orderBy("blk").rangeBetween(-j, -1), j)
 
 
 # ------------------------------------------------------------------ unbounded carry
@@ -145,8 +165,3 @@ def carry_sum(panel: Panel, cols: dict[str, str]) -> DataFrame:
     j = own.join(offs, list(KEYS))
     return j.select(*own.columns, *[
         (F.sum(c).over(running()) + F.col(f"_o_{o}")).alias(o) for o, c in cols.items()])
-
-
-def guard(n: int, x: Column, value: Column, w) -> Column:
-    """``value`` only where all n rows of the window carry a defined x."""
-    return F.when(F.count(x).over(w) == n, value)

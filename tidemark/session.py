@@ -21,6 +21,7 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     base.update(conf)
@@ -29,6 +30,19 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf) -> Spark
     return b.getOrCreate()
 
 
+def lean_columns() -> None:
+    """Switch off call-site capture for Column calls in this Python process.
+
+    Sessions of ``get_spark`` set the public option for it; it is static, so for a session that
+    somebody else started only its cached Python-side value can be changed. A catalogue plan is
+    built from thousands of Column calls, each of which would otherwise make several extra round
+    trips to the JVM just to remember a line number.
+    """
+    from pyspark.errors import utils
+    if hasattr(utils, "_enable_debugging_cache"):
+        utils._enable_debugging_cache = False
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
