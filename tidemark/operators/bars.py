@@ -93,23 +93,35 @@ def validate_bars(bars: DataFrame, *, strict: bool = False) -> DataFrame:
     return bars.withColumn("violation", v)
 
 
-def dense_bar_index(bars: DataFrame) -> DataFrame:
-    """Adds ``bar_idx`` (0-based ordinal per series) and ``n_bars`` (length of the series).
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, idx: str,
+                total: str | None = None) -> DataFrame:
+    """0-based ordinals per key group without sorting a group in one task.
 
-    Ordinals are numbered inside time buckets of at most 4096 grid slots and shifted by the
-    running count of the buckets before, so no series is ever sorted in a single task. Only the
-    bucket table, 1/4096 of the bars, is scanned per series.
+    ``bucket`` must be monotone in ``order`` and hold boundedly many rows. Rows are numbered
+    inside buckets and shifted by the running count of the buckets before; only the bucket table
+    is scanned per group.
     """
-    keys = ["symbol", "tf"]
-    b = bars.withColumn("_ob", F.floor(F.col("open_time_ms") / (tf_ms() * _IDX_BUCKET)))
+    b = df.withColumn("_ob", bucket)
     sizes = b.groupBy(*keys, "_ob").agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys).orderBy("_ob").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_ob", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
-                           F.sum("_n").over(W.partitionBy(*keys)).alias("n_bars"))
-    r = F.row_number().over(W.partitionBy(*keys, "_ob").orderBy("open_time_ms"))
+    g = W.partitionBy(*keys)
+    before = g.orderBy("_ob").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_ob", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                           *([F.sum("_n").over(g).alias(total)] if total else []))
+    r = F.row_number().over(W.partitionBy(*keys, "_ob").orderBy(order))
     return (b.join(offsets, [*keys, "_ob"])
-            .withColumn("bar_idx", (r - 1 + F.col("_off")).cast("long"))
-            .drop("_ob", "_off"))
+            .withColumn(idx, (r - 1 + F.col("_off")).cast("long")).drop("_ob", "_off"))
+
+
+def dense_bar_index(bars: DataFrame) -> DataFrame:
+    """Adds ``bar_idx`` (0-based ordinal per series) and ``n_bars`` (length of the series)."""
+    return number_rows(bars, ["symbol", "tf"], "open_time_ms",
+                       F.floor(F.col("open_time_ms") / (tf_ms() * _IDX_BUCKET)), "bar_idx", "n_bars")
+
+
+def with_halo(df: DataFrame, idx: str, chunk: int, halo: int) -> DataFrame:
+    """Chunk id ``ck`` by ordinal; each chunk also gets copies of the ``halo`` rows before it."""
+    own, nxt = F.floor(F.col(idx) / chunk), F.floor((F.col(idx) + halo) / chunk)
+    return df.withColumn("ck", F.explode(F.array_distinct(F.array(own, nxt))))
 
 
 def flag_gaps(bars: DataFrame, step_window) -> DataFrame:

@@ -315,32 +315,33 @@ RETEST = Fold("retest", ("close", "high", "low", "high_max20_p1", "low_min20_p1"
 
 def run_zigzag(cols, state):
     """One bar at a time: extreme first, confirmation second; the threshold is latched at the
-    extreme. State: direction (NaN before the first ATR), extreme index, price, threshold."""
-    up, at, px, thr = state
-    idx, hi, lo, t = (cols[k].tolist() for k in ("bar_idx", "zz_hi", "zz_lo", "zz_thr"))
+    extreme. State: direction (NaN before the first ATR), extreme index, time, price, threshold."""
+    up, at, when, px, thr = state
+    idx, ts, hi, lo, t = (cols[k].tolist() for k in ("bar_idx", "open_time_ms", "zz_hi", "zz_lo", "zz_thr"))
     n = len(idx)
-    out = {k: np.full(n, np.nan) for k in
-           ("p_kind", "p_idx", "p_price", "p_thr", "x_kind", "x_idx", "x_price", "x_thr")}
+    out = {f"{w}_{k}": np.full(n, np.nan) for w in "px" for k in ("kind", "idx", "ts", "price", "thr")}
     for i in range(n):
         if t[i] != t[i]:
             continue
         if up != up:
-            up, at, px, thr = 1.0, idx[i], hi[i], t[i]
+            up, at, when, px, thr = 1.0, idx[i], ts[i], hi[i], t[i]
         else:
             ahead, back = (hi[i], lo[i]) if up == 1.0 else (lo[i], hi[i])
             if (ahead - px) * up > 0:
-                at, px, thr = idx[i], ahead, t[i]
+                at, when, px, thr = idx[i], ts[i], ahead, t[i]
             elif (px - back) * up >= thr:
-                out["p_kind"][i], out["p_idx"][i] = up, at
-                out["p_price"][i], out["p_thr"][i] = px, thr
-                up, at, px, thr = -up, idx[i], back, t[i]
-        out["x_kind"][i], out["x_idx"][i], out["x_price"][i], out["x_thr"][i] = up, at, px, thr
-    return out, [up, at, px, thr]
-
-
-ZIGZAG = Fold("zigzag", ("bar_idx", "zz_hi", "zz_lo", "zz_thr"), (np.nan,) * 4, run_zigzag,
-              (("p_kind", "int"), ("p_idx", "long"), ("p_price", "double"), ("p_thr", "double"),
-               ("x_kind", "int"), ("x_idx", "long"), ("x_price", "double"), ("x_thr", "double")))
+                for k, v in zip(("kind", "idx", "ts", "price", "thr"), (up, at, when, px, thr)):
+                    out[f"p_{k}"][i] = v
+                up, at, when, px, thr = -up, idx[i], ts[i], back, t[i]
+        for k, v in zip(("kind", "idx", "ts", "price", "thr"), (up, at, when, px, thr)):
+            out[f"x_{k}"][i] = v
+    return out, [up, at, when, px, thr]
+
+
+ZIGZAG = Fold("zigzag", ("bar_idx", "open_time_ms", "zz_hi", "zz_lo", "zz_thr"), (np.nan,) * 5,
+              run_zigzag, tuple((f"{w}_{k}", t) for w in "px" for k, t in (
+                  ("kind", "int"), ("idx", "long"), ("ts", "long"), ("price", "double"),
+                  ("thr", "double"))))
 
 
 def spacing_fold(name: str, when: str, span: str, flag: str) -> Fold:
