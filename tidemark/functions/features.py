@@ -449,7 +449,9 @@ RS_TERM = row("rs_term", [OPEN, HIGH, LOW, CLOSE], lambda: F.when(
 
 
 def rs_vol(n: int = 24) -> Feature:
-    m = sma(RS_TERM, n, holes=True)
+    # summed in bar order for every window: quiet stretches give exactly equal values, which a
+    # difference of running sums would blur, and the percentile rank counts ties
+    m = feature(f"rs_mean{n}", [RS_TERM], lambda: guard(n, RS_TERM, F.sum(RS_TERM.c).over(rows(n)) / n, holes=True))
     return row(f"rs_vol{n}", [m], lambda: F.sqrt(m.c))
 
 

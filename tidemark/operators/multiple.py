@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import below, fast_below, u32
+from tidemark.session import materialize
 
 GROUP = ["symbol", "tf"]
 MIN_BLOCKS = 30
@@ -112,14 +113,14 @@ def reality_check(excess: DataFrame, *, draws: int = 2000, seed: int = 7, exact_
     own p-value comes from a second, independent set of draws.
     """
     means = strategy_means(excess)
-    means = means.join(aligned(means), GROUP, "left_semi")
+    means = materialize(means.join(aligned(means), GROUP, "left_semi"), "rc-means")
     plan = block_length(excess, means)
     target = F.greatest(F.lit(2), F.bround("block")).cast("long")
     plan = plan.withColumn("_t", target).withColumn("_long", F.floor(F.col("n") / F.col("_t")) >= MIN_BLOCKS)
     plan = plan.withColumn("len", F.when(F.col("_long"), divisible_length(F.col("_t"), F.col("n"))).otherwise(F.col("_t")))
-    plan = plan.withColumn("nb", F.floor(F.col("n") / F.col("len")))
+    plan = materialize(plan.withColumn("nb", F.floor(F.col("n") / F.col("len"))), "rc-plan")
     long, short = plan.filter("_long"), plan.filter("NOT _long")
-    bm = block_means(excess, long, means)
+    bm = materialize(block_means(excess, long, means), "rc-blocks")
     alt = stationary_draws(excess, means, short, draws=draws, seed=seed)
     first = block_draws(bm, long, draws=draws, seed=seed, exact_hash=exact_hash).unionByName(alt)
     second = block_draws(bm, long, draws=draws, seed=seed + 1, exact_hash=exact_hash).unionByName(alt)

@@ -37,7 +37,7 @@ def trade_signals(plans: DataFrame, panel: Panel, *, min_score: float = 0.0, coo
 
 def rejection_counts(plans: DataFrame) -> DataFrame:
     """Refused plans by first reason."""
-    reason = F.substring(F.substring_index(F.coalesce(F.col("reasons")[0], F.lit("?")), ":", 1), 1, 48)
+    reason = F.substring(F.substring_index(F.coalesce(F.get("reasons", F.lit(0)), F.lit("?")), ":", 1), 1, 48)
     return (plans.filter(~F.col("viable")).groupBy(reason.alias("reason"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -68,7 +68,7 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, *, max_bars: int = MAX_B
         F.sort_array(F.collect_list(F.when(inside, F.struct("_j", "_h", "_l", "_c", "_t")))).alias("_w"))
     tp = lambda x: F.when(long, x["_h"] >= F.col("target")).otherwise(x["_l"] <= F.col("target"))
     sl = lambda x: F.when(long, x["_l"] <= F.col("stop")).otherwise(x["_h"] >= F.col("stop"))
-    g = g.withColumn("_hit", F.filter("_w", lambda x: tp(x) | sl(x))[0])
+    g = g.withColumn("_hit", F.get(F.filter("_w", lambda x: tp(x) | sl(x)), F.lit(0)))
     hit = F.col("_hit")
     g = g.withColumn("_seen", F.filter("_w", lambda x: F.col("_hit").isNull() | (x["_j"] <= F.col("_hit._j"))))
     best = lambda f: F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform("_seen", f)), F.lit(0.0)))
@@ -101,7 +101,7 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, *, max_bars: int = MAX_B
             "_first", F.when(both & (F.col("_f") != "tie"), F.col("_f"))).drop("_f")
     won = (F.col("_tp") & ~F.col("_sl")) | (both & (F.coalesce("_first", F.lit("")) == "tp"))
     lost = (F.col("_sl") & ~F.col("_tp")) | (both & ~won)
-    last = F.element_at("_seen", -1)
+    last = F.try_element_at("_seen", F.lit(-1))
     g = (g.withColumn("barrier", F.when(won, "tp").when(lost, "sl").otherwise("vertical"))
          .withColumn("r", F.when(won, F.abs(F.col("target") - F.col("entry")) / F.col("_r"))
                      .when(lost, -1.0).when(n == 0, 0.0)
@@ -162,7 +162,7 @@ def edge_ci(outcomes: DataFrame, *, draws: int = 1000, seed: int = 23, level: fl
     o = outcomes.withColumn("side", F.explode(F.array(
         F.lit("all"), F.when(F.col("direction") > 0, "long").otherwise("short"))))
     o = o.select("side", "entry_id", (F.col("r") - F.col("cost_r")).alias("x"), (F.col("r") - F.col("null_r")).alias("d"))
-    o = number_rows(o, ["side"], "entry_id", F.floor(F.col("entry_id") / 4096), "k", "n")
+    o = number_rows(o, ["side"], "entry_id", below(256, seed, F.col("entry_id")), "k", "n")
     slots = o.select("side", "n", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.groupBy("side", "draw", below(F.col("n"), seed, F.col("side"), F.col("draw"), F.col("k")).alias("k")
                           ).agg(F.count(F.lit(1)).alias("m"))

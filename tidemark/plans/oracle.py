@@ -11,7 +11,7 @@ P = "PARTITION BY symbol, tf ORDER BY bar_idx"
 LINEITEM_TICKS = """SELECT l_returnflag AS symbol, epoch_ms(l_shipdate) AS t,
   (l_orderkey * 8 + l_linenumber) * 16 + (CAST(round(l_extendedprice * 100) AS BIGINT) % 16) AS seq,
   l_extendedprice / l_quantity AS price, l_quantity AS size FROM lineitem"""
-EVENT_TICKS = """SELECT 'ALL' AS symbol, epoch_ms(ts) AS t, event_id AS seq, value AS price,
+EVENT_TICKS = """SELECT 'ALL' AS symbol, epoch_us(ts) // 1000 AS t, event_id AS seq, value AS price,
   CAST(1 AS DOUBLE) AS size FROM events"""
 EVENT_TYPE_TICKS = EVENT_TICKS.replace("'ALL'", "event_type")
 
@@ -287,8 +287,8 @@ def aroon(g, n=25):
 
 def rs_vol(g, n=24):
     g.add("rs_term", "CASE WHEN open > 0 AND high > 0 AND low > 0 AND close > 0 THEN greatest(0, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)) END")
-    m = g.sma("rs_term", n)
-    return g.add("rs_vol", f"sqrt({m})", [m])
+    a = g.add("rs_win", f"list(rs_term) FILTER (rs_term IS NOT NULL) {g.w(n)}", ["rs_term"])      # summed in bar order
+    return g.add("rs_vol", f"CASE WHEN len({a}) = {n} THEN sqrt(list_sum({a}) / {n}) END", [a])
 
 
 def vwap(g):
@@ -735,3 +735,173 @@ def signal_query(name: str, timeframes, warmup: int, min_bars: int, select: str
            f"CAST(CASE WHEN bar_idx >= {warmup} AND n_bars >= {min_bars} THEN {pos} ELSE 0 END AS BIGINT) AS position "
            f"FROM f WHERE tf IN ({tfs})")
     return g.render(sel)
+
+
+# ------------------------------------------------------------------ shared pieces of the other twins
+
+SAMPLE_SIGNALS = ("candles.close_in_range", "mean_reversion.streak3_fade", "momentum.roc10",
+                  "seasonality.turn_of_month_long", "structure.donchian_break_20", "trend.ema_cross_21_55")
+
+
+def positions(names=SAMPLE_SIGNALS) -> str:
+    from tidemark.signals.registry import catalogue
+    cat = catalogue()
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({signal_query(n, cat[n].timeframes, cat[n].warmup, cat[n].min_bars)})" for n in names)
+
+
+BARS = f"bars AS MATERIALIZED ({indexed(STUDY)})"
+HORIZON = "CASE tf WHEN '15m' THEN 32 WHEN '1h' THEN 24 WHEN '4h' THEN 12 WHEN '1d' THEN 5 ELSE 12 END"
+FWD = f"""fwd AS MATERIALIZED (SELECT a.symbol, a.tf, a.bar_idx, a.n_bars, a.open_time_ms, a.h AS horizon, ln(b.close / a.close) AS fwd
+  FROM (SELECT *, {HORIZON} AS h FROM bars) a JOIN bars b ON a.symbol = b.symbol AND a.tf = b.tf AND b.bar_idx = a.bar_idx + a.h)"""
+POS = f"pos AS MATERIALIZED ({positions()})"
+BAR_MS = """bar_ms AS MATERIALIZED (SELECT symbol, tf, CAST(median(d) AS BIGINT) AS bar_ms FROM (SELECT symbol, tf, open_time_ms - lag(open_time_ms)
+  OVER (PARTITION BY symbol, tf ORDER BY bar_idx) AS d FROM bars) WHERE d IS NOT NULL GROUP BY 1, 2)"""
+
+
+def oos(i: str, n: str, h: str) -> str:
+    return (f"({i} // ({n} // 5) BETWEEN 1 AND 4 AND {i} >= ({i} // ({n} // 5)) * ({n} // 5) + {h})")
+
+
+def zigzag_graph(k: float = 1.5, pct: float = 0.005, on_close: bool = False) -> Graph:
+    g = Graph()
+    a = atr(g, 14)
+    hi, lo = ("close", "close") if on_close else ("high", "low")
+    g.add("thr", f"CASE WHEN {a} IS NOT NULL THEN greatest({k!r}::DOUBLE * {a}, {pct!r}::DOUBLE * close) END", [a])
+    ahead = f"(CASE WHEN r.zup = 1 THEN s.{hi} ELSE s.{lo} END)"
+    back = f"(CASE WHEN r.zup = 1 THEN s.{lo} ELSE s.{hi} END)"
+    new = f"(({ahead} - r.zpx) * r.zup > 0)"
+    conf = f"(NOT {new} AND (r.zpx - {back}) * r.zup >= r.zthr)"
+    def st(keep, first, ext, flip):
+        return f"CASE WHEN s.thr IS NULL THEN {keep} WHEN r.zup IS NULL THEN {first} WHEN {new} THEN {ext} WHEN {conf} THEN {flip} ELSE {keep} END"
+    d = ["thr"]
+    g.rec("zup", "NULL", st("r.zup", "1", "r.zup", "-r.zup"), d)
+    g.rec("zat", "NULL", st("r.zat", "s.bar_idx", "s.bar_idx", "s.bar_idx"), d)
+    g.rec("zts", "NULL", st("r.zts", "s.open_time_ms", "s.open_time_ms", "s.open_time_ms"), d)
+    g.rec("zpx", "NULL", st("r.zpx", f"s.{hi}", ahead, back), d)
+    g.rec("zthr", "NULL", st("r.zthr", "s.thr", "s.thr", "s.thr"), d)
+    on = f"s.thr IS NOT NULL AND r.zup IS NOT NULL AND {conf}"
+    for n, v in (("ck", "r.zup"), ("ci", "r.zat"), ("ct", "r.zts"), ("cp", "r.zpx"), ("ch", "r.zthr")):
+        g.rec(n, "NULL", f"CASE WHEN {on} THEN {v} END", d)
+    g.add("atr", a, [a])
+    return g
+
+
+def pivots_sql(variant: str = "k1.5", **kw) -> str:
+    return zigzag_graph(**kw).render(f"""SELECT symbol, tf, '{variant}' AS variant, CAST(ci AS BIGINT) AS idx, CAST(ct AS BIGINT) AS ts_ms,
+      cp AS price, CAST(ck AS BIGINT) AS kind, ch AS thr_at_extreme, bar_idx AS confirmed_idx, open_time_ms AS confirmed_ts_ms,
+      row_number() OVER (PARTITION BY symbol, tf ORDER BY bar_idx) - 1 AS pivot_no FROM f WHERE ck IS NOT NULL""")
+
+
+def states_sql() -> str:
+    return zigzag_graph().render("SELECT symbol, tf, 'k1.5' AS variant, bar_idx, n_bars, open_time_ms, close, atr, ck, zup, zat, zts, zpx, zthr FROM f")
+
+
+PIV = f"piv AS MATERIALIZED ({pivots_sql()})"
+STA = f"sta AS MATERIALIZED ({states_sql()})"
+
+
+def _gauss(x, mu, s):
+    return f"power(2.718281828459045::DOUBLE, -0.5 * power(({x} - {mu}) / {s}::DOUBLE, 2.0))"
+
+
+def candidates_ctes() -> str:
+    """cand: ranked candidates per pivot confirmation, from a self-contained pivot list."""
+    parts = []
+    for n, state, arch in ((3, "impulse@2", "'w2'"), (4, "impulse@3", "NULL"), (5, "impulse@4", "'w4'"), (6, "impulse", "'abc'")):
+        p = [f"p[{i + 1}]" for i in range(n)]
+        s = "s"
+        ok = [f"{s} * {p[2]} > {s} * {p[0]}"]
+        if n >= 4:
+            ok.append(f"{s} * {p[3]} > {s} * {p[1]}")
+        if n >= 5:
+            ok.append(f"{s} * {p[4]} > {s} * {p[1]}")
+        if n == 6:
+            ok.append(f"NOT (abs({p[3]} - {p[2]}) < abs({p[1]} - {p[0]}) AND abs({p[3]} - {p[2]}) < abs({p[5]} - {p[4]}))")
+        r2 = f"(CASE WHEN {p[1]} <> {p[0]} THEN abs({p[2]} - {p[1]}) / abs({p[1]} - {p[0]}) END)"
+        e3 = f"(CASE WHEN {p[1]} <> {p[0]} THEN abs({p[3]} - {p[2]}) / abs({p[1]} - {p[0]}) END)" if n >= 4 else "CAST(NULL AS DOUBLE)"
+        r4 = f"(CASE WHEN {p[3]} <> {p[2]} THEN abs({p[4]} - {p[3]}) / abs({p[3]} - {p[2]}) END)" if n >= 5 else "CAST(NULL AS DOUBLE)"
+        sc, w = f"0.3 * coalesce({_gauss(r2, 0.618, 0.18)}, 0)", 0.30
+        if n >= 4:
+            sc, w = sc + f" + 0.3 * coalesce(greatest({_gauss(e3, 1.618, 0.45)}, {_gauss(e3, 2.618, 0.55)}), 0)", w + 0.30
+        if n >= 5:
+            sc, w = sc + f" + 0.2 * coalesce({_gauss(r4, 0.382, 0.15)}, 0) + 0.2 * coalesce(least(1.0, abs({r2} - {r4}) / 0.3::DOUBLE), 0)", w + 0.40
+        inv = p[0] if n == 3 else p[1]
+        rule = "R1 (wave 2 past the start of wave 1)" if n == 3 else "R3 (wave 4 inside wave 1)"
+        trunc = f"{s} * {p[5]} <= {s} * {p[3]}" if n == 6 else "false"
+        parts.append(f"""SELECT symbol, tf, variant, edge_no, confirmed_idx, confirmed_ts_ms AS available_at_ms, back, {n} AS n_points, '{state}' AS state, s AS direction,
+          p AS points, pt AS pivot_ts, ({sc}) / {w!r}::DOUBLE AS score, {r2} AS retr_w2, {e3} AS ext_w3, {r4} AS retr_w4, {inv} AS invalidation_price, '{rule}' AS invalidation_rule,
+          CAST({arch} AS VARCHAR) AS archetype, {trunc} AS truncated
+          FROM (SELECT *, -lk[len(lk) - back - {n - 1}] AS s, lp[len(lp) - back - {n - 1}:len(lp) - back] AS p, lt[len(lt) - back - {n - 1}:len(lt) - back] AS pt
+                FROM nine, range(0, 4) b(back) WHERE len(lp) >= back + {n}) WHERE {' AND '.join(ok)}""")
+    return f"""nine AS MATERIALIZED (SELECT symbol, tf, variant, pivot_no AS edge_no, confirmed_idx, confirmed_ts_ms,
+        list(price) OVER w AS lp, list(kind) OVER w AS lk, list(ts_ms) OVER w AS lt FROM piv
+        WINDOW w AS (PARTITION BY symbol, tf, variant ORDER BY pivot_no ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+      pool AS ({' UNION ALL '.join(parts)}),
+      cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, tf, variant, edge_no ORDER BY score DESC, n_points DESC, back) AS rank FROM pool) WHERE rank <= 4)"""
+
+
+def plans_ctes() -> str:
+    """plan: a plan or refusal per (trigger bar, candidate)."""
+    return """dec_in AS (SELECT s.symbol, s.tf, s.variant, s.bar_idx, s.n_bars, s.open_time_ms, s.close AS price, s.atr,
+        count(s.ck) OVER (PARTITION BY s.symbol, s.tf ORDER BY s.bar_idx) - 1 AS edge_no FROM sta s),
+      p0 AS (SELECT d.*, c.rank, c.score, c.state, c.direction, c.points AS p, c.invalidation_price, c.archetype
+        FROM dec_in d JOIN cand c USING (symbol, tf, variant, edge_no)),
+      p1 AS (SELECT *, CASE WHEN archetype = 'w4' THEN p[3] ELSE p[1] END AS a, CASE WHEN archetype = 'w4' THEN p[4] ELSE p[2] END AS b,
+        CASE WHEN archetype = 'w4' THEN 0.382::DOUBLE ELSE 0.5::DOUBLE END AS q1, CASE WHEN archetype = 'w4' THEN 0.5::DOUBLE ELSE 0.786::DOUBLE END AS q2,
+        CASE WHEN archetype = 'w4' THEN p[5] ELSE p[3] END AS base, p[2] - p[1] AS leg FROM p0),
+      p2 AS (SELECT *, least(b - (b - a) * q1, b - (b - a) * q2) AS lo0, greatest(b - (b - a) * q1, b - (b - a) * q2) AS hi0,
+        base + CASE WHEN archetype = 'w4' THEN (p[4] - p[1]) * 0.618::DOUBLE ELSE leg * 1.618::DOUBLE END AS t2,
+        invalidation_price - direction * greatest(0.25 * atr, 0.02::DOUBLE, 0.001::DOUBLE * price) AS stop FROM p1),
+      p3 AS (SELECT *, CASE WHEN archetype = 'w4' AND direction > 0 THEN greatest(lo0, p[2] * 1.0005::DOUBLE) ELSE lo0 END AS zone_lo,
+        CASE WHEN archetype = 'w4' AND direction < 0 THEN least(hi0, p[2] * 0.9995::DOUBLE) ELSE hi0 END AS zone_hi, abs(price - stop) AS risk FROM p2),
+      p4 AS (SELECT *, CASE WHEN archetype IS NULL OR archetype NOT IN ('w2', 'w4') THEN 'state offers no entry' WHEN zone_lo >= zone_hi THEN 'entry zone is empty'
+        WHEN risk <= 0 THEN 'entry is the stop' WHEN direction * (price - stop) <= 0 THEN 'price past the stop' WHEN atr <= 0 THEN 'no range' END AS early FROM p3),
+      p5 AS (SELECT *, CASE WHEN early IS NULL THEN risk / atr ELSE 0 END AS stop_atr, CASE WHEN early IS NULL THEN 0.0015::DOUBLE * price / risk ELSE 0 END AS cost_r,
+        CASE WHEN early IS NULL THEN abs(t2 - price) / risk ELSE 0 END AS rr_t2,
+        CASE WHEN early IS NULL AND direction * (CASE WHEN direction > 0 THEN zone_lo ELSE zone_hi END - stop) > 0
+          THEN abs(t2 - (zone_lo + zone_hi) / 2) / (direction * ((zone_lo + zone_hi) / 2 - stop)) ELSE 0 END AS rr_in_zone FROM p4),
+      plan AS MATERIALIZED (SELECT *, CASE WHEN early IS NULL THEN (1.1::DOUBLE + cost_r + 0.15::DOUBLE) / (rr_t2 + 1.1::DOUBLE) ELSE 0 END AS p_required,
+        early IS NULL AND NOT (stop_atr < 0.75) AND NOT (cost_r > 0.2::DOUBLE) AS viable,
+        early IS NULL AND NOT (stop_atr < 0.75) AND NOT (cost_r > 0.2::DOUBLE) AND price BETWEEN zone_lo AND zone_hi AS in_zone,
+        CASE WHEN early IS NULL AND stop_atr > 3 THEN 3.0::DOUBLE / stop_atr ELSE 1.0 END AS size_factor,
+        CASE WHEN early IS NOT NULL THEN early WHEN stop_atr < 0.75 THEN 'stop inside noise floor' WHEN cost_r > 0.2::DOUBLE THEN 'fees take too much of R' END AS refusal FROM p5)"""
+
+
+def barrier_ctes(entries: str, out: str, bars: str = "bars", max_bars: int = 48) -> str:
+    """Triple-barrier outcome of every row of ``entries``."""
+    tp = "CASE WHEN e.direction > 0 THEN b.high >= e.target ELSE b.low <= e.target END"
+    sl = "CASE WHEN e.direction > 0 THEN b.low <= e.stop ELSE b.high >= e.stop END"
+    return f"""{out}_w AS MATERIALIZED (SELECT e.entry_id, b.bar_idx AS j, b.close AS c, {tp} AS tp, {sl} AS sl, abs(e.entry - e.stop) AS risk,
+        (CASE WHEN e.direction > 0 THEN b.high - e.entry ELSE e.entry - b.low END) / abs(e.entry - e.stop) AS fav,
+        (CASE WHEN e.direction > 0 THEN e.entry - b.low ELSE b.high - e.entry END) / abs(e.entry - e.stop) AS adv
+        FROM {entries} e JOIN {bars} b ON b.symbol = e.symbol AND b.tf = e.tf AND b.bar_idx BETWEEN e.bar_idx + 1 AND e.bar_idx + {max_bars}),
+      {out}_h AS (SELECT entry_id, min(j) AS hit FROM {out}_w WHERE tp OR sl GROUP BY 1),
+      {out}_x AS (SELECT w.entry_id, greatest(0, max(fav)) AS mfe_r, greatest(0, max(adv)) AS mae_r, count(*) AS bars, last(c ORDER BY j) AS lc,
+        bool_or(w.j = h.hit AND tp) AS tp, bool_or(w.j = h.hit AND sl) AS sl
+        FROM {out}_w w LEFT JOIN {out}_h h USING (entry_id) WHERE h.hit IS NULL OR w.j <= h.hit GROUP BY 1),
+      {out} AS MATERIALIZED (SELECT e.*, CASE WHEN x.sl THEN 'sl' WHEN x.tp THEN 'tp' ELSE 'vertical' END AS barrier,
+        CASE WHEN x.sl THEN -1.0 WHEN x.tp THEN abs(e.target - e.entry) / abs(e.entry - e.stop) WHEN x.lc IS NULL THEN 0
+          ELSE e.direction * (x.lc - e.entry) / abs(e.entry - e.stop) END AS r,
+        coalesce(x.mae_r, 0) AS mae_r, coalesce(x.mfe_r, 0) AS mfe_r, coalesce(x.bars, 0) AS bars, coalesce(x.tp AND x.sl, false) AS ambiguous
+        FROM {entries} e LEFT JOIN {out}_x x USING (entry_id))"""
+
+
+def hash32(seed: int, *parts: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8)) AS BIGINT)"
+
+
+def twin_ctes(entries: str, out: str, seed: int = 17) -> str:
+    j = f"least(e.n_total - 2, e.bar_idx + {hash32(seed, 'e.entry_id')} % 20 + 1)"
+    return f"""{out} AS MATERIALIZED (SELECT e.* REPLACE (b.bar_idx AS bar_idx, b.close AS entry, b.close - e.direction * abs(e.entry - e.stop) AS stop,
+        b.close + e.direction * abs(e.entry - e.stop) * (abs(e.target - e.entry) / abs(e.entry - e.stop)) AS target)
+        FROM (SELECT x.*, n.n_bars AS n_total FROM {entries} x JOIN (SELECT symbol, tf, max(n_bars) AS n_bars FROM bars GROUP BY 1, 2) n USING (symbol, tf)) e
+        JOIN bars b ON b.symbol = e.symbol AND b.tf = e.tf AND b.bar_idx = {j})"""
+
+
+def spaced(rows: str, out: str, keys: str, t: str, span: str) -> str:
+    """Greedy spacing by stepping from kept row to kept row."""
+    on = " AND ".join(f"a.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    ak = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return (f"{out} AS (SELECT {keys}, min({t}) AS kept FROM {rows} GROUP BY {keys} UNION ALL "
+            f"SELECT {ak}, min(a.{t}) FROM {out} r JOIN {rows} a ON {on} AND a.{t} >= r.kept + a.{span} GROUP BY {ak})")

@@ -12,7 +12,8 @@ COLUMNS = ("open_time", "open", "high", "low", "close", "volume", "close_time",
 SCHEMA = ", ".join(f"{c} {'STRING' if c in ('open_time', 'close_time', 'trades', 'ignore') else 'DOUBLE'}"
                    for c in COLUMNS)
 MICRO = 100_000_000_000_000          # epochs above are microseconds
-NAME = r"([A-Z0-9]+)-([0-9a-z]+)-(\d{4}-\d{2})[^/]*$"
+# symbol-timeframe-month, as a file name or as a folder of part files
+NAME = r"([A-Za-z0-9_]+)-([0-9a-z]+)-(\d{4}-\d{2})(?:[./]|$)"
 VALUES = ("open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote")
 
 
@@ -20,7 +21,9 @@ def read_klines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw rows of kline CSVs. A header line is a row whose first field is no integer; symbol,
     timeframe and month come from the file name."""
     df = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").csv(path)
-    f = F.col("_metadata.file_path")
+    path_ = F.col("_metadata.file_path")
+    archive = F.regexp_extract(path_, r"^(.*[A-Za-z0-9_]+-[0-9a-z]+-\d{4}-\d{2})(?:[./]|$)", 1)
+    f = F.when(archive != "", archive).otherwise(path_)
     df = df.select("*", f.alias("file"), F.monotonically_increasing_id().alias("seq"))
     part = lambda i: F.regexp_extract("file", NAME, i)
     return (df.withColumn("epoch", F.expr("try_cast(trim(BOTH '\"' FROM open_time) AS BIGINT)"))
