@@ -18,6 +18,10 @@ def below(m: Column | int, seed: int, *parts: Column) -> Column:
     return F.pmod(u32(seed, *parts), m)
 
 
+def fast_u32(seed: int, *parts: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(4294967296))
+
+
 def fast_below(m: Column | int, seed: int, *parts: Column) -> Column:
     """The same contract on a cheaper hash, for large draw counts."""
     m = F.lit(m) if isinstance(m, int) else m

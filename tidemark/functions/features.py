@@ -189,20 +189,37 @@ def _first(x: Feature, start: int, n: int) -> Column:
     return F.sum(F.when(F.col("bar_idx").between(start, start + n - 1), x.c)).over(running())
 
 
-def smooth(name: str, x: Feature, n: int, alpha: float, start: int, seed: str = "mean") -> Feature:
+def smooth(name: str, x: Feature, n: int, alpha: float, start: int) -> Feature:
     """Exponential smoothing of x (defined from bar ``start``) seeded by the mean of its first n
-    values at bar start+n-1, or by the first value itself (``seed='first'``)."""
-    at = start + n - 1 if seed == "mean" else start
+    values at bar start+n-1."""
+    at = start + n - 1
 
     def e():
-        first = _first(x, start, n) / n if seed == "mean" else x.c
         return (F.when(F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)) * alpha)
-                .when(F.col("bar_idx") == at, first).otherwise(0.0))
+                .when(F.col("bar_idx") == at, _first(x, start, n) / n).otherwise(0.0))
     return affine(name, feature(f"{name}_u", [x], e), 1.0 - alpha, at)
 
 
+def trailing(name: str, x: Feature, n: int, start: int, seed: str = "mean") -> Feature:
+    """Exponential average as x minus its distance d_i = q·(d_{i-1} + x_i - x_{i-1}).
+
+    The same value as ``smooth``, but the scan runs over changes: on a stretch of equal prices the
+    average is exactly the price, as it is in the sequential loop, and no comparison with it can
+    turn rounding into a position.
+    """
+    q = 1.0 - 2.0 / (n + 1.0)
+    at = start + n - 1 if seed == "mean" else start
+
+    def e():
+        step = F.coalesce(x.c - F.lag(x.c, 1).over(win()), F.lit(0.0))
+        first = x.c - _first(x, start, n) / n if seed == "mean" else F.lit(0.0)
+        return (F.when(F.col("bar_idx") > at, q * step).when(F.col("bar_idx") == at, first).otherwise(0.0))
+    d = affine(f"{name}_d", feature(f"{name}_du", [x], e), q, at)
+    return feature(name, [x, d], lambda: x.c - d.c)
+
+
 def ema(x: Feature, n: int, start: int = 0) -> Feature:
-    return smooth(f"{x.name}_ema{n}", x, n, 2.0 / (n + 1.0), start)
+    return trailing(f"{x.name}_ema{n}", x, n, start)
 
 
 def wilder(x: Feature, n: int, start: int) -> Feature:
@@ -339,9 +356,11 @@ def kama(n: int = 10) -> Feature:
     al = row(f"kama{n}_alpha", [er, IDX], lambda: F.when(
         F.col("bar_idx") >= n, F.pow(F.coalesce(er.c, F.lit(0.0)) * (fast - slow) + slow, 2.0)))
     m = row(f"kama{n}_m", [al], lambda: F.coalesce(1.0 - al.c, F.lit(1.0)))
-    u = row(f"kama{n}_u", [al], lambda: F.when(F.col("bar_idx") == n - 1, CLOSE.c)
-            .otherwise(F.coalesce(al.c * CLOSE.c, F.lit(0.0))))
-    return affine_varying(f"kama{n}", m, u, n, 1.0 - slow ** 2)
+    # as in ``trailing``: the distance from the price is scanned, seeded with 0 at bar n-1
+    u = feature(f"kama{n}_u", [m, CLOSE], lambda: F.when(
+        F.col("bar_idx") >= n, m.c * F.coalesce(CLOSE.c - F.lag(CLOSE.c, 1).over(win()), F.lit(0.0))).otherwise(0.0))
+    d = affine_varying(f"kama{n}_d", m, u, n, 1.0 - slow ** 2)
+    return row(f"kama{n}", [d, CLOSE], lambda: CLOSE.c - d.c)
 
 
 def willr(n: int = 14) -> Feature:
@@ -380,8 +399,8 @@ def _run():
 
 def adosc(fast: int = 3, slow: int = 10) -> Feature:
     """Difference of two averages of cumulative AD, both seeded at the first AD value."""
-    f = smooth(f"ad_ema{fast}", AD_REL, fast, 2.0 / (fast + 1.0), 0, seed="first")
-    s = smooth(f"ad_ema{slow}", AD_REL, slow, 2.0 / (slow + 1.0), 0, seed="first")
+    f = trailing(f"ad_ema{fast}", AD_REL, fast, 0, seed="first")
+    s = trailing(f"ad_ema{slow}", AD_REL, slow, 0, seed="first")
     return row(f"adosc{fast}_{slow}", [f, s], lambda: F.when(
         F.col("bar_idx") >= slow - 1, f.c - s.c))
 

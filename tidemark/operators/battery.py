@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import u32
+from tidemark.functions.draws import fast_u32, u32
 from tidemark.operators.bars import with_halo
 from tidemark.operators.evaluate import effective_n, infer_bar_ms, out_of_sample
 from tidemark.operators.panel import Panel, win
+from tidemark.session import materialize
 
 KEYS = ["signal_name", "symbol", "tf"]
 COST_BPS = 15.0
@@ -155,7 +156,7 @@ def battery_summary(rows: DataFrame, bar_ms: DataFrame, *, horizon: int = 1, cos
 
 
 def random_control(summary: DataFrame, returns: DataFrame, *, draws: int = 250, seed: int = 11,
-                   cost_bps: float = COST_BPS) -> DataFrame:
+                   cost_bps: float = COST_BPS, exact_hash: bool = False) -> DataFrame:
     """CAGR of random long/flat paths with the same turnover and exposure, per draw.
 
     A path is a list of segments; its return is a difference of prefix sums at the segment ends.
@@ -172,8 +173,9 @@ def random_control(summary: DataFrame, returns: DataFrame, *, draws: int = 250,
     s = s.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     seg = s.withColumn("seg", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("lo")).cast("int"))))
     ident = [F.col(c) for c in (*k, "draw", "seg")]
-    seg = (seg.withColumn("len", F.col("lo") + F.pmod(u32(seed, *ident, F.lit("len")), F.col("span")))
-           .withColumn("on", (u32(seed, *ident, F.lit("on")) / F.lit(4294967296.0) < F.col("exposure")).cast("double")))
+    rand = u32 if exact_hash else fast_u32
+    seg = (seg.withColumn("len", F.col("lo") + F.pmod(rand(seed, *ident, F.lit("len")), F.col("span")))
+           .withColumn("on", (rand(seed, *ident, F.lit("on")) / F.lit(4294967296.0) < F.col("exposure")).cast("double")))
     w = W.partitionBy(*k, "draw").orderBy("seg")
     seg = (seg.withColumn("end", F.sum("len").over(w.rowsBetween(W.unboundedPreceding, 0)))
            .withColumn("start", F.col("end") - F.col("len")).filter(F.col("start") < F.col("n"))
@@ -205,10 +207,10 @@ def returns_prefix(returns: DataFrame) -> DataFrame:
 
 
 def battery_tests(rows: DataFrame, returns: DataFrame, panel: Panel, bar_ms: DataFrame, *, horizon: int = 1,
-                  draws: int = 250, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+                  draws: int = 250, seed: int = 11, exact_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """(summary with verdict, one row per test). ``passed`` NULL means inconclusive."""
-    s = battery_summary(rows, bar_ms, horizon=horizon)
-    rc = random_control(s, returns, draws=draws, seed=seed).withColumnRenamed("cagr", "_rc")
+    s = materialize(battery_summary(rows, bar_ms, horizon=horizon), "summary")
+    rc = random_control(s, returns, draws=draws, seed=seed, exact_hash=exact_hash).withColumnRenamed("cagr", "_rc")
     pct = rc.join(s.select(*KEYS, "cagr"), KEYS).groupBy(*KEYS).agg(
         F.avg((F.col("_rc") < F.col("cagr")).cast("double")).alias("percentile"))
     spans = (rows.filter("w0 <> 0").join(s.select(*KEYS, "mean_duration", "bar_ms"), KEYS)
@@ -252,7 +254,6 @@ def battery_gate(signals: DataFrame, panel: Panel, *, min_bars: int = 400, min_a
 def run_battery(signals: DataFrame, panel: Panel, *, horizon: int = 1, draws: int = 250, seed: int = 11
                 ) -> tuple[DataFrame, DataFrame]:
     """The whole battery for every gated signal of a signal table."""
-    from tidemark.session import materialize
     ok = battery_gate(signals, panel).filter("refused IS NULL").select(*KEYS)
     bar_ms = infer_bar_ms(panel.owned())
     returns = materialize(bar_returns(panel, horizon), "returns")

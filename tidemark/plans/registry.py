@@ -936,7 +936,7 @@ _RC_CTES = f"""{_BT_CTES},
 @query("random_control", f"WITH {_RC_CTES} SELECT signal_name, symbol, tf, CAST(draw AS BIGINT) AS draw, {squash_sql('cagr', 'cagr')} FROM rc")
 def _q(spark, sf):
     from tidemark.operators.battery import random_control
-    rc = random_control(_summary(spark, sf), _returns(spark, sf), draws=4)
+    rc = random_control(_summary(spark, sf), _returns(spark, sf), draws=4, exact_hash=True)
     return longs(rc.withColumn("cagr", squash("cagr")), "draw")
 
 
@@ -952,7 +952,7 @@ _TEST_CTES = f"""{_RC_CTES},
 
 def _tests(spark, sf):
     from tidemark.operators.battery import battery_tests
-    return battery_tests(_battery_rows(spark, sf), _returns(spark, sf), inputs.study_panel(spark, sf), _bar_ms(spark, sf), draws=4)
+    return battery_tests(_battery_rows(spark, sf), _returns(spark, sf), inputs.study_panel(spark, sf), _bar_ms(spark, sf), draws=4, exact_hash=True)
 
 
 @query("battery_tests", f"WITH RECURSIVE {_TEST_CTES} SELECT signal_name, symbol, tf, test, passed, {squash_sql('value', 'value')} FROM te")
