@@ -18,6 +18,11 @@ def _cut_at(fraction: float | None) -> Column:
     return F.col("n_bars") - 1 if fraction is None else F.floor(F.col("n_bars") * fraction).cast("long")
 
 
+def _base() -> Column:
+    """The series a copy was made of."""
+    return F.regexp_replace("symbol", "#[^#]*$", "").alias("symbol")
+
+
 def _with_cuts(bars: DataFrame, cuts) -> DataFrame:
     """Copies of every series, one per cut; the cut is part of the series key, so one job runs
     them all and no two copies can see each other."""
@@ -28,8 +33,7 @@ def _with_cuts(bars: DataFrame, cuts) -> DataFrame:
 
 def _compare(full: DataFrame, part: DataFrame, cuts_table: DataFrame) -> DataFrame:
     """Per (signal, series, cut): rows compared, rows that differ, first bar that differs."""
-    base = F.substring_index("symbol", "#", 1)
-    p = part.select("signal_name", base.alias("symbol"), F.substring_index("symbol", "#", -1).alias("cut"), "tf", "bar_idx",
+    p = part.select("signal_name", _base(), F.substring_index("symbol", "#", -1).alias("cut"), "tf", "bar_idx",
                     F.col("position").alias("_p")).join(cuts_table, ["symbol", "tf", "cut"]).filter("bar_idx < cut_at")
     j = p.join(full.select(*ID, F.col("position").alias("_f")), ID, "left")
     differs = ~F.col("_p").eqNullSafe(F.col("_f"))
@@ -40,7 +44,7 @@ def _compare(full: DataFrame, part: DataFrame, cuts_table: DataFrame) -> DataFra
 
 def _cuts_table(bars: DataFrame, cuts) -> DataFrame:
     return _with_cuts(bars.select("symbol", "tf", "n_bars").distinct(), cuts).select(
-        F.substring_index("symbol", "#", 1).alias("symbol"), "tf", "cut", "cut_at")
+        _base(), "tf", "cut", "cut_at")
 
 
 def _positions(bars: DataFrame, names, like: Panel, run) -> DataFrame:

@@ -84,7 +84,7 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, *, max_bars: int = MAX_B
         amb = g.filter(both).select("entry_id", "symbol", "direction", "stop", "target",
                                     F.col("_hit._t").alias("_from"),
                                     (F.col("_hit._t") + tf_ms("tf")).alias("_to"), "tf")
-        # minutes of one bar lie in at most two buckets of the bar's length
+        # bars lie on the grid, so all minutes of a bar share its bucket
         amb = amb.withColumn("_fb", F.floor(F.col("_from") / tf_ms("tf")))
         tfs = [r[0] for r in bars.select("tf").distinct().collect()]
         from tidemark.functions.clock import TF_MS
@@ -180,8 +180,9 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, average rank) over the whole table: equal values counted first, then ranked inside
     quantile pieces shifted by the pieces before."""
     v = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = v.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_q"))
-    v = v.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
+    cuts = sorted(set(v.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.002)))     # 63 numbers
+    piece = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    v = v.withColumn("_b", piece)
     sizes = v.groupBy("_b").agg(F.sum("_c").alias("_n"))
     offs = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(
         W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))          # at most 64 rows
