@@ -58,7 +58,7 @@ def unkeyed(name: str = "id") -> Column:
 
 # ---------------------------------------------------------------- bytes of many texts at once
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes; a longer text is a run of its own."""
     col = batch.column(column)
     if pa.types.is_large_string(col.type):
@@ -157,20 +157,15 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """For every stretch of ``width`` values the place of its least one, the leftmost of equals."""
-    n = len(x) - width + 1
-    if n <= 0:
+    """For every stretch of ``width`` values the place of the one with the least upper half, the leftmost of equals."""
+    if len(x) < width:
         return np.zeros(0, np.int64)
-    at, size = np.arange(len(x)), 1
-    val = x
+    val, size = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
-        m = len(val) - step
-        right = val[step:] < val[:m]
-        at = np.where(right, at[step:], at[:m])
-        val = np.where(right, val[step:], val[:m])
+        val = np.minimum(val[step:], val[:-step])
         size += step
-    return at
+    return (val & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- components of a graph of links

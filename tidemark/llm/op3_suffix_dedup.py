@@ -17,7 +17,7 @@ _CUT = "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept bina
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def later_copies(docs: DataFrame, n: int = 100, q: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_copies(docs: DataFrame, n: int = 100, q: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, spans): per row of ``docs`` the stretches covered by an ``n``-byte string that starts earlier.
 
     Earlier is a smaller id, or the same id and a smaller start. A sample of suffixes is chosen by content

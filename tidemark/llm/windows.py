@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
@@ -103,10 +103,16 @@ def repeated(docs: DataFrame, unit: str, n: int, q: int, label: str) -> DataFram
     wanted = (classes.filter("many").select("lo.id", F.struct("lo.p", "k").alias("run"))
               .groupBy("id").agg(F.collect_list("run").alias("runs")))
     single = C.stored(docs.select("id", "text").join(wanted, "id").mapInArrow(lambda b: expand(b, unit, n), "window long, id long, p int"), f"{label}-windows")
-    shared = C.stored(single.groupBy("window").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-                      .filter("c > 1 AND lo <> hi").select("window", "lo"), f"{label}-shared")
-    between = single.join(shared, "window").select("id", "p", F.lit(1).alias("k"), (place == F.col("lo")).alias("is_first"))
-    return own.unionByName(between)
+    shared = C.stored(single.groupBy("window").agg(
+        F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("p").alias("a"), F.max("p").alias("b"))
+        .filter("c > 1 AND (lo <> hi OR a <> b)").select("window", "lo"), f"{label}-shared")
+    between = C.stored(single.join(shared, "window").select("window", "id", "p", (F.col("id") == F.col("lo")).alias("low")), f"{label}-between")
+    C.forget(single, shared)
+    # among equal windows of the smallest id, one document's at most, the first is the one that starts first
+    start = Window.partitionBy("window").orderBy("p")
+    low = between.filter("low").select("id", "p", F.lit(1).alias("k"), (F.rank().over(start) == 1).alias("is_first"))
+    high = between.filter("NOT low").select("id", "p", F.lit(1).alias("k"), F.lit(False).alias("is_first"))
+    return own.unionByName(low).unionByName(high)
 
 
 def ranges(found: DataFrame, n: int) -> DataFrame:
