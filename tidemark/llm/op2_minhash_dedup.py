@@ -16,8 +16,6 @@ WORDS = 5
 #: every key of the other, so SIDE * SIDE tables cost 2 * SIDE * DEPTH MinHash values. A pair of similarity s is missed
 #: with a chance of at most 2 * (1 - s**DEPTH)**SIDE: 0.0005 at s = 0.75, 0.00007 at 0.8.
 SIDE, DEPTH = 10, 2
-#: Stars drawn in each bucket group per round, and rounds of stars before the pairs left are listed.
-STARS, ROUNDS = 4, 6
 
 _SIGNS = "id long, n long, h1 long, h2 long, a array<long>, b array<long>"
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(0, 2**63, 2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,10 +76,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -108,34 +102,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_c
     members = C.stored(keys.join(shared, "key"), "op2-members")
     C.forget(keys, shared)
     sets = C.stored(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), "id long, set array<long>"), "op2-sets")
-    open_, tested, links, near = members.withColumn("component", F.col("id")), None, None, None
-    size_fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        if turn:
-            part = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-            size = part.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("members")).first()
-            if not size["pairs"]:
-                break
-            last = last or size["pairs"] <= 4 * size["members"]
-        if last:
-            other = open_.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
-            pairs = open_.join(other, "key").filter((F.col("id") < F.col("other")) & (F.col("component") != F.col("its")) & size_fits)
-        else:
-            order = F.xxhash64("id", F.pmod("key", F.lit(STARS)), F.lit(turn))
-            stars = open_.groupBy("key").agg(*(F.min_by(x, order).alias(y) for x, y in (("id", "other"), ("n", "m"), ("component", "its"))))
-            pairs = open_.join(stars, "key").filter((F.col("id") != F.col("other")) & (F.col("component") != F.col("its")) & size_fits)
-        pairs = pairs.select(*_pair("id", "other")).distinct()
-        pairs = C.stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "op2-pairs")
-        good = C.stored(_confirm(pairs, sets, percent), "op2-good")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-        near = C.components(links, "op2")
-        if last:
-            break
-        now = members.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        open_ = C.stored(now.join(mixed, "key"), "op2-open")
+    near = C.linked_groups(members.withColumnRenamed("n", "w"), lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
+                           lambda pairs: _confirm(pairs, sets, percent), "op2")
     whole = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     whole = C.stored(whole, "op2-whole")
     return _result(signs.select("id", *same).join(whole, same, "left"))
