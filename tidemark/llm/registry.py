@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm import op4_decontamination as op4
+from tidemark.llm.op1_best_fit_packing import op1_best_fit_packing
+from tidemark.llm.op2_minhash_dedup import op2_minhash_dedup
 from tidemark.llm.op3_suffix_dedup import op3_suffix_dedup
 from tidemark.llm.op5_substring_dedup import op5_substring_dedup
+from tidemark.llm.op8_embedding_dedup import op8_embedding_dedup
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op5_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op4.op4_decontamination, op5_substring_dedup, op8_embedding_dedup)}
+ORACLES = {"op4_decontamination": op4.ORACLE}
