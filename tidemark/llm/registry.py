@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm import op4_decontamination as op4
+from tidemark.llm import op7_chat_format as op7
 from tidemark.llm.op1_best_fit_packing import op1_best_fit_packing
 from tidemark.llm.op2_minhash_dedup import op2_minhash_dedup
 from tidemark.llm.op3_suffix_dedup import op3_suffix_dedup
 from tidemark.llm.op5_substring_dedup import op5_substring_dedup
+from tidemark.llm.op6_pii import op6_pii
 from tidemark.llm.op8_embedding_dedup import op8_embedding_dedup
+from tidemark.llm.op9_quality import op9_quality
+from tidemark.llm.op10_secrets import op10_secrets
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op4.op4_decontamination, op5_substring_dedup, op8_embedding_dedup)}
-ORACLES = {"op4_decontamination": op4.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op4.op4_decontamination, op5_substring_dedup, op6_pii,
+                                   op7.op7_chat_format, op8_embedding_dedup, op9_quality, op10_secrets)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op4_decontamination": op4.ORACLE, "op7_chat_format": op7.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
