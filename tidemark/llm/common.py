@@ -197,35 +197,42 @@ def components(links: DataFrame, label: str) -> DataFrame:
             return labels.select("id", "component")
 
 
-#: Stars drawn per bucket, by the bucket's key, and rounds of stars before the pairs left are listed.
-STARS, ROUNDS = 4, 6
+#: Rounds of stars before the pairs left are listed.
+ROUNDS = 2
 
 
-def linked_groups(members: DataFrame, fits, confirm, label: str) -> DataFrame:
+def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None) -> DataFrame:
     """(id, component) from buckets (key, id, w): what the confirmed pairs of bucket mates connect.
 
     ``fits(w, other_w)`` is a cheap exact condition on a pair, ``confirm(pairs)`` keeps the pairs (a, b) that
     are links. Bucket mates need not be compared if they are in one component already. So a round compares
     the mates in each bucket with one of them, which is linear in the bucket; then only buckets with several
-    components stay open. When few pairs of different components are left (or after ``ROUNDS`` rounds), all of
-    them are compared: no pair of bucket mates is given up, whatever the bucket's size. ``members`` must be a
-    stored table.
+    components stay open. Where ``refine`` is given, it makes finer buckets for the ids that are still in open
+    ones, and rounds begin anew with those. When few pairs of different components are left (or after
+    ``ROUNDS`` rounds), all of them are compared: no pair of bucket mates is given up, whatever the bucket's
+    size. ``members`` must be a stored table.
     """
-    open_, tested, links, near = members.withColumn("component", F.col("id")), None, None, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        if turn:
+    open_, tested, near, turn = members.withColumn("component", F.col("id")), None, None, 0
+    while True:
+        left = None
+        if near is not None:
+            now = members.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+            open_ = stored(now.join(mixed, "key"), f"{label}-open")
             part = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
                 F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
             left = part.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("members")).first()
             if not left["pairs"]:
-                break
-            last = last or left["pairs"] <= 4 * left["members"]
+                return near
+            if refine is not None:
+                members, refine, turn = stored(refine(open_.select("id", "w").distinct()), f"{label}-finer"), None, 0
+                continue
+        last = turn >= ROUNDS or (left is not None and left["pairs"] <= 2 * left["members"])
         if last:
             mates = open_.select("key", F.col("id").alias("other"), F.col("w").alias("other_w"), F.col("component").alias("its"))
             apart = F.col("id") < F.col("other")
         else:
-            order = F.xxhash64("id", F.pmod("key", F.lit(STARS)), F.lit(turn))
+            order = F.xxhash64("id", F.lit(turn))
             mates = open_.groupBy("key").agg(*(F.min_by(x, order).alias(y) for x, y in (("id", "other"), ("w", "other_w"), ("component", "its"))))
             apart = F.col("id") != F.col("other")
         pairs = (open_.join(mates, "key").filter(apart & (F.col("component") != F.col("its")) & fits(F.col("w"), F.col("other_w")))
@@ -233,11 +240,9 @@ def linked_groups(members: DataFrame, fits, confirm, label: str) -> DataFrame:
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, f"{label}-pairs")
         good = stored(confirm(pairs), f"{label}-good")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
+        # what is connected already enters as one link to the smallest id
+        links = good if near is None else good.unionByName(near.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
         near = components(links, label)
         if last:
-            break
-        now = members.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        open_ = stored(now.join(mixed, "key"), f"{label}-open")
-    return near
+            return near
+        turn += 1
