@@ -201,7 +201,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
 ROUNDS = 2
 
 
-def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None) -> DataFrame:
+def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None, sketches: DataFrame | None = None, close=None) -> DataFrame:
     """(id, component) from buckets (key, id, w): what the confirmed pairs of bucket mates connect.
 
     ``fits(w, other_w)`` is a cheap exact condition on a pair, ``confirm(pairs)`` keeps the pairs (a, b) that
@@ -210,8 +210,12 @@ def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None) ->
     components stay open. Where ``refine`` is given, it makes finer buckets for the ids that are still in open
     ones, and rounds begin anew with those. When few pairs of different components are left (or after
     ``ROUNDS`` rounds), all of them are compared: no pair of bucket mates is given up, whatever the bucket's
-    size. ``members`` must be a stored table.
+    size. Where ``sketches`` (id, s) are given, ``close(w, s, other_w, other_s)`` must hold for every link; it
+    is tested where pairs are formed, so that few are listed. ``members`` must be a stored table.
     """
+    def side(x: DataFrame, name: str) -> DataFrame:
+        return x.join(sketches.select(F.col("id").alias(name), F.col("s").alias(f"{name}_s")), name)
+
     open_, tested, near, turn = members.withColumn("component", F.col("id")), None, None, 0
     while True:
         left = None
@@ -231,12 +235,18 @@ def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None) ->
         if last:
             mates = open_.select("key", F.col("id").alias("other"), F.col("w").alias("other_w"), F.col("component").alias("its"))
             apart = F.col("id") < F.col("other")
+            if sketches is not None:
+                open_, mates = side(open_, "id"), side(mates, "other")
+                apart = apart & close(F.col("w"), F.col("id_s"), F.col("other_w"), F.col("other_s"))
         else:
             order = F.xxhash64("id", F.lit(turn))
             mates = open_.groupBy("key").agg(*(F.min_by(x, order).alias(y) for x, y in (("id", "other"), ("w", "other_w"), ("component", "its"))))
             apart = F.col("id") != F.col("other")
-        pairs = (open_.join(mates, "key").filter(apart & (F.col("component") != F.col("its")) & fits(F.col("w"), F.col("other_w")))
-                 .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        pairs = open_.join(mates, "key").filter((F.col("component") != F.col("its")) & fits(F.col("w"), F.col("other_w")) & apart)
+        if sketches is not None and not last:
+            pairs = pairs.select("id", "w", "other", "other_w").distinct()
+            pairs = side(side(pairs, "other"), "id").filter(close(F.col("w"), F.col("id_s"), F.col("other_w"), F.col("other_s")))
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, f"{label}-pairs")
         good = stored(confirm(pairs), f"{label}-good")
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
@@ -21,7 +23,11 @@ SIDE, DEPTH = 10, 2
 #: passage. A pair is missed with a chance of (1 - s**FINE_DEPTH)**FINE_TABLES: 0.0002 at s = 0.75; at s = 0.3 it meets with 0.005.
 FINE_TABLES, FINE_DEPTH = 80, 8
 
-_SIGNS = "id long, n long, h1 long, h2 long, a array<long>, b array<long>"
+#: Words of 64 bits in the parity sketch of a set: every shingle flips one bit. Two sketches differ in no more bits than their sets do in
+#: shingles, so a sketch rules pairs out without error.
+SKETCH = 8
+
+_SIGNS = "id long, n long, h1 long, h2 long, a array<long>, b array<long>, s struct<" + ", ".join(f"s{i}:long" for i in range(SKETCH)) + ">"
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(0, 2**63, 2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -44,9 +50,11 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sh, begin = _shingles(data, offsets, width)
             n_texts = end - row
             n, h1, h2 = (np.zeros(n_texts, dtype=np.uint64) for _ in range(3))
+            flips = np.zeros((n_texts, 64 * SKETCH), dtype=np.uint8)
             for i in np.flatnonzero(np.diff(begin)):
                 u = np.unique(sh[begin[i]: begin[i + 1]])
                 n[i], h1[i], h2[i] = len(u), C.mix(u).sum(), C.mix(u ^ np.uint64(0x5DEECE66D)).sum()
+                flips[i] = np.bincount((u % np.uint64(64 * SKETCH)).view(np.int64), minlength=64 * SKETCH) & 1
             full = np.flatnonzero(np.diff(begin))
             keys = np.zeros((n_texts, 2 * SIDE), dtype=np.uint64)
             if len(full):
@@ -56,8 +64,10 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                         keys[full, k] = C.mix(keys[full, k] + C.mix(low) + np.uint64(j))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(C.signed(np.ascontiguousarray(keys[:, x]).reshape(-1))), SIDE).cast(pa.list_(pa.int64()))
                      for x in (slice(0, SIDE), slice(SIDE, None))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row:end]), *(pa.array(C.signed(x)) for x in (n, h1, h2)), *lists],
-                                             names=["id", "n", "h1", "h2", "a", "b"])
+            words = np.packbits(flips, axis=1).view(np.int64)
+            sketch = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH)], names=[f"s{i}" for i in range(SKETCH)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row:end]), *(pa.array(C.signed(x)) for x in (n, h1, h2)), *lists, sketch],
+                                             names=["id", "n", "h1", "h2", "a", "b", "s"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -105,6 +115,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def _close(x: Column, s: Column, y: Column, t: Column, percent: int) -> Column:
+    """Necessary for a link of sets of sizes ``x`` and ``y``: sketches that differ in no more bits than linked sets may in shingles."""
+    apart = reduce(add, (F.bit_count(s[f"s{i}"].bitwiseXOR(t[f"s{i}"])) for i in range(SKETCH)))
+    return (100 + percent) * apart <= (100 - percent) * (x + y)
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -113,7 +129,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_c
 
     Documents with equal sets are one class from the start. In each bucket of the tables a few stars link the
     classes to one of them; classes that are already in one component need no further comparison, and pairs
-    from different components that share a bucket are all compared in the end, whatever the bucket's size.
+    from different components that share a bucket are all compared in the end, whatever the bucket's size;
+    parity sketches rule most of those out before they are listed.
 
     Null ids count as the smallest id, null texts and texts without words have an empty set, are linked with
     nothing and stay. Rows that repeat an id are one document in the links; each gets a result row of its
@@ -132,7 +149,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_c
     C.forget(keys, shared)
     sets = C.stored(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), "id long, set array<long>"), "op2-sets")
     near = C.linked_groups(members.withColumnRenamed("n", "w"), lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
-                           lambda pairs: _confirm(pairs, sets, percent), "op2", lambda ids: _finer(ids, sets))
+                           lambda pairs: _confirm(pairs, sets, percent), "op2", lambda ids: _finer(ids, sets),
+                           signs.join(classes, same).filter("id = rep").select("id", "s").distinct(), lambda x, s, y, t: _close(x, s, y, t, percent))
     whole = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     whole = C.stored(whole, "op2-whole")
     return _result(signs.select("id", *same).join(whole, same, "left"))
