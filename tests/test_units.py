@@ -202,3 +202,63 @@ def test_effective_n_counts_spaced_rows(spark):
     from tidemark.operators.evaluate import effective_n
     df = spark.createDataFrame([("s", i, i * 10, 35) for i in (0, 1, 2, 3, 4, 8, 9, 20)], "k string, bar_idx long, open_time_ms long, w long")
     assert effective_n(df, ["k"], "w", chunk=512, halo=512, split=False).first().n_effective == 4   # 0, 40, 80, 200
+
+
+def test_one_name_is_one_definition(spark):
+    p = panel_of(spark, walk(80))
+    d = indicators(p, {"a": X.bbands(20, 2.0)[0], "b": X.bbands(20, 3.0)[0], "m": X.bbands(20, 3.0)[1]}).filter("bar_idx = 70").first()
+    assert math.isclose((d.b - d.m) / (d.a - d.m), 1.5, rel_tol=1e-9)
+    assert R.crosses_above(X.CLOSE, 50000.12) is not R.crosses_above(X.CLOSE, 50000.13)
+    assert R.crosses_above(X.CLOSE, 50000.12) is R.crosses_above(X.CLOSE, 50000.12)
+    assert X.prior_extreme(True, 50, 5) is not X.prior_extreme(True)
+    assert X.ema(X.CLOSE, 9, 3) is not X.ema(X.CLOSE, 9)
+    with pytest.raises(ValueError, match="already defined"):
+        X.feature("range", [X.OPEN], None)
+
+
+def test_long_windows_and_nested_averages_equal_the_loop(spark):
+    pdf = walk(2_600)
+    c = pdf["close"]
+    spans = (512, 513, 600, 1024, 1200)
+    wanted = {f"m{n}": X.sma(X.CLOSE, n) for n in spans} | {
+        "one": R.ema(X.CLOSE, 1), "of_change": R.ema(R.change(X.CLOSE, 5), 10), "of_mean": R.ema(R.sma(X.CLOSE, 50), 10)}
+    d = indicators(panel_of(spark, pdf), wanted).orderBy("bar_idx").toPandas()
+    for n in spans:
+        np.testing.assert_allclose(d[f"m{n}"].to_numpy(dtype=float), c.rolling(n).mean().to_numpy(), rtol=1e-9)
+    np.testing.assert_array_equal(d["one"].to_numpy(dtype=float), c.to_numpy())
+    for col, x, first in (("of_change", (c / c.shift(5) - 1) * 100, 5), ("of_mean", c.rolling(50).mean(), 49)):
+        want = np.concatenate([np.full(first, np.nan), sequential_ema(x.to_numpy()[first:], 10)])
+        np.testing.assert_allclose(d[col].to_numpy(dtype=float), want, rtol=1e-8, atol=1e-9)
+
+
+def test_ticks_and_bars_that_cannot_be_right(spark):
+    from tidemark.operators.bars import ticks_to_minutes
+    make = lambda seqs: spark.createDataFrame([("S", pd.Timestamp("2024-01-01").to_pydatetime(), q, 10.0 * (i + 1), 1.0) for i, q in enumerate(seqs)],
+                                              "symbol string, ts timestamp, seq long, price double, size double")
+    bar = ticks_to_minutes(make([1, 2**47 - 1])).first()
+    assert (bar.open, bar.close) == (10.0, 20.0)
+    with pytest.raises(Exception, match="seq must be"):
+        ticks_to_minutes(make([1, 2**47])).collect()
+    pdf = walk(4)
+    pdf.loc[2, "close"] = None
+    bad = spark.createDataFrame(pdf).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    assert [r.violation for r in validate_bars(bad).orderBy("open_time_ms").collect()] == [None, None, "price_missing", None]
+
+
+def test_user_times_lose_nothing(spark):
+    from tidemark.sources.user_signals import find_column, import_signals, TIME_NAMES
+    def read(values, kind):
+        return sorted(r.ts for r in import_signals(spark.createDataFrame([(v, 1) for v in values], f"time {kind}, signal int"))[0].collect())
+    for unit in (1, 1_000, 1_000_000, 1_000_000_000):
+        at = 1_710_374_400 * unit
+        want = [1_710_374_400_000, 1_710_374_460_000]
+        assert read([at, at + 60 * unit], "long") == want
+        assert read([float(at), float(at + 60 * unit)], "double") == want
+        assert read([f"{at}.0", f"{at + 60 * unit}.0"], "string") == want
+    day, six = 1_710_374_400_000, 1_710_439_200_000
+    for text, ms in (("2024-03-14T18:00:00.000Z", six), ("2024-03-14 18:00:00.123", six + 123), ("2024-03-14 18:00:00+00:00", six),
+                     ("14/03/2024", day), ("03/14/2024", day), ("Mar 14 2024", day)):
+        assert read([text], "string") == [ms]
+    with pytest.raises(Exception, match="unreadable"):
+        read([1_710_374_400, None], "long")
+    assert find_column(["mydate", "uptime"], TIME_NAMES) == "mydate"

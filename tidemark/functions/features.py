@@ -24,6 +24,8 @@ class Feature:
     deps: tuple
     expr: Callable[[], Column] | None      # None: a column of the bar table
     carry: bool = False                    # ``expr`` is an event to be carried forward
+    first: int = 0                         # the bar it is defined from, if its inputs have no holes
+    params: tuple = ()                     # what tells it from others of the same inputs, beyond the name
 
     @property
     def c(self) -> Column:
@@ -33,11 +35,27 @@ class Feature:
 _KNOWN: dict[str, Feature] = {}
 
 
-def feature(name: str, deps, expr, carry: bool = False) -> Feature:
-    """Get or define the feature ``name`` (definitions are unique per name)."""
-    if name not in _KNOWN:
-        _KNOWN[name] = Feature(name, tuple(deps), expr, carry)
-    return _KNOWN[name]
+def feature(name: str, deps, expr, carry: bool = False, first: int | None = None, params: tuple = ()) -> Feature:
+    """Get or define the feature ``name``. One name cannot stand for two definitions: other inputs or
+    parameters under a known name are refused. ``first`` is that of the latest input unless given."""
+    deps = tuple(deps)
+    if first is None:
+        first = max((d.first for d in deps), default=0)
+    have = _KNOWN.setdefault(name, Feature(name, deps, expr, carry, first, params))
+    if ([d.name for d in have.deps], have.first, have.params, have.carry) != ([d.name for d in deps], first, params, carry):
+        raise ValueError(f"'{name}' is already defined with other inputs or parameters")
+    return have
+
+
+def number(x: float) -> str:
+    """``x`` in full, as a part of a name."""
+    short = f"{x:g}"
+    return (short if float(short) == float(x) else repr(float(x))).replace(".", "_").replace("-", "m").replace("+", "")
+
+
+def since(x: Feature, start: int) -> str:
+    """The part of a name that tells a recursion from one that begins where ``x`` does."""
+    return "" if start == x.first else f"_s{start}"
 
 
 def base(name: str) -> Feature:
@@ -57,7 +75,7 @@ def pos_in_block() -> Column:
 def lag(x: Feature, k: int = 1) -> Feature:
     if k < 1:
         raise ValueError("lag only reads the past (k >= 1)")
-    return feature(f"{x.name}_l{k}", [x], lambda: F.lag(x.c, k).over(win()))
+    return feature(f"{x.name}_l{k}", [x], lambda: F.lag(x.c, k).over(win()), first=x.first + k)
 
 
 def guard(n: int, x: Feature, value: Column, skip: int = 0, holes: bool = False) -> Column:
@@ -80,35 +98,45 @@ def prefix(x: Feature) -> tuple[Feature, Feature]:
 
 
 def rsum(x: Feature, n: int, holes: bool = False) -> Feature:
-    """Sum of the last n bars (n <= 512) from two running sums: constant work per bar for any n,
-    and rounding that cannot build up past a block."""
+    """Sum of the last n bars from running sums inside blocks and totals of whole blocks: constant
+    work per bar for any n, and rounding that cannot build up past the blocks of the window."""
     p, t = prefix(x)
+    name = f"{x.name}_sum{n}" + ("_holes" if holes else "")
+    if n > BLOCK:
+        # bar i-n lies n // BLOCK blocks back, or one more when i stands too near its block's start
+        less, more = (feature(f"{x.name}_pt{m}", [x], lambda m=m: F.coalesce(F.sum(x.c).over(blocks_before(m)), F.lit(0.0)))
+                      for m in (n // BLOCK, n // BLOCK + 1))
+
+        def far():
+            old = F.coalesce(F.lag(p.c, n).over(win()), F.lit(0.0))
+            return guard(n, x, p.c + F.when(pos_in_block() >= n % BLOCK, less.c).otherwise(more.c) - old, holes=holes)
+        return feature(name, [x, p, less, more], far, first=x.first + n - 1)
 
     def e():
         at = pos_in_block()
         old = F.lag(p.c, n).over(win())
         total = F.when(at >= n, p.c - old).when(at == n - 1, p.c).otherwise(p.c + (t.c - old))
         return guard(n, x, total, holes=holes)
-    return feature(f"{x.name}_sum{n}", [x, p, t], e)
+    return feature(name, [x, p, t], e, first=x.first + n - 1)
 
 
 def sma(x: Feature, n: int, holes: bool = False) -> Feature:
     s = rsum(x, n, holes)
-    return feature(f"{x.name}_sma{n}", [s], lambda: s.c / n)
+    return feature(f"{x.name}_sma{n}" + ("_holes" if holes else ""), [s], lambda: s.c / n)
 
 
 def std(x: Feature, n: int) -> Feature:
-    return feature(f"{x.name}_std{n}", [x], lambda: guard(n, x, F.stddev_pop(x.c).over(rows(n))))
+    return feature(f"{x.name}_std{n}", [x], lambda: guard(n, x, F.stddev_pop(x.c).over(rows(n))), first=x.first + n - 1)
 
 
 def rmax(x: Feature, n: int, skip: int = 0) -> Feature:
     return feature(f"{x.name}_max{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x, F.max(x.c).over(rows(n, skip)), skip))
+                   lambda: guard(n, x, F.max(x.c).over(rows(n, skip)), skip), first=x.first + n - 1 + skip)
 
 
 def rmin(x: Feature, n: int, skip: int = 0) -> Feature:
     return feature(f"{x.name}_min{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x, F.min(x.c).over(rows(n, skip)), skip))
+                   lambda: guard(n, x, F.min(x.c).over(rows(n, skip)), skip), first=x.first + n - 1 + skip)
 
 
 def roc(x: Feature, n: int) -> Feature:
@@ -116,7 +144,7 @@ def roc(x: Feature, n: int) -> Feature:
     def e():
         p = F.lag(x.c, n).over(win())
         return F.when(p != 0, (x.c / p - 1.0) * 100.0).when(p == 0, 0.0)
-    return feature(f"{x.name}_roc{n}", [x], e)
+    return feature(f"{x.name}_roc{n}", [x], e, first=x.first + n)
 
 
 def slope(x: Feature, n: int) -> Feature:
@@ -163,6 +191,8 @@ def affine(name: str, u: Feature, q: float, first: int) -> Feature:
     before contribute ``q^(p+1) · Σ_k q^(512(k-1)) · end_k`` over as many blocks as the
     coefficient remembers at double precision. Seeds are part of ``u``.
     """
+    if q == 0:
+        return feature(name, [u], lambda: F.when(F.col("bar_idx") >= first, u.c), first=first)
     loss = -math.log(q)
     if loss * BLOCK > 600:
         raise ValueError("coefficient too small for the block length")
@@ -180,7 +210,7 @@ def affine(name: str, u: Feature, q: float, first: int) -> Feature:
                                 lambda acc, v: acc * m + v)
         y = p.c + F.pow(F.lit(q), pos_in_block() + 1) * carry
         return F.when(F.col("bar_idx") >= first, y)
-    return feature(name, [p], e)
+    return feature(name, [p], e, first=first, params=(q,))
 
 
 def _first(x: Feature, start: int, n: int) -> Column:
@@ -215,24 +245,25 @@ def trailing(name: str, x: Feature, n: int, start: int, seed: str = "mean") -> F
         first = x.c - _first(x, start, n) / n if seed == "mean" else F.lit(0.0)
         return (F.when(F.col("bar_idx") > at, q * step).when(F.col("bar_idx") == at, first).otherwise(0.0))
     d = affine(f"{name}_d", feature(f"{name}_du", [x], e), q, at)
-    return feature(name, [x, d], lambda: x.c - d.c)
+    return feature(name, [x, d], lambda: x.c - d.c, first=at)
 
 
 def ema(x: Feature, n: int, start: int = 0) -> Feature:
-    return trailing(f"{x.name}_ema{n}", x, n, start)
+    return trailing(f"{x.name}_ema{n}{since(x, start)}", x, n, start)
 
 
 def wilder(x: Feature, n: int, start: int) -> Feature:
-    return smooth(f"{x.name}_wil{n}", x, n, 1.0 / n, start)
+    return smooth(f"{x.name}_wil{n}{since(x, start)}", x, n, 1.0 / n, start)
 
 
 def wilder_sum(x: Feature, n: int, start: int) -> Feature:
     """Decayed running sum: plain sum of the first n-1 values, then y = y·(1-1/n) + x."""
     at = start + n - 2
-    u = feature(f"{x.name}_wsum{n}_u", [x], lambda: F.when(
+    name = f"{x.name}_wsum{n}{since(x, start)}"
+    u = feature(f"{name}_u", [x], lambda: F.when(
         F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)))
         .when(F.col("bar_idx") == at, _first(x, start, n - 1)).otherwise(0.0))
-    return affine(f"{x.name}_wsum{n}", u, 1.0 - 1.0 / n, at + 1)
+    return affine(name, u, 1.0 - 1.0 / n, at + 1)
 
 
 def affine_varying(name: str, coef: Feature, u: Feature, first: int, slowest: float) -> Feature:
@@ -249,7 +280,7 @@ def affine_varying(name: str, coef: Feature, u: Feature, first: int, slowest: fl
         carry = F.aggregate(F.collect_list(end).over(blocks_before(reach)), F.lit(0.0),
                             lambda acc, v: acc * v["m"] + v["y"])
         return F.when(F.col("bar_idx") >= first, p.c + F.exp(lp.c) * carry)
-    return feature(name, [p], e)
+    return feature(name, [p], e, first=first, params=(slowest,))
 
 
 # ------------------------------------------------------------------ named indicators
@@ -294,7 +325,7 @@ def rsi_of(x: Feature, n: int = 14, start: int = 0) -> Feature:
     g = row(f"{x.name}_gain", [x, p], lambda: F.greatest(x.c - p.c, F.lit(0.0)) + (p.c - p.c))
     d = row(f"{x.name}_loss", [x, p], lambda: F.greatest(p.c - x.c, F.lit(0.0)) + (p.c - p.c))
     ag, ad = wilder(g, n, start + 1), wilder(d, n, start + 1)
-    return row(f"{x.name}_rsi{n}", [ag, ad], lambda: F.when(
+    return row(f"{x.name}_rsi{n}{since(x, start)}", [ag, ad], lambda: F.when(
         ag.c + ad.c > 0, 100.0 * ag.c / (ag.c + ad.c)).when(ag.c.isNotNull(), 0.0))
 
 
@@ -306,8 +337,9 @@ def macd(fast: int = 12, slow: int = 26, sig: int = 9) -> tuple[Feature, Feature
 
 def bbands(n: int = 20, k: float = 2.0) -> tuple[Feature, Feature, Feature]:
     m, s = sma(CLOSE, n), std(CLOSE, n)
-    return (row(f"bb_up{n}", [m, s], lambda: m.c + k * s.c), m,
-            row(f"bb_lo{n}", [m, s], lambda: m.c - k * s.c))
+    wide = "" if k == 2.0 else f"_k{number(k)}"
+    return (row(f"bb_up{n}{wide}", [m, s], lambda: m.c + k * s.c), m,
+            row(f"bb_lo{n}{wide}", [m, s], lambda: m.c - k * s.c))
 
 
 def dmi(n: int = 14) -> tuple[Feature, Feature, Feature]:
@@ -458,7 +490,8 @@ def prior_extreme(high_side: bool, far: int = 100, near: int = 10) -> Feature:
                      AO.c.alias("ao"))
         return F.when(F.lag(CLOSE.c, far).over(win()).isNotNull(),
                       (F.max(s) if high_side else F.min(s)).over(w))
-    return feature("prior_hi" if high_side else "prior_lo", [AO, CLOSE, IDX], e)
+    away = "" if (far, near) == (100, 10) else f"_{far}_{near}"
+    return feature(("prior_hi" if high_side else "prior_lo") + away, [AO, CLOSE, IDX], e)
 
 
 RS_TERM = row("rs_term", [OPEN, HIGH, LOW, CLOSE], lambda: F.when(

@@ -25,16 +25,11 @@ MIN_ACTIVE, MIN_BARS = 30, 400
 
 
 def ema(x: Feature, n: int) -> Feature:
-    return X.ema(x, n, _start(x))
+    return X.ema(x, n, x.first)
 
 
 def rsi(x: Feature, n: int = 14) -> Feature:
-    return X.rsi_of(x, n, _start(x))
-
-
-def _start(x: Feature) -> int:
-    """First bar a rule series is defined on."""
-    return 14 if x.name == RULE_SERIES["atr"].name else 0
+    return X.rsi_of(x, n, x.first)
 
 
 def shift(x: Feature, n: int = 1) -> Feature:
@@ -60,7 +55,7 @@ def _cross(a: Feature, b: Feature | float, up: bool) -> Feature:
     def e():
         cur, old = (F.lit(float(b)), F.lit(float(b))) if const else (b.c, q.c)
         return where((a.c > cur) & (p.c <= old)) if up else where((a.c < cur) & (p.c >= old))
-    tag = f"{b:g}".replace(".", "_").replace("-", "m") if const else b.name
+    tag = X.number(b) if const else b.name
     return feature(f"{a.name}_x{'up' if up else 'dn'}_{tag}", [a, p] + ([] if const else [b, q]), e)
 
 

@@ -22,11 +22,13 @@ def ticks_to_minutes(ticks: DataFrame) -> DataFrame:
     First and last price are picked by ONE packed long, ``ms-in-minute << 47 | seq``, so every
     aggregation buffer is a primitive and the job is a hash aggregation with map-side partials: a
     symbol holding a third of all ticks leaves each map task as one row per minute.
-    ``seq`` must be in [0, 2^47) and order the ticks of one millisecond.
+    ``seq`` must be in [0, 2^47) and order the ticks of one millisecond; any other fails the job.
     """
     t = as_ms("ts")
     minute = floor_to(t, MINUTE_MS)
-    key = F.shiftleft(t - minute, _SEQ_BITS).bitwiseOR(F.col("seq").cast("long"))
+    seq = F.col("seq").cast("long")
+    seq = F.when(seq.between(0, 2**_SEQ_BITS - 1), seq).otherwise(F.raise_error(F.lit("seq must be in [0, 2^47)")).cast("long"))
+    key = F.shiftleft(t - minute, _SEQ_BITS).bitwiseOR(seq)
     return (ticks.select("symbol", minute.alias("open_time_ms"), key.alias("k"), "price", "size")
             .groupBy("symbol", "open_time_ms")
             .agg(F.min_by("price", "k").alias("open"), F.max("price").alias("high"),
@@ -77,9 +79,10 @@ def bar_coverage(n_source: Column, tf: Column | str = "tf") -> Column:
 
 
 def bar_violation(step: Column | None = None) -> Column:
-    """Why a row is not a bar, or NULL: off the grid, or high/low not the extremes."""
+    """Why a row is not a bar, or NULL: off the grid, a price missing, or high/low not the extremes."""
     step = tf_ms() if step is None else step
     return (F.when(F.pmod(F.col("open_time_ms"), step) != 0, "off_grid")
+            .when(F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull(), "price_missing")
             .when(F.col("high") < F.greatest("open", "close", "low"), "high_not_max")
             .when(F.col("low") > F.least("open", "close", "high"), "low_not_min"))
 

@@ -17,31 +17,31 @@ SHORT_WORDS = ("short", "corto", "curt", "sell", "venta", "venda", "vender", "ve
                "baixista", "down")
 FLAT_WORDS = ("flat", "fuera", "fora", "none", "cash", "0", "neutral", "", "nan", "hold")
 TIME_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss",
-                "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss")
+                "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss",
+                "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSS",
+                "yyyy-MM-dd HH:mm:ssXXX", "MM/dd/yyyy", "dd/MM/yyyy", "MMM d yyyy")
 
 
 def find_column(columns: list[str], names: tuple[str, ...]) -> str | None:
-    """Exact name first, then the first vocabulary word contained in a column name."""
+    """Exact name first, then the first column whose name contains a vocabulary word."""
     low = {c.strip().lower(): c for c in reversed(columns)}
     for n in names:
         if n in low:
             return low[n]
-    for n in names:
-        for c in columns:
-            if len(n) > 1 and n in c.strip().lower():
-                return c
-    return None
+    return next((c for c in columns if any(n in c.strip().lower() for n in names)), None)
 
 
 def to_ms(df: DataFrame, col: str) -> Column:
     """Epoch ms of a time column. Numeric: the median magnitude picks the unit. Text: a list of
-    readable formats, UTC."""
+    readable formats, UTC; with slashes the month comes first where both readings fit. A missing time is an error."""
     raw = F.trim(F.col(col).cast("string"))
     num = F.expr(f"try_cast(trim(cast(`{col}` AS STRING)) AS DOUBLE)")
     bad, med = df.agg(F.count_if(raw.isNotNull() & num.isNull()), F.expr("percentile_approx(abs("
                       f"try_cast(trim(cast(`{col}` AS STRING)) AS DOUBLE)), 0.5)")).first()
     if bad == 0 and med is not None:
-        v = F.expr(f"try_cast(trim(cast(`{col}` AS STRING)) AS BIGINT)")
+        # DECIMAL reads "1710374400.0" and "1.7103744E9" and keeps all digits of nanoseconds; a fraction of the unit is cut
+        v = F.expr(f"try_cast(try_cast(trim(cast(`{col}` AS STRING)) AS DECIMAL(38, 9)) AS BIGINT)")
+        v = F.coalesce(v, F.raise_error(F.concat(F.lit("unreadable time: "), F.coalesce(raw, F.lit("NULL")))).cast("long"))
         if med > 1e17:
             return F.floor(v / 1_000_000)
         if med > 1e14:
@@ -52,7 +52,7 @@ def to_ms(df: DataFrame, col: str) -> Column:
             return v * 1000
         raise ValueError(f"values around {med:.0f} are neither a timestamp nor a date: is '{col}' the time column?")
     ts = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in TIME_FORMATS])
-    return F.when(raw.isNotNull() & ts.isNull(), F.raise_error(F.concat(F.lit("unreadable date: "), raw)).cast("long")
+    return F.when(ts.isNull(), F.raise_error(F.concat(F.lit("unreadable date: "), F.coalesce(raw, F.lit("NULL")))).cast("long")
                   ).otherwise(F.unix_millis(ts))
 
 
