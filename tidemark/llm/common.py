@@ -209,14 +209,14 @@ def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None, sk
     the mates in each bucket with one of them, which is linear in the bucket; then only buckets with several
     components stay open. Where ``refine`` is given, it makes finer buckets for the ids that are still in open
     ones, and rounds begin anew with those. When few pairs of different components are left (or after
-    ``ROUNDS`` rounds), all of them are compared: no pair of bucket mates is given up, whatever the bucket's
+    ``ROUNDS`` rounds, or one that did not settle half of the pairs), all of them are compared: no pair of bucket mates is given up, whatever the bucket's
     size. Where ``sketches`` (id, s) are given, ``close(w, s, other_w, other_s)`` must hold for every link; it
     is tested where pairs are formed, so that few are listed. ``members`` must be a stored table.
     """
     def side(x: DataFrame, name: str) -> DataFrame:
         return x.join(sketches.select(F.col("id").alias(name), F.col("s").alias(f"{name}_s")), name)
 
-    open_, tested, near, turn = members.withColumn("component", F.col("id")), None, None, 0
+    open_, tested, near, turn, before = members.withColumn("component", F.col("id")), None, None, 0, None
     while True:
         left = None
         if near is not None:
@@ -231,7 +231,8 @@ def linked_groups(members: DataFrame, fits, confirm, label: str, refine=None, sk
             if refine is not None:
                 members, refine, turn = stored(refine(open_.select("id", "w").distinct()), f"{label}-finer"), None, 0
                 continue
-        last = turn >= ROUNDS or (left is not None and left["pairs"] <= 2 * left["members"])
+        last = turn >= ROUNDS or (left is not None and (left["pairs"] <= 2 * left["members"] or (before is not None and 2 * left["pairs"] > before)))
+        before = None if left is None else left["pairs"]
         if last:
             mates = open_.select("key", F.col("id").alias("other"), F.col("w").alias("other_w"), F.col("component").alias("its"))
             apart = F.col("id") < F.col("other")

@@ -148,11 +148,13 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = 75, id_c
     members = C.stored(keys.join(shared, "key"), "op2-members")
     C.forget(keys, shared)
     sets = C.stored(rows.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), "id long, set array<long>"), "op2-sets")
+    sketches = C.stored(signs.join(classes, same).filter("id = rep").select("id", "s").distinct(), "op2-sketches")     # read twice in every round
     near = C.linked_groups(members.withColumnRenamed("n", "w"), lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
                            lambda pairs: _confirm(pairs, sets, percent), "op2", lambda ids: _finer(ids, sets),
-                           signs.join(classes, same).filter("id = rep").select("id", "s").distinct(), lambda x, s, y, t: _close(x, s, y, t, percent))
+                           sketches, lambda x, s, y, t: _close(x, s, y, t, percent))
     whole = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     whole = C.stored(whole, "op2-whole")
+    C.forget(sketches, sets, members)
     return _result(signs.select("id", *same).join(whole, same, "left"))
 
 
