@@ -25,22 +25,26 @@ def first_per_key(batch: DataFrame, seq: str | None = None) -> DataFrame:
     return (batch.groupBy(*KEYS).agg(F.min_by(F.struct(*cols), seq).alias("v")).select(*KEYS, "v.*"))
 
 
+def stored_keys(spark: SparkSession, root: str, months: list[str]) -> DataFrame:
+    """(symbol, month, open_time_ms) of the stored bars of some months; other months are not listed."""
+    month = F.col("month").cast("string").alias("month")
+    return spark.read.parquet(root).select("symbol", month, "open_time_ms").filter(F.col("month").isin(*months))
+
+
 def ingest_bars(spark: SparkSession, root: str, batch: DataFrame, *, seq: str | None = None,
                 step: int = MINUTE_MS) -> DataFrame:
     """Idempotent upsert: rows already stored win, only new ones are appended to their month.
 
-    Only the touched months of the store are read for the anti join (the month list is pushed down
-    as a partition filter through the join). Returns (symbol, month, written, duplicates).
+    Only the touched months of the store are read for the anti join: their list (a dozen a year) goes
+    into the scan as literals. Returns (symbol, month, written, duplicates).
     """
     bad = F.pmod(F.col("open_time_ms"), F.lit(step)) != 0
     batch = batch.withColumn("open_time_ms", F.when(bad, F.raise_error(F.lit("open time off the grid")).cast("long"))
                              .otherwise(F.col("open_time_ms")))
     rows = materialize(first_per_key(batch, seq).withColumn("month", month_key(F.col("open_time_ms"))), "ingest")
     if path_exists(spark, root):
-        old = spark.read.parquet(root).select("symbol", "month", "open_time_ms")
-        touched = rows.select("symbol", "month").distinct()
-        old = old.join(touched, ["symbol", "month"], "left_semi")
-        fresh = materialize(rows.join(old, ["symbol", "month", "open_time_ms"], "left_anti"), "ingest")
+        old = stored_keys(spark, root, [r["month"] for r in rows.select("month").distinct().collect()])
+        fresh =materialize(rows.join(old, ["symbol", "month", "open_time_ms"], "left_anti"), "ingest")
     else:
         fresh = rows
     # one file per (symbol, month) in the usual case; a hot month is split by day of month

@@ -151,21 +151,31 @@ def sink_bars(minutes: DataFrame, root: str, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
-def stream_decisions(bars: DataFrame, history: str, out: str, checkpoint: str):
-    """Decide on each closed trigger bar: the micro-batch is appended to the stored bars, and the
-    batch pipeline answers for the new bars only."""
+_BAR_KEY = ["symbol", "tf", "open_time_ms"]
+_HISTORY = "symbol string, tf string, open_time_ms long, open double, high double, low double, close double, volume double, epoch long"
+
+
+def decide_batch(batch: DataFrame, epoch: int, history: str, out: str) -> None:
+    """One micro-batch of ``stream_decisions``: bars and decisions go to folders of their epoch, which a retry
+    of the same epoch overwrites. A bar that an earlier epoch holds is not decided again."""
     from tidemark.plans.pipelines import decide
     from tidemark.session import path_exists
+    spark = batch.sparkSession
+    fresh = batch.select(*_BAR_KEY, "open", "high", "low", "close", "volume")
+    if path_exists(spark, history):
+        known = spark.read.schema(_HISTORY).parquet(history).filter(F.col("epoch") < epoch)
+        fresh = fresh.join(known.select(*_BAR_KEY), _BAR_KEY, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
+    bars = spark.read.schema(_HISTORY).parquet(history)
+    dec, _ = decide(bars.filter(F.col("epoch") <= epoch).drop("epoch"))
+    new = bars.filter(F.col("epoch") == epoch).select(*_BAR_KEY)
+    dec.join(new, _BAR_KEY, "left_semi").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("symbol", "tf", "open_time_ms", "open", "high", "low", "close", "volume")
-        if path_exists(spark, history):
-            known = spark.read.parquet(history).select("symbol", "tf", "open_time_ms")
-            fresh = fresh.join(known, ["symbol", "tf", "open_time_ms"], "left_anti")
-        fresh.write.mode("append").parquet(history)
-        new = batch.select("symbol", "tf", "open_time_ms")
-        dec, _ = decide(spark.read.parquet(history))
-        dec.join(new, ["symbol", "tf", "open_time_ms"], "left_semi").write.mode("append").parquet(out)
+
+def stream_decisions(bars: DataFrame, history: str, out: str, checkpoint: str):
+    """Decide on each closed trigger bar: the micro-batch joins the stored bars, and the batch pipeline
+    answers for the new bars only. ``history``, ``out`` and ``checkpoint`` belong together."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        decide_batch(batch, epoch, history, out)
     return (bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
