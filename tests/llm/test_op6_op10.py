@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -86,6 +87,47 @@ def test_terms_that_disclose_and_redaction(spark):
     assert op6.sanitize(docs.limit(0)).count() == 0
 
 
+def test_terms_far_short_and_in_other_documents_are_brute_force(spark):
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(30)]
+    people = [("Bo", "bo@ex.org"), ("Łukasz", "l.k@ex.org"), ("Ann", "+49 (30) 1234-5678"), ("X", "10.1.2.3")]
+    rows = []
+    for d in range(150):
+        words = [rng.choice(common) for _ in range(60)]
+        if d % 15 == 0:
+            name, entity = people[d // 15 % 4]
+            words[2], words[50] = name, entity
+            if d % 30 == 0:
+                words[40] = name.upper()
+        if d == 40:
+            words[7] = "Ann"
+        if d in (60, 61):
+            words[3:5] = ["Mo", "lone@ex.org"] if d == 60 else ["Mo2", "a"]
+        rows.append((d, " ".join(words)))
+    rows += [(500, rows[15][1]), (501, rows[15][1]), (None, rows[45][1])]
+    _, spans = op6.pii_spans(frame(spark, rows))
+    got = {(r.id, r.start, r.end) for r in spans.filter("kind = 'term'").collect()}
+
+    texts, holds, words = {t for _, t in rows}, {}, {}
+    for t in texts:
+        base = [(a, b, k) for a, _, k, b in base6(t)]
+        holds[t] = {(k, digits(t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for a, b, k in base}
+        words[t] = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", t) if any(c.isalpha() for c in m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    guilty = {t: set() for t in texts}
+    for e in set().union(*holds.values()):
+        have = [t for t in texts if e in holds[t]]
+        p = len(have) / len(texts)
+        for w in {w for t in have for *_, w in words[t]}:
+            n, both = (sum(any(x[2] == w for x in words[t]) for t in group) for group in (texts, have))
+            if math.log((both + 0.5 * p) / (n + 0.5) / p) >= 0.9 * math.log(1 / p):
+                for t in have:
+                    guilty[t].add(w)
+    want = {(-(2**63) if d is None else d, a, b) for d, t in rows for a, b, w in words[t] if w in guilty[t]}
+    assert got == want
+    named = {rows[d][1][a:b] for d, a, b in want if d is not None and 0 <= d < 150}
+    assert {"Bo", "BO", "Łukasz", "X", "Mo"} <= named and not named & set(common) and {500, 501, -(2**63)} <= {d for d, *_ in want}
+
+
 def test_base_secrets_are_brute_force(spark):
     bits = ["password", "PassWD", "secret", "Token", "api_key", "APIKEY", "=", ": ", "'", "hunter22", "abc", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef01234567", "deadbeef", "ſecret=abcdefgh", "toKen=abcdefgh"]
     rows = texts(bits, 2)

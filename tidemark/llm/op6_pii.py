@@ -19,9 +19,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-#: A term gives an entity away when it tells this share of the entity's information, in this many different texts at least.
-DISCLOSED, SUPPORT = 0.9, 3
-_WORD = r"\p{L}[\p{L}\p{N}]{3,}+"
+#: A term gives an entity away when it tells this share of the entity's information. Each estimate starts from so many texts with the term in
+#: which the entity is as frequent as in all texts.
+DISCLOSED, PRIOR = 0.9, 0.5
+#: A term is such a run with a letter in it.
+_WORD = r"[\p{L}\p{M}\p{N}]++"
 
 
 def _digits(c: Column) -> Column:
@@ -44,36 +46,49 @@ def entities(rows: DataFrame) -> DataFrame:
     return found.filter(good)
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """Spans (id, th, kind 'term', start, end) of the words near an entity that give it away.
+def disclosing_terms(rows: DataFrame, spans: DataFrame, disclosed: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
+    """Spans (id, th, kind 'term', start, end) of the words that give away an entity of their document.
 
-    The entity is the matched string in lower case, its information the negative logarithm of its share of all documents. A word
-    of four or more letters within 64 characters of it tells their pointwise mutual information, estimated from
-    the documents that hold the word, the entity, and the word near the entity. Where that reaches the share ``disclosed`` of the
-    entity's information, in at least ``support`` different texts, the word's places near the entity are spans.
+    Everything is counted over different texts; copies of a text are no further evidence. The entity is the matched string in lower case, of
+    cards and phones the digits; its information is the negative logarithm of its share ``p`` of all texts. A term is a word of any length
+    outside the entities, anywhere in a text that holds the entity. Held by ``t`` texts, ``b`` of them with the
+    entity, it tells log((b + prior * p) / (t + prior) / p). Where that reaches the share ``disclosed`` of the entity's information, every
+    place of the term in every document that holds the entity is a span.
+
+    Entities held by the same texts have the same numbers and count as one context; a pair is only formed where ``t`` leaves it
+    a chance with the largest ``b`` possible.
     """
-    near = spans.select("id", "th", F.lower("match").alias("entity"), F.explode(F.array(
-        F.struct(F.col("left").alias("text"), (F.col("start") - F.length("left")).alias("base"), F.lit(True).alias("before")),
-        F.struct(F.col("right").alias("text"), F.col("end").alias("base"), F.lit(False).alias("before")))).alias("c"))
-    near = near.select("id", F.col("th").alias("doc_th"), "entity", "c.*").withColumn("th", F.monotonically_increasing_id())
-    near = C.stored(near, "op6-near")
-    found = S.find(near.select("id", "th", "text"), [("term", _WORD, None)]).select("id", "th", "start", "end", F.lower("match").alias("term"))
-    found = found.join(near.select("id", "th", "doc_th", "entity", "base", "before", F.length("text").alias("n")), ["id", "th"])
-    whole = F.when(F.col("before"), (F.col("n") < S.CONTEXT) | (F.col("start") > 0)).otherwise((F.col("n") < S.CONTEXT) | (F.col("end") < F.col("n")))
-    found = C.stored(found.filter(whole).select("id", F.col("doc_th").alias("th"), "entity", "term", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end")), "op6-found")
-    pairs = found.groupBy("entity", "term").agg(F.countDistinct("id").alias("n_both"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
-    pairs = C.stored(pairs, "op6-pairs")
-    terms = C.stored(pairs.select("term").distinct(), "op6-terms")
-    in_doc = docs.select("id", F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_term = in_doc.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_entity = spans.groupBy(F.lower("match").alias("entity")).agg(F.countDistinct("id").alias("n_entity"))
-    total = float(max(1, docs.count()))
-    told = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    guilty = C.stored(pairs.join(n_term, "term").join(n_entity, "entity").filter(told >= disclosed * F.log(total / F.col("n_entity"))).select("entity", "term"), "op6-guilty")
-    return found.join(guilty, ["entity", "term"]).select("id", "th", F.lit("term").alias("kind"), "start", "end").distinct()
-
-
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    texts = rows.select("th", "text").dropDuplicates(["th"])
+    total = float(max(1, texts.count()))
+    entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match")))
+    holds = C.stored(spans.select("th", entity.alias("entity")).distinct(), "op6-holds")
+    held = holds.groupBy("entity").agg(*(F.bit_xor(F.xxhash64("th", F.lit(k))).alias(f"x{k}") for k in (1, 2)), F.count(F.lit(1)).alias("n_context"))
+    contexts = C.stored(holds.join(held, "entity").select("th", "x1", "x2", "n_context").distinct(), "op6-contexts")
+    # entities become blanks, so that their own parts are no terms and places stay
+    blank = S.redacted(texts.join(holds.select("th").distinct(), "th", "left_semi").withColumn("id", F.lit(0)), spans.select(F.lit(0).alias("id"), "th", "kind", "start", "end").distinct(),
+                       lambda _, n: F.repeat(F.lit(" "), n))
+    blank = C.stored(blank.select("id", "th", F.col("clean").alias("text")), "op6-blank")
+    words = lambda df: df.select("th", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower))).alias("term")).filter(F.col("term").rlike(r"\p{L}"))
+    inside = C.stored(words(blank), "op6-inside")
+    asked = inside.select("term").distinct()
+    outside = words(texts.join(holds.select("th").distinct(), "th", "left_anti")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    n_term = inside.groupBy("term").agg(F.count(F.lit(1)).alias("n")).unionByName(outside.join(asked, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n_term"))
+    p = F.col("n_context") / total
+    least = F.pow(p, F.lit(1 - disclosed)) * (F.col("n_term") + prior) - prior * p       # texts with both that it takes
+    widest = max(1, contexts.agg(F.max("n_context")).first()[0] or 1)
+    # b is at most the smaller of both counts: terms that no context can reach go before they meet one
+    reach = (widest + prior) / (1 / total) ** (1 - disclosed)
+    rare = C.stored(n_term.filter(F.col("n_term") <= reach), "op6-rare")
+    pairs = inside.join(rare, "term").join(contexts, "th").filter((F.col("n_context") < total) & (F.least("n_term", "n_context") >= least))
+    pairs = pairs.groupBy("term", "x1", "x2", "n_context", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    guilty = C.stored(pairs.filter(F.col("n_both") >= least).select("term", "x1", "x2"), "op6-guilty")
+    marked = C.stored(contexts.join(guilty, ["x1", "x2"]).select("th", "term").join(inside, ["th", "term"], "left_semi").distinct(), "op6-marked")
+    found = S.find(blank.join(marked.select("th").distinct(), "th", "left_semi"), [("term", _WORD, None)])
+    places = found.withColumn("term", F.lower("match")).join(marked, ["th", "term"], "left_semi").select("th", "kind", "start", "end")
+    return rows.select("id", "th").distinct().join(places, "th").select("id", "th", "kind", "start", "end")
+
+
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): ``rows`` (id, th, text) of every document, ``spans`` (id, th, kind, start, end) of base kinds and 'term'.
 
     Null texts count as empty, null ids as the smallest id; rows that repeat another wholly share its spans; an empty table
@@ -81,14 +96,14 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     """
     rows = C.keyed(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     base = C.stored(entities(rows), "op6-base")
-    terms = disclosing_terms(rows, base, disclosed, support)
+    terms = disclosing_terms(rows, base, disclosed, prior)
     return rows, C.stored(base.select("id", "th", "kind", "start", "end").unionByName(terms), "op6-spans")
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every covered stretch of the text generalised to its kind, such as ``[EMAIL]``; the other columns as they came."""
     rows, spans = pii_spans(docs, id_col, text_col, **options)
-    clean = C.stored(S.redacted(rows.dropDuplicates(["id", "th"]), spans, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))), "op6-clean").select(
+    clean = C.stored(S.redacted(rows.dropDuplicates(["id", "th"]), spans, lambda kind, _: F.concat(F.lit("["), F.upper(kind), F.lit("]"))), "op6-clean").select(
         F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("clean").alias("_clean"))
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_th"))
     out = docs.join(clean, same, "left")

@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of context that a match keeps on either side.
-CONTEXT = 64
-
 
 def find(rows: DataFrame, kinds: list[tuple[str, str, Column | None]]) -> DataFrame:
-    """(id, th, kind, start, end, match, left, right) for every leftmost non-overlapping match in ``text``.
+    """(id, th, kind, start, end, match) for every leftmost non-overlapping match in ``text``.
 
     ``kinds``: name, Java pattern and, if wanted, a condition under which a row is searched at all. Places
     count code points, the end is exclusive. A text is split at the matches; running sums over the lengths of
-    parts and matches, one row per match, give the places, so that no list is rebuilt match by match. ``left`` and
-    ``right`` are the text next to the match, up to the next match of its kind.
+    parts and matches, one row per match, give the places, so that no list is rebuilt match by match.
     """
     parts = []
     for name, pattern, gate in kinds:
-        around = F.transform(F.split("text", pattern, -1), lambda x: F.struct(
-            F.length(x).alias("n"), F.left(x, F.lit(CONTEXT)).alias("l"), F.right(x, F.lit(CONTEXT)).alias("r")))
+        gaps = F.transform(F.split("text", pattern, -1), F.length)
         hit = F.col("text").rlike(pattern)
         parts.append(F.when(hit if gate is None else gate & hit, F.struct(
-            F.lit(name).alias("kind"), around.alias("around"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))))
+            F.lit(name).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))))
     each = rows.select("id", "th", F.explode_outer(F.array_compact(F.array(*parts))).alias("x")).filter("x IS NOT NULL")
-    each = each.select("id", "th", "x.kind", "x.around", F.posexplode_outer("x.found").alias("k", "match"))
-    each = each.select("id", "th", "kind", "k", "match", F.get("around", F.col("k"))["n"].alias("gap"), F.length("match").alias("n"),
-                       F.get("around", F.col("k"))["r"].alias("left"), F.get("around", F.col("k") + 1)["l"].alias("right")).filter("match IS NOT NULL").distinct()
+    each = each.select("id", "th", "x.kind", "x.gaps", F.posexplode_outer("x.found").alias("k", "match"))
+    each = each.select("id", "th", "kind", "k", "match", F.get("gaps", F.col("k")).alias("gap"), F.length("match").alias("n")).filter("match IS NOT NULL").distinct()
     upto = Window.partitionBy("id", "th", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(upto)
-    return each.select("id", "th", "kind", (end - F.col("n")).cast("long").alias("start"), end.cast("long").alias("end"), "match", "left", "right")
+    return each.select("id", "th", "kind", (end - F.col("n")).cast("long").alias("start"), end.cast("long").alias("end"), "match")
 
 
 def listed(spans: DataFrame, base: list[str], order: list[str]) -> DataFrame:
@@ -45,7 +39,7 @@ def listed(spans: DataFrame, base: list[str], order: list[str]) -> DataFrame:
 
 
 def redacted(rows: DataFrame, spans: DataFrame, label) -> DataFrame:
-    """(id, th, clean) for the texts of ``rows`` (id, th, text) that have spans; each covered stretch becomes ``label(kind of its first span)``."""
+    """(id, th, clean) for the texts of ``rows`` (id, th, text) that have spans; each covered stretch becomes ``label(kind of its first span, its length)``."""
     by = Window.partitionBy("id", "th").orderBy("start", "end", "kind")
     far = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     isle = F.sum(F.when(F.col("start") < F.col("far"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
@@ -54,6 +48,6 @@ def redacted(rows: DataFrame, spans: DataFrame, label) -> DataFrame:
     lists = isles.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("cut"))
     cut = rows.join(lists, ["id", "th"])
     upto = lambda i: F.coalesce(F.get("cut", i)["e"], F.lit(0))
-    pieces = F.transform("cut", lambda x, i: F.concat(F.col("text").substr((upto(i - 1) + 1).cast("int"), (x["s"] - upto(i - 1)).cast("int")), label(x["kind"])))
+    pieces = F.transform("cut", lambda x, i: F.concat(F.col("text").substr((upto(i - 1) + 1).cast("int"), (x["s"] - upto(i - 1)).cast("int")), label(x["kind"], (x["e"] - x["s"]).cast("int"))))
     tail = F.col("text").substr((F.element_at("cut", -1)["e"] + 1).cast("int"), F.length("text"))
     return cut.select("id", "th", F.concat(F.concat_ws("", pieces), tail).alias("clean"))
