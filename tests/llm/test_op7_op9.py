@@ -44,6 +44,22 @@ def test_classifier_on_held_out_labels(spark):
     assert out.count() == 1000
 
 
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    left = op9.keep_good(docs, labels).select("doc_id", F.lit(1).alias("left"))
+    r = labels.filter("quality = 1").join(left, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("left", F.lit(0))).alias("kept")).collect()
+    share = {x.toxic: x.kept for x in r}
+    assert share[1] == 0 and share[0] > 0.95
+    some = labels.filter("doc_id % 2 = 0")                    # documents whose labels it never saw
+    left = op9.keep_good(docs, some).select("doc_id", F.lit(1).alias("left"))
+    r = labels.filter("quality = 1 AND doc_id % 2 = 1").join(left, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("left", F.lit(0))).alias("kept")).collect()
+    share = {x.toxic: x.kept for x in r}
+    assert share[1] < 0.5 and share[0] > 0.9                  # other toxic labels lie on texts without such words
+    insults = docs.filter("doc_id % 2 = 1 AND lower(text) RLIKE '\\\\b(idiot|moron|scum|trash)\\\\b'")
+    assert insults.count() >= 20 and insults.join(left, "doc_id", "left_semi").count() <= 0.05 * insults.count()
+
+
 def test_edges_of_the_sample(spark):
     docs = spark.createDataFrame([(None, None, "z"), (1, "", "z"), (2, "plain words here", "z"), (2, "plain words here", "z"), (3, "x" * 200_000, "z")], "doc_id long, text string, good string")
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")

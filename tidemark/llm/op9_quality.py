@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ BUCKETS = 2 * WORD_BUCKETS + SHAPE_BUCKETS
 #: Log weights are the mean log ratio of a document's n-grams times this.
 SHARPNESS = 100.0
 SEED = 17
+#: Buckets of words and pairs of words for toxicity, so many that a long clean text hardly meets a toxic one's; a bucket's share of toxic
+#: labelled documents starts from so many documents of the usual share.
+TOXIC_BUCKETS, TOXIC_PRIOR = 1 << 21, 5.0
 
 # what a byte is: 0 blank, 1 small letter or non-ASCII, 2 capital, 3 digit, 4 other
 _KIND = np.full(256, 4, dtype=np.uint8)
@@ -30,10 +34,8 @@ _KIND[48:58] = 3
 _RUN = np.array([0, 1, 1, 2, 3], dtype=np.uint8)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every hashed n-gram: tokens are runs of letters, of digits and of other signs."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(kind of each byte, run of each byte, starts, ends, text, hash) of tokens: runs of letters, of digits and of other signs."""
     kind = _KIND[data]
     run = _RUN[kind]
     cut = np.ones(len(data) + 1, dtype=bool)
@@ -44,7 +46,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     full = run[s] > 0
     s, e = s[full], e[full]
     text = np.searchsorted(offsets, s, side="right") - 1
-    word = C.Running(C.byte_symbols(C.LOWER[data]), "byte").of(s, e)
+    return kind, run, s, e, text, C.Running(C.byte_symbols(C.LOWER[data]), "byte").of(s, e)
+
+
+def pairs(word: np.ndarray) -> np.ndarray:
+    return C.mix(word[:-1] * np.uint64(3) + word[1:])
+
+
+def features(data: np.ndarray, offsets: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every hashed n-gram of the tokens."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind, run, s, e, text, word = found or tokens(data, offsets)
     caps = np.concatenate([[0], np.cumsum(kind == 2)])
     n_caps, size = caps[e] - caps[s], e - s
     shape = np.where(n_caps == 0, 1, np.where(n_caps == size, 3, np.where((n_caps == 1) & (kind[s] == 2), 2, 4)))
@@ -54,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sym = C.mix((shape * 2 + joined).astype(np.uint64) + np.uint64(77))
     texts, buckets = [text], [(word % np.uint64(WORD_BUCKETS)).astype(np.int64)]
     pair = text[1:] == text[:-1]
-    two = C.mix(word[:-1] * np.uint64(3) + word[1:])
+    two = pairs(word)
     texts.append(text[1:][pair])
     buckets.append(WORD_BUCKETS + (two[pair] % np.uint64(WORD_BUCKETS)).astype(np.int64))
     gram, same = sym, np.ones(len(sym), dtype=bool)
@@ -67,6 +80,47 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(buckets)
 
 
+def toxic_buckets(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every word and pair of words."""
+    pair = text[1:] == text[:-1]
+    at = np.concatenate([word, C.mix(pairs(word)[pair] + np.uint64(1))]) % np.uint64(TOXIC_BUCKETS)
+    return np.concatenate([text, text[1:][pair]]), at.astype(np.int64)
+
+
+def _count_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket and task: how many toxic and how many other documents hold it."""
+    total = np.zeros((2, TOXIC_BUCKETS), dtype=np.int32)
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        for row, _, data, offsets in C.slices(batch):
+            if not len(data):
+                continue
+            *_, text, word = tokens(data, offsets)
+            text, bucket = toxic_buckets(text, word)
+            text, bucket = np.divmod(np.unique(text * TOXIC_BUCKETS + bucket), TOXIC_BUCKETS)
+            bad = toxic[row + text]
+            total[0] += np.bincount(bucket[bad], minlength=TOXIC_BUCKETS).astype(np.int32)
+            total[1] += np.bincount(bucket[~bad], minlength=TOXIC_BUCKETS).astype(np.int32)
+    there = np.flatnonzero(total.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0, there].astype(np.int64)), pa.array(total[1, there].astype(np.int64))], names=["bucket", "toxic", "clean"])
+
+
+def fit_toxic(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, log ratio) of the buckets that are more frequent in toxic labelled documents than in all labelled ones.
+
+    ``sample`` has id and toxic, each id once. What reaches the driver is one row per bucket of a toxic document of the bounded labels.
+    """
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(True) or not n.get(False):
+        return np.zeros(0, np.int64), np.zeros(0)
+    counted = docs.join(F.broadcast(sample), "id").select("text", "toxic").mapInArrow(_count_toxic, "bucket long, toxic long, clean long")
+    got = counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 0").toArrow()
+    share = n[True] / (n[True] + n[False])
+    toxic, clean = got["toxic"].to_numpy(), got["clean"].to_numpy()
+    ratio = np.log((toxic + TOXIC_PRIOR * share) / (toxic + clean + TOXIC_PRIOR) / share)
+    return got["bucket"].to_numpy()[ratio > 0], ratio[ratio > 0]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per bucket and task: how often it occurs in all texts and in the good ones."""
     total = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -80,29 +134,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0, there]), pa.array(total[1, there])], names=["bucket", "raw", "target"])
 
 
-def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _scores(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: np.ndarray, told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    toxic = np.zeros(TOXIC_BUCKETS)
+    toxic[buckets] = told
     for batch in batches:
-        weight = np.zeros(batch.num_rows)
+        weight, worst = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         for row, end, data, offsets in C.slices(batch):
-            text, bucket = features(data, offsets)
+            if not len(data):
+                continue
+            found = tokens(data, offsets)
+            text, bucket = features(data, offsets, found)
             n = np.bincount(text, minlength=end - row)
             weight[row:end] = SHARPNESS * np.bincount(text, weights=ratio[bucket], minlength=end - row) / np.maximum(n, 1)
-        yield batch, weight
-
-
-def _scores(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch, weight in _weigh(batches, ratio):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight)], names=["id", "log_weight"])
+            text, bucket = toxic_buckets(*found[4:])
+            value = toxic[bucket]
+            hit = value > 0
+            np.maximum.at(worst, row + text[hit], value[hit])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight), pa.array(worst)], names=["id", "log_weight", "toxicity"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
-    """(log ratio per bucket, held-out labels): the target model is counted over half of the good labelled documents, the raw one over all.
+    """(log ratio per bucket, labels): the target model is counted over half of the good labelled documents, the raw one over all.
 
-    ``docs`` has id and text, ``labels`` id and good. Counts are summed in Spark; what reaches the driver is one row per bucket.
+    ``docs`` has id and text, ``labels`` id, good and toxic; toxic documents are no target. Counts are summed in Spark; what reaches the driver
+    is one row per bucket. The labels come back with ``half``, which says that they served the models.
     """
     sample = C.stored(labels.orderBy(F.xxhash64("id"), "id").limit(labelled), "op9-labels")       # bounded, so it may be broadcast
-    half = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(2)) == 0
-    good = sample.filter("good").filter(half).select("id", F.lit(True).alias("good")).dropDuplicates(["id"])
+    sample = sample.withColumn("half", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(2)) == 0)
+    good = sample.filter("half AND good AND NOT coalesce(toxic, false)").select("id", F.lit(True).alias("good")).dropDuplicates(["id"])
     seen = docs.join(F.broadcast(good), "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = seen.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -114,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[n
         p = raw[a:b] / max(raw[a:b].sum(), 1)
         q = (target[a:b] + 2000 * p) / (target[a:b].sum() + 2000)
         ratio[a:b] = np.where(p > 0, np.log(np.where(p > 0, q, 1)) - np.log(np.where(p > 0, p, 1)), 0)
-    return ratio, sample.filter(~half)
+    return ratio, sample
 
 
 def _best_cut(weight: np.ndarray, good: np.ndarray) -> float:
@@ -153,24 +212,34 @@ def _key(weight: Column) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, k: int | None = None) -> DataFrame:
-    """(id, log_weight, q, kept) for every row of ``docs``.
+    """(id, log_weight, toxicity, toxic, q, kept) for every row of ``docs``.
 
-    ``labels`` has the id column and ``quality``, 1 for good. A document's log weight is the mean log ratio of its n-grams under
-    the two models, sharpened; with Gumbel noise added, the ``k`` largest are an importance sample without
+    ``labels`` has the id column, ``quality``, 1 for good, and, if known, ``toxic``, 1 for toxic. ``kept`` is about quality alone. A
+    document's log weight is the mean log ratio of its n-grams under the two models, sharpened; with Gumbel noise added, the ``k`` largest are an importance sample without
     replacement. Without ``k`` it is the number of documents above the cut that separates the held-out labels best, so
     the sample is as large as the set of good documents. Rows that tie with the last one chosen are chosen too.
 
+    ``toxicity`` is the largest log ratio, toxic against all labelled documents, of a text's words and pairs of words, ``toxic`` that it reaches
+    the cut that separates the held-out labels best; without both kinds of labels in either half nothing is toxic.
+
     Null texts and texts without tokens weigh 0; null ids count as the smallest id; null labels are not used; repeated rows are
     weighed alike; without usable labels everything stays. Other columns are not read.
     """
     rows = C.keyed(docs, id_col, text_col)
-    marks = labels.filter(F.col("quality").isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), (F.col("quality") == 1).alias("good"))
-    ratio, held = fit(rows, marks, labelled)
-    scored = C.stored(rows.mapInArrow(lambda b: _scores(b, ratio), "id long, log_weight double"), "op9-scores")
-    scored = scored.withColumn("q", _key(F.col("log_weight")))
+    toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(None).cast("boolean")
+    marks = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), (F.col("quality") == 1).alias("good"), toxic.alias("toxic"))
+    ratio, sample = fit(rows, marks.filter("good IS NOT NULL OR toxic IS NOT NULL"), labelled)
+    buckets, told = fit_toxic(rows, sample.filter("half AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")))
+    scored = C.stored(rows.mapInArrow(lambda b: _scores(b, ratio, buckets, told), "id long, log_weight double, toxicity double"), "op9-scores")
+    held = sample.filter("NOT half").select("id", "good", F.col("toxic").alias("is_toxic"))
+    marked = C.stored(scored.join(F.broadcast(held), "id").select("log_weight", "good", "toxicity", "is_toxic").limit(4 * labelled), "op9-held").toArrow()     # of the bounded labels
+    pairs = marked.filter(pc.is_valid(marked["is_toxic"]))
+    worst, is_toxic = pairs["toxicity"].to_numpy(), pairs["is_toxic"].to_numpy().astype(bool)
+    least = _best_cut(worst, is_toxic) if len(buckets) and is_toxic.any() and not is_toxic.all() else np.inf
+    scored = scored.withColumn("toxic", (F.col("toxicity") >= F.lit(float(least))) & (F.col("toxicity") > 0)).withColumn("q", _key(F.col("log_weight")))
     if k is None:
-        pairs = scored.join(F.broadcast(held), "id").select("log_weight", "good").limit(2 * labelled).toArrow()     # of the bounded labels
-        cut = _best_cut(pairs["log_weight"].to_numpy(), pairs["good"].to_numpy())
+        pairs = marked.filter(pc.is_valid(marked["good"]))
+        cut = _best_cut(pairs["log_weight"].to_numpy(), pairs["good"].to_numpy().astype(bool))
         k = scored.filter(F.col("log_weight") >= cut).count()
     if k <= 0:
         return scored.withColumn("kept", F.lit(False))
@@ -179,11 +248,14 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the sample holds, as they came."""
-    bad = C.stored(resample(docs, labels, id_col, text_col, **options).filter("NOT kept").select(F.col("id").alias("_bad")).distinct(), "op9-bad")
+    """The rows of ``docs`` that the sample holds and that are toxic neither by their label nor by their words, as they came."""
+    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias("_bad"))
+    if "toxic" in labels.columns:
+        bad = bad.unionByName(labels.filter("toxic = 1").select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("_bad")))
+    bad = C.stored(bad.distinct(), "op9-bad")
     return docs.join(bad, F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_bad"), "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
-    return out.select(C.unkeyed().alias("doc_id"), "log_weight", "kept")
+    return out.select(C.unkeyed().alias("doc_id"), "log_weight", "kept", "toxicity", "toxic")
