@@ -56,6 +56,19 @@ def unkeyed(name: str = "id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def numbered(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` (id, text) as (id, text, doc): ``doc`` is the id, ``id`` one number for each different pair of id and text.
+
+    Numbers are in the order of the id, then of the text's hash; where no id repeats, ids are their own numbers.
+    """
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return rows.withColumn("doc", F.col("id"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    keys = rows.select("id", "th").distinct().repartitionByRange("id", "th").sortWithinPartitions("id", "th")
+    keys = stored(keys.withColumn("key", F.monotonically_increasing_id()), f"{label}-keys")
+    return rows.join(keys, ["id", "th"]).select(F.col("key").alias("id"), "text", F.col("id").alias("doc"))
+
+
 # ---------------------------------------------------------------- bytes of many texts at once
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

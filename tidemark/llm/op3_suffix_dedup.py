@@ -18,7 +18,7 @@ _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def later_copies(docs: DataFrame, n: int = 100, q: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans): per row of ``docs`` the stretches covered by an ``n``-byte string that starts earlier.
+    """(id, text, doc, spans): per row of ``docs`` the stretches covered by an ``n``-byte string that starts earlier.
 
     Earlier is a smaller id, or the same id and a smaller start. A sample of suffixes is chosen by content
     (:mod:`tidemark.llm.windows`), Spark's external sort brings equal ones together with the length of
@@ -26,17 +26,17 @@ def later_copies(docs: DataFrame, n: int = 100, q: int = 40, id_col: str = "doc_
     single suffixes are compared only where sampled ones differ inside the ``n`` bytes.
 
     Null ids count as the smallest id, null texts as empty; texts under ``n`` bytes lose nothing. Rows that
-    repeat another row's id are the same document at the same place, so they take nothing from each other.
-    Other columns are not read.
+    repeat another wholly are the same document at the same place, so they take nothing from each other; different texts of
+    one id are different documents, in the order of their hashes. Other columns are not read.
     """
-    rows = C.keyed(docs, id_col, text_col)
+    rows = C.numbered(C.keyed(docs, id_col, text_col), "op3")
     found = W.repeated(rows, "byte", n, q, "op3").filter("NOT is_first")
     return rows.join(W.ranges(found, n), "id", "left")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = batch.column("id"), []
+        ids, out = batch.column("doc"), []
         for row, end, data, offsets in C.slices(batch, most=16 << 20):
             spans = W.spans_of(batch.column("spans").slice(row, end - row))
             for i, (s, e) in enumerate(spans):

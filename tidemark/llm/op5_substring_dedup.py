@@ -17,23 +17,24 @@ _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def repeated_spans(docs: DataFrame, n: int = 35, q: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans): per row the word spans covered by an ``n``-word window found at another place too.
+    """(id, text, doc, spans): per row the word spans covered by an ``n``-word window found at another place too.
 
     The windows are the edges of a De Bruijn graph of words. Runs of edges with one minimiser are joined
     into paths while reading (:mod:`tidemark.llm.windows`); paths meet in Spark joins, and only where a
     minimiser has several paths, i.e. where the graph branches, are single edges compared. Spans come from
     source coordinates: a path counts as repeated when two different places (id, word) hold it.
 
-    Null ids count as the smallest id, null texts as without words. Rows that repeat another row's id are
-    the same document at the same place and do not count as a repetition. Other columns are not read.
+    Null ids count as the smallest id, null texts as without words. Rows that repeat another wholly are
+    the same document at the same place and do not count as a repetition; different texts of one id are different documents. Other
+    columns are not read.
     """
-    rows = C.keyed(docs, id_col, text_col)
+    rows = C.numbered(C.keyed(docs, id_col, text_col), "op5")
     return rows.join(W.ranges(W.repeated(rows, "word", n, q, "op5"), n), "id", "left")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = batch.column("id"), []
+        ids, out = batch.column("doc"), []
         for row, end, data, offsets in C.slices(batch):
             starts, ends, first = C.word_bounds(data, offsets)
             raw = data.tobytes()

@@ -150,7 +150,7 @@ def _scores(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: np.nd
             value = toxic[bucket]
             hit = value > 0
             np.maximum.at(worst, row + text[hit], value[hit])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight), pa.array(worst)], names=["id", "log_weight", "toxicity"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(weight), pa.array(worst)], names=["id", "th", "log_weight", "toxicity"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
@@ -212,7 +212,7 @@ def _key(weight: Column) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, k: int | None = None) -> DataFrame:
-    """(id, log_weight, toxicity, toxic, q, kept) for every row of ``docs``.
+    """(id, th, log_weight, toxicity, toxic, q, kept) for every row of ``docs``; ``th`` is the text's hash.
 
     ``labels`` has the id column, ``quality``, 1 for good, and, if known, ``toxic``, 1 for toxic. ``kept`` is about quality alone. A
     document's log weight is the mean log ratio of its n-grams under the two models, sharpened; with Gumbel noise added, the ``k`` largest are an importance sample without
@@ -222,15 +222,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``toxicity`` is the largest log ratio, toxic against all labelled documents, of a text's words and pairs of words, ``toxic`` that it reaches
     the cut that separates the held-out labels best; without both kinds of labels in either half nothing is toxic.
 
-    Null texts and texts without tokens weigh 0; null ids count as the smallest id; null labels are not used; repeated rows are
+    Null texts and texts without tokens weigh 0; null ids count as the smallest id; null labels and those of null ids are not used; repeated rows are
     weighed alike; without usable labels everything stays. Other columns are not read.
     """
     rows = C.keyed(docs, id_col, text_col)
     toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(None).cast("boolean")
-    marks = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("id"), (F.col("quality") == 1).alias("good"), toxic.alias("toxic"))
+    marks = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).alias("good"), toxic.alias("toxic"))
     ratio, sample = fit(rows, marks.filter("good IS NOT NULL OR toxic IS NOT NULL"), labelled)
     buckets, told = fit_toxic(rows, sample.filter("half AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")))
-    scored = C.stored(rows.mapInArrow(lambda b: _scores(b, ratio, buckets, told), "id long, log_weight double, toxicity double"), "op9-scores")
+    scored = C.stored(rows.withColumn("th", F.xxhash64("text")).mapInArrow(lambda b: _scores(b, ratio, buckets, told), "id long, th long, log_weight double, toxicity double"), "op9-scores")
     held = sample.filter("NOT half").select("id", "good", F.col("toxic").alias("is_toxic"))
     marked = C.stored(scored.join(F.broadcast(held), "id").select("log_weight", "good", "toxicity", "is_toxic").limit(4 * labelled), "op9-held").toArrow()     # of the bounded labels
     pairs = marked.filter(pc.is_valid(marked["is_toxic"]))
@@ -248,12 +248,18 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the sample holds and that are toxic neither by their label nor by their words, as they came."""
-    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias("_bad"))
-    if "toxic" in labels.columns:
-        bad = bad.unionByName(labels.filter("toxic = 1").select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NULL_ID)).alias("_bad")))
-    bad = C.stored(bad.distinct(), "op9-bad")
-    return docs.join(bad, F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that the sample holds and that are toxic neither by their label nor by their words, as they came.
+
+    Of several texts of one id each stays or goes by itself; a label is one of all texts of its id, and a null id's says nothing of a row.
+    """
+    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias("_bad"), "th").distinct()
+    bad = C.stored(bad.withColumnRenamed("th", "_th"), "op9-bad")
+    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    left = docs.join(bad, (F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_bad")) & (th == F.col("_th")), "left_anti")
+    if "toxic" not in labels.columns:
+        return left
+    told = labels.filter("toxic = 1").select(F.col(id_col).cast("long").alias("_told"))
+    return left.join(told, left[id_col].cast("long") == F.col("_told"), "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def expand(batches: Iterator[pa.RecordBatch], unit: str, n: int) -> Iterator[pa.
 def repeated(docs: DataFrame, unit: str, n: int, q: int, label: str) -> DataFrame:
     """Runs and single windows that are not alone: (id, p, k, kind, is_first).
 
-    ``docs`` has ``id`` and ``text``. ``k`` window starts from ``p`` on, all of which occur at some other
+    ``docs`` has ``id`` and ``text``; an id has one text. ``k`` window starts from ``p`` on, all of which occur at some other
     place (id, p) too; ``is_first`` says that they are the earliest of their class. A row of one class is
     complete with regard to its own class; windows that a class shares with other classes come as further
     rows with ``k`` = 1, where ``is_first`` regards all classes of the anchor.
