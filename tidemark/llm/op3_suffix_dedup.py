@@ -20,10 +20,9 @@ _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def later_copies(docs: DataFrame, n: int = 100, q: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, doc, spans): per row of ``docs`` the stretches covered by an ``n``-byte string that starts earlier.
 
-    Earlier is a smaller id, or the same id and a smaller start. A sample of suffixes is chosen by content
-    (:mod:`tidemark.llm.windows`), Spark's external sort brings equal ones together with the length of
-    context they share, and the order of all suffixes between two sampled ones is induced from theirs;
-    single suffixes are compared only where sampled ones differ inside the ``n`` bytes.
+    Earlier is a smaller id, or the same id and a smaller start. No suffix is sorted: runs of windows with one minimiser
+    (:mod:`tidemark.llm.windows`) are hashed and grouped by minimiser and content; single windows are hashed and compared only
+    where one minimiser has several contents.
 
     Null ids count as the smallest id, null texts as empty; texts under ``n`` bytes lose nothing. Rows that
     repeat another wholly are the same document at the same place, so they take nothing from each other; different texts of

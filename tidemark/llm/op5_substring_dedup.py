@@ -19,10 +19,9 @@ _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def repeated_spans(docs: DataFrame, n: int = 35, q: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, doc, spans): per row the word spans covered by an ``n``-word window found at another place too.
 
-    The windows are the edges of a De Bruijn graph of words. Runs of edges with one minimiser are joined
-    into paths while reading (:mod:`tidemark.llm.windows`); paths meet in Spark joins, and only where a
-    minimiser has several paths, i.e. where the graph branches, are single edges compared. Spans come from
-    source coordinates: a path counts as repeated when two different places (id, word) hold it.
+    No graph is built: runs of windows with one minimiser (:mod:`tidemark.llm.windows`) are hashed and grouped by minimiser and
+    content; single windows are hashed and compared only where one minimiser has several contents. A run counts as repeated when
+    two different places (document, word) hold it.
 
     Null ids count as the smallest id, null texts as without words. Rows that repeat another wholly are
     the same document at the same place and do not count as a repetition; different texts of one id are different documents. Other
