@@ -264,17 +264,10 @@ def test_user_times_lose_nothing(spark):
     assert find_column(["mydate", "uptime"], TIME_NAMES) == "mydate"
 
 
-def test_a_repeated_epoch_decides_once(spark, tmp_path):
+def test_ingest_names_its_months(spark, tmp_path):
     from tidemark.sources.store import ingest_bars, stored_keys
-    from tidemark.streaming.live import decide_batch
-    hist, out, root = (str(tmp_path / x) for x in ("hist", "out", "store"))
+    root = str(tmp_path / "store")
     b = spark.createDataFrame(walk(400)[["symbol", "tf", "open_time_ms", "open", "high", "low", "close", "volume"]])
-    mid = b.agg(F.percentile_approx("open_time_ms", 0.5)).first()[0]
-    decide_batch(b.filter(F.col("open_time_ms") < mid), 0, hist, out)
-    for _ in range(2):                                          # the second is a retry; both overlap what is stored
-        decide_batch(b.filter(F.col("open_time_ms") >= mid - 9_000_000), 1, hist, out)
-        got = spark.read.parquet(out)
-        assert (got.count(), got.select("open_time_ms").distinct().count(), spark.read.parquet(hist).count()) == (400, 400, 400)
     ingest_bars(spark, root, b.drop("tf")).collect()
     plan = stored_keys(spark, root, ["2020-09"])._jdf.queryExecution().toString()
     assert "2020-09" in plan.split("PartitionFilters")[1].split("]")[0]

@@ -94,6 +94,22 @@ def _candidate(last: Column, n: int, back: int, allow_overlap: bool) -> Column:
     return F.when(F.size(last) >= back + n, F.when(rules_valid(verdicts), c))
 
 
+def best_candidates(last: Column, allow_overlap: bool = False, top_n: int = TOP_N) -> Column:
+    """The best readings of up to nine pivots, oldest first: right-anchored, at most 16 (length, end) pairs."""
+    pool = F.array_compact(F.array(*[_candidate(last, n, b, allow_overlap)
+                                     for n in STATES for b in range(MAX_FROM_EDGE + 1)]))
+    return F.slice(F.array_sort(pool), 1, top_n)
+
+
+def unpack(ranked: DataFrame, *keep: str) -> DataFrame:
+    """Columns of exploded candidates ``(rank from 0, c)``."""
+    return ranked.select(*keep, (F.col("rank") + 1).alias("rank"),
+                         (-F.col("c.neg_score")).alias("score"), (-F.col("c.neg_n")).alias("n_points"),
+                         *[f"c.{k}" for k in ("back", "state", "direction", "points", "pivot_ts", "fit",
+                                              "invalidation_price", "invalidation_rule", "archetype",
+                                              "truncated")])
+
+
 def wave_candidates(pivots: DataFrame, *, allow_overlap: bool = False, top_n: int = TOP_N) -> DataFrame:
     """The ranked candidates known from each pivot confirmation on.
 
@@ -103,13 +119,6 @@ def wave_candidates(pivots: DataFrame, *, allow_overlap: bool = False, top_n: in
     p, w = pivot_windows(pivots, 8)
     p = own_pivots(p.withColumn("last", F.collect_list(F.struct("price", "kind", "ts_ms")).over(
         w.rowsBetween(-8, 0))))
-    pool = F.array_compact(F.array(*[_candidate(F.col("last"), n, b, allow_overlap)
-                                     for n in STATES for b in range(MAX_FROM_EDGE + 1)]))
-    best = F.slice(F.array_sort(pool), 1, top_n)
     out = p.select(*SERIES, F.col("pivot_no").alias("edge_no"), F.col("confirmed_idx"),
-                   F.col("confirmed_ts_ms").alias("available_at_ms"), F.posexplode(best).alias("rank", "c"))
-    return out.select(*SERIES, "edge_no", "confirmed_idx", "available_at_ms", (F.col("rank") + 1).alias("rank"),
-                      (-F.col("c.neg_score")).alias("score"), (-F.col("c.neg_n")).alias("n_points"),
-                      *[f"c.{k}" for k in ("back", "state", "direction", "points", "pivot_ts", "fit",
-                                           "invalidation_price", "invalidation_rule", "archetype",
-                                           "truncated")])
+                   F.col("confirmed_ts_ms").alias("available_at_ms"), F.posexplode(best_candidates(F.col("last"), allow_overlap, top_n)).alias("rank", "c"))
+    return unpack(out, *SERIES, "edge_no", "confirmed_idx", "available_at_ms")

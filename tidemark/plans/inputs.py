@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.clock import tf_ms
 from tidemark.operators.bars import dense_bar_index, ticks_to_bars, ticks_to_minutes
 from tidemark.operators.panel import Panel, build_panel
 from tidemark.session import materialize, path_exists
@@ -63,3 +64,27 @@ def study_panel(spark, sf_dir: str) -> Panel:
 
 def event_minutes(spark, sf_dir: str) -> DataFrame:
     return ticks_to_minutes(event_ticks(spark, sf_dir, "event_type"))
+
+
+def arrival_feed(spark, sf_dir: str) -> DataFrame:
+    """Event minutes as a feed with arrival times: some minutes come half an hour after their time, some five hours, some twice."""
+    m = event_minutes(spark, sf_dir).select("symbol", "open_time_ms", "open", "high", "low", "close", "volume")
+    k = F.floor(F.col("open_time_ms") / 60_000)
+    lag = F.when(k % 13 == 0, 300).when(k % 11 == 0, 30).otherwise(0)
+    rows = m.withColumn("copy", F.explode(F.when(k % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select("*", (F.col("open_time_ms") + 60_000 * (1 + lag + 20 * F.col("copy"))).cast("long").alias("arrival_ms"), F.lit(True).alias("is_closed"))
+
+
+def emission_feed(spark, sf_dir: str) -> DataFrame:
+    """Two wall-clock rows per study bar, up to two and a half bars after its close; the first row of a series knows no closed bar."""
+    b = study_bars(spark, sf_dir).withColumn("tf_ms", tf_ms())
+    late = F.col("bar_idx") * 7919 % 11 * F.col("tf_ms") / 4
+    rows = b.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    now = F.col("open_time_ms") + F.col("tf_ms") + (late + F.col("turn") * F.col("tf_ms") / 2)
+    return rows.select("symbol", "tf", now.cast("long").alias("now_ms"), F.when((F.col("bar_idx") > 0) | (F.col("turn") > 0), F.col("open_time_ms") + F.col("tf_ms") - 1).alias("last_close_ms"))
+
+
+def in_files(df: DataFrame, piece, n: int, root: str) -> list:
+    """Writers of ``n`` files that appear one after the other, as a feed would: call them in order. ``piece`` tells each row's file."""
+    stored = materialize(df.withColumn("_piece", piece.cast("int")), "feed")
+    return [lambda i=i: stored.filter(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(root) for i in range(n)]

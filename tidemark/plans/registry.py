@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.signals import signal_positions
 from tidemark.plans import inputs, oracle
+from tidemark.session import materialize
 from tidemark.signals.registry import catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1184,34 +1185,134 @@ def _q(spark, sf):
         "symbol", "tf", "open_time_ms", *OHLCV, "n_source_bars"), "n_source_bars")
 
 
-@query("stream_provisional", "SELECT event_type AS symbol, max((epoch_us(ts) // 60000000) * 60000) AS open_time_ms FROM events GROUP BY 1")
-def _q(spark, sf):
-    import uuid
-
-    from tidemark.streaming.live import provisional_bars
-    name = f"prov_{uuid.uuid4().hex}"
-    provisional_bars(_minute_feed(spark, sf)).writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("symbol", "open_time_ms")
+_MINUTES = "SELECT symbol, t - t % 60000 AS open_time_ms, first(price ORDER BY t, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY t, seq) AS close, sum(size) AS volume FROM ({}) GROUP BY 1, 2"
 
 
-def _bar_feed(spark, sf):
-    """The study bars as a stream of several files."""
+def _root(spark, label: str) -> str:
     import uuid
 
     from tidemark.session import checkpoint_root
-    root = f"{checkpoint_root(spark)}/tidemark/barfeed-{uuid.uuid4().hex}"
-    b = inputs.study_bars(spark, sf).select("symbol", "tf", "open_time_ms", *OHLCV)
-    b.repartitionByRange(6, "open_time_ms").write.parquet(root)
-    return spark.readStream.schema("symbol string, tf string, open_time_ms long, open double, high double, low double, close double, volume double").option("maxFilesPerTrigger", 100).parquet(root)
+    return f"{checkpoint_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
+def _restarted(spark, writers, start):
+    """Feed files one per micro-batch: the query runs over the first half of them, ends, and a new one goes on from its checkpoint."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")          # state is partitioned by a dozen series here
+    try:
+        half = len(writers) // 2
+        for part in (writers[:half], writers[half:]):
+            for write in part:
+                write()
+            start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _files_of(spark, schema: str, root: str):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def _append(df, out: str, ck: str):
+    return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+
+
+@query("stream_provisional", f"""WITH m AS ({_MINUTES.format(oracle.EVENT_TYPE_TICKS)}), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC) AS k FROM m)
+  SELECT symbol, open_time_ms, open, high, low, close, volume FROM r WHERE k = 1 AND symbol <> (SELECT min(symbol) FROM m)""")
+def _q(spark, sf):
+    """Every minute is sent in flight, half done first, and then closed; the last minute stays in flight except for one symbol."""
+    from tidemark.streaming.live import read_provisional, sink_provisional
+    root = _root(spark, "prov")
+    m = inputs.event_minutes(spark, sf).select("symbol", "open_time_ms", *OHLCV)
+    last = m.groupBy("symbol").agg(F.max("open_time_ms").alias("last"))
+    end = last.agg(F.min("symbol").alias("s"), F.min("last").alias("a")).first()
+    states = F.explode(F.when((F.col("open_time_ms") < F.col("last")) | (F.col("symbol") == end["s"]), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
+    feed = m.join(last, "symbol").withColumn("state", states).select("symbol", "open_time_ms", "open", "high", "low", "close", F.when(F.col("state") == 0, F.col("volume") / 2).otherwise(F.col("volume")).alias("volume"), (F.col("state") == 2).alias("is_closed"))
+    first = m.agg(F.min("open_time_ms")).first()[0]
+    piece = F.least(F.floor((F.col("open_time_ms") - first) * 6 / (end["a"] - first + 1)), F.lit(5))
+    writers = inputs.in_files(feed, piece, 6, f"{root}/feed")
+    _restarted(spark, writers, lambda: sink_provisional(_files_of(spark, "symbol string, open_time_ms long, open double, high double, low double, close double, volume double, is_closed boolean", f"{root}/feed"), f"{root}/out", f"{root}/ck"))
+    return read_provisional(spark, f"{root}/out")
+
+
+_LATE = f"""m AS ({_MINUTES.format(oracle.EVENT_TYPE_TICKS)}),
+  f AS (SELECT *, open_time_ms + 60000 * (1 + CASE WHEN open_time_ms // 60000 % 13 = 0 THEN 300 WHEN open_time_ms // 60000 % 11 = 0 THEN 30 ELSE 0 END + 20 * copy) AS arrival_ms
+    FROM m, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR open_time_ms // 60000 % 7 = 0),
+  g AS (SELECT *, max(open_time_ms) OVER (PARTITION BY symbol ORDER BY arrival_ms, open_time_ms, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest,
+    row_number() OVER (PARTITION BY symbol, open_time_ms ORDER BY arrival_ms, copy) AS nth FROM f),
+  j AS (SELECT *, greatest(coalesce(newest - open_time_ms, 0), 0) AS behind_ms,
+    CASE WHEN open_time_ms < newest - 3600000 THEN 'late' WHEN nth > 1 THEN 'repeated' WHEN open_time_ms < newest THEN 'out_of_order' ELSE 'in_order' END AS fate FROM g)"""
+
+
+def _late_side(spark, sf) -> str:
+    """Six files of arrivals, a restart after three; the folder of the side output."""
+    from tidemark.streaming.stateful import sink_arrivals
+
+    def make():
+        root = _root(spark, "late")
+        feed = inputs.arrival_feed(spark, sf)
+        lo, hi = feed.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+        writers = inputs.in_files(feed, F.floor((F.col("arrival_ms") - lo) * 6 / (hi - lo + 1)), 6, f"{root}/feed")
+        schema = "symbol string, open_time_ms long, open double, high double, low double, close double, volume double, copy int, arrival_ms long, is_closed boolean"
+        _restarted(spark, writers, lambda: sink_arrivals(_files_of(spark, schema, f"{root}/feed"), f"{root}/store", f"{root}/side", f"{root}/ck", 3_600_000, ["arrival_ms", "open_time_ms", "copy"]))
+        return root
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LATE_ROOTS:
+        _LATE_ROOTS[key] = make()
+    return _LATE_ROOTS[key]
+
+
+_LATE_ROOTS: dict = {}
+
+
+@query("stream_late_bars", f"WITH {_LATE} SELECT symbol, fate, count(*) AS n, max(behind_ms) AS most_behind_ms FROM j GROUP BY 1, 2")
+def _q(spark, sf):
+    from tidemark.streaming.stateful import arrival_counts
+    return arrival_counts(spark, f"{_late_side(spark, sf)}/side")
+
+
+@query("stream_late_kept", f"WITH {_LATE} SELECT symbol, open_time_ms, arrival_ms, copy, close, fate, behind_ms FROM j WHERE fate IN ('late', 'repeated')")
+def _q(spark, sf):
+    return spark.read.parquet(f"{_late_side(spark, sf)}/side/arrivals").filter("fate IN ('late', 'repeated')").select("symbol", "open_time_ms", "arrival_ms", "copy", "close", "fate", "behind_ms")
+
+
+@query("stream_late_store", f"WITH {_LATE} SELECT symbol, open_time_ms, open, high, low, close, volume FROM j WHERE fate IN ('in_order', 'out_of_order')")
+def _q(spark, sf):
+    from tidemark.sources.store import read_bars
+    return read_bars(spark, f"{_late_side(spark, sf)}/store", grid=False).select("symbol", "open_time_ms", *OHLCV)
+
+
+_BAR = "symbol string, tf string, open_time_ms long, open double, high double, low double, close double, volume double"
+_PIECES = 8
+
+
+def _bar_feed(spark, sf, root: str, first: int = 0):
+    """Writers of the study bars in eight files, each with an eighth of every series, from file ``first`` on."""
+    b = inputs.study_bars(spark, sf).select("symbol", "tf", "open_time_ms", *OHLCV, F.floor(F.col("bar_idx") * _PIECES / F.col("n_bars")).alias("p"))
+    return inputs.in_files(b, F.col("p"), _PIECES, root)[first:]
 
 
 @query("stream_pivots", f"SELECT symbol, tf, idx, ts_ms, round(price, 6) AS price, kind, confirmed_idx, confirmed_ts_ms FROM ({oracle.pivots_sql()})")
 def _q(spark, sf):
-    from tidemark.streaming.live import stream_pivots
-    p = _drain(stream_pivots(_bar_feed(spark, sf)), "stream-piv", spark)
+    """Eight micro-batches with a restart after four."""
+    from tidemark.streaming.stateful import stream_pivots
+    root = _root(spark, "stream-piv")
+    _restarted(spark, _bar_feed(spark, sf, f"{root}/feed"), lambda: _append(stream_pivots(_files_of(spark, _BAR, f"{root}/feed")), f"{root}/out", f"{root}/ck"))
+    p = spark.read.parquet(f"{root}/out")
     return longs(p.select("symbol", "tf", "idx", "ts_ms", *r6(["price"]), "kind", "confirmed_idx", "confirmed_ts_ms"), "kind")
 
 
+@query("stream_seeded_states", f"""WITH RECURSIVE {oracle.STA} SELECT symbol, tf, open_time_ms, bar_idx, round(atr, 6) AS atr, n_pivots FROM (
+  SELECT *, count(ck) OVER (PARTITION BY symbol, tf ORDER BY bar_idx) AS n_pivots FROM sta) WHERE bar_idx * 8 // n_bars >= 2""")
+def _q(spark, sf):
+    """A quarter of every series is history; a batch over it seeds the stream of the rest: six micro-batches, a restart after three."""
+    from tidemark.streaming.stateful import stream_states, warm_state
+    root = _root(spark, "stream-seed")
+    seed = warm_state(inputs.study_bars(spark, sf).filter(F.floor(F.col("bar_idx") * _PIECES / F.col("n_bars")) < 2).select("symbol", "tf", "open_time_ms", *OHLCV))
+    _restarted(spark, _bar_feed(spark, sf, f"{root}/feed", 2), lambda: _append(stream_states(_files_of(spark, _BAR, f"{root}/feed"), seed), f"{root}/out", f"{root}/ck"))
+    return spark.read.parquet(f"{root}/out").select("symbol", "tf", "open_time_ms", "bar_idx", *r6(["atr"]), "n_pivots")
+
+
 @query("stream_sink_bars", "SELECT event_type AS symbol, count(DISTINCT epoch_us(ts) // 60000000) AS n FROM events GROUP BY 1")
 def _q(spark, sf):
     import uuid
@@ -1224,22 +1325,46 @@ def _q(spark, sf):
     return read_bars(spark, f"{root}/store", grid=False).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_decisions", f"""WITH RECURSIVE {_PLAN_CTES}, a AS (SELECT symbol, tf, bar_idx, count(*) AS n FROM plan GROUP BY 1, 2, 3)
-  SELECT s.symbol, s.tf, s.open_time_ms, CASE WHEN n > 0 THEN 'WATCH' ELSE 'NO_TRADE' END AS verdict, coalesce(n, 0) AS n_candidates FROM sta s LEFT JOIN a USING (symbol, tf, bar_idx)""")
+@query("stream_decisions", f"""WITH RECURSIVE {_PLAN_CTES}, a AS (SELECT symbol, tf, bar_idx, count(*) AS n, bool_or(in_zone) AS z FROM plan GROUP BY 1, 2, 3)
+  SELECT s.symbol, s.tf, s.open_time_ms, s.bar_idx, round(s.close, 6) AS price, round(s.atr, 6) AS atr, CASE WHEN n > 0 THEN 'WATCH' ELSE 'NO_TRADE' END AS verdict, coalesce(n, 0) AS n_candidates,
+    CASE WHEN s.atr IS NULL THEN 'not enough structure yet' WHEN n IS NULL THEN 'no structure satisfies the rules' WHEN NOT z THEN 'no price inside an entry zone' ELSE 'inside an entry zone' END AS reason
+  FROM sta s LEFT JOIN a USING (symbol, tf, bar_idx) WHERE s.bar_idx * 8 // s.n_bars >= 2""")
 def _q(spark, sf):
-    import uuid
+    """Seeded by a quarter of every series; six micro-batches, a restart after three."""
+    from tidemark.streaming.stateful import stream_decisions, warm_state
+    root = _root(spark, "dec")
+    seed = warm_state(inputs.study_bars(spark, sf).filter(F.floor(F.col("bar_idx") * _PIECES / F.col("n_bars")) < 2).select("symbol", "tf", "open_time_ms", *OHLCV))
+    _restarted(spark, _bar_feed(spark, sf, f"{root}/feed", 2), lambda: stream_decisions(_files_of(spark, _BAR, f"{root}/feed"), f"{root}/out", f"{root}/ck", seed))
+    return spark.read.parquet(f"{root}/out/decisions").select("symbol", "tf", "open_time_ms", "bar_idx", *r6(["price", "atr"]), "verdict", "n_candidates", "reason")
 
-    from tidemark.session import checkpoint_root
-    from tidemark.streaming.live import stream_decisions
-    root = f"{checkpoint_root(spark)}/tidemark/dec-{uuid.uuid4().hex}"
-    stream_decisions(_bar_feed(spark, sf), f"{root}/hist", f"{root}/out", f"{root}/ck").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("symbol", "tf", "open_time_ms", "verdict", "n_candidates")
+
+@query("stream_emission", f"""WITH {oracle.BARS}, f AS (SELECT symbol, tf, tf_ms, CAST(open_time_ms + tf_ms + (bar_idx * 7919 % 11 * tf_ms / 4.0 + turn * tf_ms / 2.0) AS BIGINT) AS now_ms,
+    CASE WHEN bar_idx > 0 OR turn > 0 THEN open_time_ms + tf_ms - 1 END AS c FROM bars, (VALUES (0), (1)) t(turn)),
+  g AS (SELECT *, row_number() OVER w AS k, max(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_close_ms, now_ms - lag(now_ms) OVER w > 2 * tf_ms AS jumped FROM f WINDOW w AS (PARTITION BY symbol, tf ORDER BY now_ms, c)),
+  h AS (SELECT *, (now_ms - last_close_ms) / CAST(tf_ms AS DOUBLE) AS lag_bars, lag(last_close_ms) OVER (PARTITION BY symbol, tf ORDER BY k) IS NULL AS first FROM g),
+  e AS (SELECT *, CASE WHEN last_close_ms IS NULL THEN 'WARMUP' WHEN lag_bars <= 1 THEN 'LIVE' WHEN jumped OR first THEN 'CATCH_UP' END AS m FROM h)
+  SELECT symbol, tf, now_ms, last_close_ms, round(lag_bars, 6) AS lag_bars, last_value(m IGNORE NULLS) OVER (PARTITION BY symbol, tf ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mode FROM e""")
+def _q(spark, sf):
+    """Six files in order of the wall clock of each timeframe, a restart after three; one stream per timeframe, since their times are years apart."""
+    from functools import reduce
+
+    from tidemark.streaming.stateful import stream_emission
+    feed = materialize(inputs.emission_feed(spark, sf), "emission")
+    outs = []
+    for tf in sorted(r["tf"] for r in feed.select("tf").distinct().collect()):
+        root = _root(spark, f"emit-{tf}")
+        one = feed.filter(F.col("tf") == tf)
+        lo, hi = one.agg(F.min("now_ms"), F.max("now_ms")).first()
+        writers = inputs.in_files(one, F.floor((F.col("now_ms") - lo) * 6 / (hi - lo + 1)), 6, f"{root}/feed")
+        _restarted(spark, writers, lambda root=root: _append(stream_emission(_files_of(spark, "symbol string, tf string, now_ms long, last_close_ms long", f"{root}/feed")), f"{root}/out", f"{root}/ck"))
+        outs.append(spark.read.parquet(f"{root}/out"))
+    return reduce(DataFrame.unionByName, outs).filter("cause = 'row'").select("symbol", "tf", "now_ms", "last_close_ms", *r6(["lag_bars"]), "mode")
 
 
-@query("emission_gate", f"""WITH {oracle.BARS} SELECT symbol, tf, open_time_ms, CASE WHEN (1706659200000 - (open_time_ms + tf_ms - 1)) / tf_ms > 1 THEN 'CATCH_UP' ELSE 'LIVE' END AS mode FROM bars WHERE symbol = 'ALL'""")
+@query("emission_gate", f"""WITH {oracle.BARS} SELECT symbol, tf, open_time_ms, CASE WHEN (1706659200000 - (open_time_ms + tf_ms - 1)) / tf_ms > 1 THEN 'CATCH_UP' ELSE 'LIVE' END AS mode FROM bars""")
 def _q(spark, sf):
     from tidemark.streaming.live import emission_gate
-    return emission_gate(inputs.study_bars(spark, sf).filter("symbol = 'ALL'"), F.lit(1706659200000)).select("symbol", "tf", "open_time_ms", "mode")
+    return emission_gate(inputs.study_bars(spark, sf), F.lit(1706659200000)).select("symbol", "tf", "open_time_ms", "mode")
 
 
 @query("event_latency", "SELECT event_type AS kind, count(*) AS n, round(avg(event_id % 500), 6) AS mean_ms, max(event_id % 500) AS max_ms FROM events GROUP BY 1")

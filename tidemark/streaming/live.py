@@ -1,21 +1,14 @@
-"""Live bars: the batch aggregates and the batch transition functions on streams."""
+"""Live bars: the batch aggregates on streams. What carries state of its own is in :mod:`tidemark.streaming.stateful`."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.clock import TF_MS, tf_ms
 from tidemark.operators.bars import MIN_COVERAGE
-from tidemark.operators.folds import run_zigzag
 
 DELAY = "2 minutes"
-PIVOT_SCHEMA = ("symbol string, tf string, idx long, ts_ms long, price double, kind int, thr_at_extreme double, "
-                "confirmed_idx long, confirmed_ts_ms long, atr double")
-PIVOT_STATE = "n long, last_ms long, prev_close double, tr_sum double, atr double, zz array<double>"
 
 
 def closed_minutes(stream: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -59,51 +52,29 @@ def stream_ticks(ticks: DataFrame, tf: str, delay: str) -> DataFrame:
 
 
 def provisional_bars(stream: DataFrame) -> DataFrame:
-    """The in-flight bar per symbol, for a side channel in update mode; never unioned with bars."""
-    return (stream.filter("NOT is_closed").groupBy("symbol")
-            .agg(F.max_by(F.struct("open_time_ms", "open", "high", "low", "close", "volume"), "open_time_ms").alias("b"))
+    """The newest bar per symbol of a feed, for a side channel in update mode; never unioned with bars.
+
+    ``is_closed`` tells that the bar in flight was absorbed by its closed one. Of several states of one bar the closed
+    one is newest, then the one with most volume.
+    """
+    newest = F.struct("open_time_ms", F.col("is_closed").cast("int").alias("c"), "volume")
+    return (stream.groupBy("symbol").agg(F.max_by(F.struct("open_time_ms", "open", "high", "low", "close", "volume", "is_closed"), newest).alias("b"))
             .select("symbol", "b.*"))
 
 
-def _advance(key, batches, state: GroupState, k_atr: float, min_pct: float, on_close: bool, period: int):
-    n, last, prev, tr_sum, atr, zz = (state.get if state.exists else (0, -1, None, 0.0, None, [float("nan")] * 5))
-    zz = list(zz)
-    pdf = pd.concat(list(batches)).sort_values("open_time_ms").drop_duplicates("open_time_ms")
-    rows = []
-    for b in pdf.itertuples(index=False):
-        if b.open_time_ms <= last:
-            continue                                   # already seen: healing overlap
-        if prev is not None:
-            tr = max(b.high - b.low, abs(b.high - prev), abs(b.low - prev))
-            if atr is not None:
-                atr = (atr * (period - 1) + tr) / period
-            else:
-                tr_sum += tr
-                if n >= period:
-                    atr = tr_sum / period
-        prev, last = b.close, int(b.open_time_ms)
-        thr = np.nan if atr is None else max(k_atr * atr, min_pct * b.close)
-        cols = {"bar_idx": np.array([float(n)]), "open_time_ms": np.array([float(last)]),
-                "zz_hi": np.array([b.close if on_close else b.high]),
-                "zz_lo": np.array([b.close if on_close else b.low]), "zz_thr": np.array([thr])}
-        out, zz = run_zigzag(cols, zz)
-        if out["p_kind"][0] == out["p_kind"][0]:
-            rows.append((*key, int(out["p_idx"][0]), int(out["p_ts"][0]), out["p_price"][0], int(out["p_kind"][0]),
-                         out["p_thr"][0], n, last, atr))
-        n += 1
-    state.update((n, last, prev, tr_sum, atr, [float(v) for v in zz]))
-    yield pd.DataFrame(rows, columns=["symbol", "tf", "idx", "ts_ms", "price", "kind", "thr_at_extreme", "confirmed_idx",
-                                      "confirmed_ts_ms", "atr"])
-
-
-def stream_pivots(bars: DataFrame, *, k_atr: float = 1.5, min_pct: float = 0.005, on_close: bool = False,
-                  period: int = 14) -> DataFrame:
-    """Pivots as they are confirmed: incremental ATR and the same transition as the batch fold, one
-    bar at a time, with a dozen numbers of state per (symbol, tf)."""
-    def step(key, batches, state):
-        return _advance(key, batches, state, k_atr, min_pct, on_close, period)
-    return (bars.select("symbol", "tf", "open_time_ms", "high", "low", "close").groupBy("symbol", "tf")
-            .applyInPandasWithState(step, PIVOT_SCHEMA, PIVOT_STATE, "append", GroupStateTimeout.NoTimeout))
+def sink_provisional(stream: DataFrame, root: str, checkpoint: str):
+    """Every micro-batch writes the symbols that changed into the folder of its epoch, which a retry overwrites."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    return (provisional_bars(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_provisional(spark: SparkSession, root: str) -> DataFrame:
+    """The bars in flight now: the last state of each symbol, where no closed bar absorbed it."""
+    t = spark.read.parquet(root)
+    cols = [c for c in t.columns if c not in ("symbol", "epoch")]
+    return t.groupBy("symbol").agg(F.max_by(F.struct(*cols), "epoch").alias("b")).select("symbol", "b.*").filter("NOT is_closed").drop("is_closed")
 
 
 # ------------------------------------------------------------------ emission, health
@@ -112,13 +83,17 @@ def lag_bars(now_ms: Column, last_close_ms: Column, step: Column) -> Column:
     return (now_ms - last_close_ms) / step
 
 
-def emission_gate(df: DataFrame, now_ms: Column, *, jumped_ms: Column | None = None) -> DataFrame:
-    """Adds ``mode``: WARMUP before any closed bar, CATCH_UP when more than one trigger bar behind or
-    the clock jumped by more than two, LIVE otherwise. Only LIVE rows may be emitted."""
+def emission_gate(df: DataFrame, now_ms: Column, *, jumped_ms: Column | None = None, before: Column | None = None) -> DataFrame:
+    """Adds ``lag_bars`` and ``mode``: one step of the mode machine.
+
+    WARMUP before any closed bar; LIVE at a lag of at most one trigger bar; CATCH_UP when the clock jumped by more than two; else
+    the mode stays what it was (``before``), and coming from WARMUP or nothing it is CATCH_UP. Only LIVE rows may be emitted.
+    """
     lag = lag_bars(now_ms, F.col("close_time_ms"), tf_ms())
-    jump = (jumped_ms > 2 * tf_ms()) if jumped_ms is not None else F.lit(False)
+    jump = F.coalesce(jumped_ms > 2 * tf_ms(), F.lit(False)) if jumped_ms is not None else F.lit(False)
+    stays = F.when(before == "LIVE", "LIVE").otherwise("CATCH_UP") if before is not None else F.lit("CATCH_UP")
     return df.withColumn("lag_bars", lag).withColumn(
-        "mode", F.when(F.col("close_time_ms").isNull(), "WARMUP").when((lag > 1.0) | jump & (lag > 1.0), "CATCH_UP").otherwise("LIVE"))
+        "mode", F.when(F.col("close_time_ms").isNull(), "WARMUP").when(lag <= 1.0, "LIVE").when(jump, "CATCH_UP").otherwise(stays))
 
 
 def event_latency(events: DataFrame, event_ms: str, ingest_ms: str, kind: str) -> DataFrame:
@@ -149,33 +124,3 @@ def sink_bars(minutes: DataFrame, root: str, checkpoint: str):
         ingest_bars(batch.sparkSession, root, batch)
     return (minutes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-_BAR_KEY = ["symbol", "tf", "open_time_ms"]
-_HISTORY = "symbol string, tf string, open_time_ms long, open double, high double, low double, close double, volume double, epoch long"
-
-
-def decide_batch(batch: DataFrame, epoch: int, history: str, out: str) -> None:
-    """One micro-batch of ``stream_decisions``: bars and decisions go to folders of their epoch, which a retry
-    of the same epoch overwrites. A bar that an earlier epoch holds is not decided again."""
-    from tidemark.plans.pipelines import decide
-    from tidemark.session import path_exists
-    spark = batch.sparkSession
-    fresh = batch.select(*_BAR_KEY, "open", "high", "low", "close", "volume")
-    if path_exists(spark, history):
-        known = spark.read.schema(_HISTORY).parquet(history).filter(F.col("epoch") < epoch)
-        fresh = fresh.join(known.select(*_BAR_KEY), _BAR_KEY, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
-    bars = spark.read.schema(_HISTORY).parquet(history)
-    dec, _ = decide(bars.filter(F.col("epoch") <= epoch).drop("epoch"))
-    new = bars.filter(F.col("epoch") == epoch).select(*_BAR_KEY)
-    dec.join(new, _BAR_KEY, "left_semi").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-
-def stream_decisions(bars: DataFrame, history: str, out: str, checkpoint: str):
-    """Decide on each closed trigger bar: the micro-batch joins the stored bars, and the batch pipeline
-    answers for the new bars only. ``history``, ``out`` and ``checkpoint`` belong together."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        decide_batch(batch, epoch, history, out)
-    return (bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
