@@ -216,7 +216,7 @@ def battery_tests(rows: DataFrame, returns: DataFrame, panel: Panel, bar_ms: Dat
     spans = (rows.filter("w0 <> 0").join(s.select(*KEYS, "mean_duration", "bar_ms"), KEYS)
              .join(panel.owned().select("symbol", "tf", "bar_idx", "open_time_ms"), ["symbol", "tf", "bar_idx"])
              .withColumn("_w", F.col("mean_duration") * F.col("bar_ms")))
-    ne = effective_n(spans, KEYS, "_w", chunk=panel.chunk, halo=panel.halo, split=panel.split)
+    ne = effective_n(spans, KEYS, "_w", chunk=panel.chunk)
     s = (s.join(pct, KEYS).join(ne, KEYS, "left").withColumn("n_effective", F.coalesce("n_effective", F.lit(0))))
     exc, late = F.col("cagr") - F.col("cagr_bh"), F.col("cagr_late") - F.col("cagr_bh")
     out = F.col("cagr_oos") - F.col("cagr_bh_oos")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import with_halo
-from tidemark.operators.folds import run_folds, spacing_fold
-from tidemark.operators.panel import Panel, win
+from tidemark.operators.panel import CHUNK, Panel, win
 
 # Holding horizon in bars per timeframe.
 HORIZONS = {"15m": 32, "1h": 24, "4h": 12, "1d": 5}
@@ -65,14 +65,52 @@ def infer_bar_ms(bars: DataFrame) -> DataFrame:
         F.percentile("step", F.lit(0.5), F.col("n")).cast("long").alias("bar_ms"))
 
 
-def effective_n(active: DataFrame, keys: list[str], span: str, *, chunk: int, halo: int, split: bool) -> DataFrame:
-    """Greedy count per group of rows at least ``span`` ms after the last counted one."""
-    a = active.select(*keys, "bar_idx", "open_time_ms", F.col(span).cast("double").alias("_span"),
-                      F.lit(1).alias("_on"))
-    a = with_halo(a, "bar_idx", chunk, halo) if split else a.withColumn("ck", F.lit(0).cast("long"))
-    got = run_folds(a, [spacing_fold("kept", "open_time_ms", "_span", "_on")], series=keys, order="bar_idx",
-                    chunk=chunk, split=split)
-    return got.groupBy(*keys).agg(F.sum("kept").cast("long").alias("n_effective"))
+def _phases(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk as a map: whichever of its first rows the greedy count enters by, how many rows it counts here and which is the last.
+
+    The next counted row of every row is one search; jumps are doubled until all have left the chunk.
+    """
+    t = np.sort(pdf["open_time_ms"].to_numpy())
+    span = int(pdf["_span"].iloc[0])
+    n = len(t)
+    jump = np.append(np.searchsorted(t, t + max(span, 1)), n)
+    last = np.where(jump[:n] < n, jump[:n], np.arange(n))
+    count = np.append(np.ones(n, np.int64), 0)
+    while (jump < n).any():
+        count += count[jump]
+        jump = jump[jump]
+    while (last[last] != last).any():
+        last = last[last]
+    # the row counted before this chunk is earlier than t[0], so the entry is one of these
+    heads = min(n, int(np.searchsorted(t, t[0] + span)) + 1)
+    return pd.DataFrame([(*key, span, t[:heads].tolist(), count[:heads].tolist(), t[last[:heads]].tolist())], columns=["_k%d" % i for i in range(len(key))] + ["span", "t", "n", "last"])
+
+
+def _compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The chunk maps of one group applied one after the other: a search per chunk."""
+    total, free = 0, None
+    for r in pdf.sort_values("_ck").itertuples(index=False):
+        t = np.asarray(r.t)
+        at = 0 if free is None else int(np.searchsorted(t, free))
+        if at < len(t):
+            total += int(r.n[at])
+            free = int(r.last[at]) + r.span
+    return pd.DataFrame([(*key, total)], columns=["_k%d" % i for i in range(len(key))] + ["n"])
+
+
+def effective_n(active: DataFrame, keys: list[str], span: str, *, chunk: int = CHUNK) -> DataFrame:
+    """Greedy count per group of rows at least ``span`` ms after the last counted one; ``span`` is one number per group.
+
+    Each chunk is summed up as a map from the row where the count enters to (rows counted, last row counted); maps are composed
+    per group. Two rounds whatever the number of chunks; what is composed is as long as a span has rows, per chunk.
+    """
+    a = active.select(*keys, F.floor(F.col("bar_idx") / chunk).alias("_ck"), "open_time_ms", F.ceil(span).cast("long").alias("_span"))
+    types = [(k, a.schema[k].dataType.simpleString()) for k in keys]
+    head = ", ".join(f"_k{i} {t}" for i, (_, t) in enumerate([*types, ("_ck", "bigint")]))
+    maps = a.groupBy(*keys, "_ck").applyInPandas(_phases, f"{head}, span long, t array<long>, n array<long>, last array<long>")
+    maps = maps.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate([*keys, "_ck"])], "span", "t", "n", "last")
+    got = maps.groupBy(*keys).applyInPandas(_compose, ", ".join(f"_k{i} {t}" for i, (_, t) in enumerate(types)) + ", n long")
+    return got.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("n").alias("n_effective"))
 
 
 def base_stats(fwd: DataFrame) -> DataFrame:
@@ -99,7 +137,7 @@ def evaluate_signals(signals: DataFrame, fwd: DataFrame, panel: Panel, bar_ms: D
         F.count(F.lit(1)).alias("n_signals"), F.avg((r > 0).cast("double")).alias("hit_rate"),
         F.avg(r).alias("mean_ret"), F.count_if(oos).alias("_n_oos"), F.avg(F.when(oos, r)).alias("_mean_oos"))
     spans = act.join(bar_ms, ["symbol", "tf"]).withColumn("_w", F.col("horizon") * F.col("bar_ms"))
-    ne = effective_n(spans, keys, "_w", chunk=panel.chunk, halo=panel.halo, split=panel.split)
+    ne = effective_n(spans, keys, "_w", chunk=panel.chunk)
     out = (per.join(base_stats(fwd), ["symbol", "tf"]).join(ne, keys)
            .filter((F.col("n_bars") >= MIN_BARS) & (F.col("n_signals") >= MIN_SIGNALS)))
     return out.select(

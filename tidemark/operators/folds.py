@@ -6,6 +6,9 @@ state of the chunk before; chunks whose guess was wrong are run again from the r
 every start equals the end before it. State machines that forget (stops, pivots, time-to-live
 levels) agree after the first pass; the worst case is one round per chunk, and the result is the
 sequential one either way. Only chunk summaries, a few numbers each, take part in the checking.
+
+Machines with three states need no guess: a bar is a map of the states, maps are composed by an
+associative scan, and a chunk's composed map takes the state before it to the state after it.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ class Fold:
     init: tuple[float, ...]
     run: Callable[[dict[str, np.ndarray], list[float]], tuple[dict[str, np.ndarray], list[float]]]
     outputs: tuple[tuple[str, str], ...] = field(default=())     # (column, spark type)
+    maps: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None    # rows of (-1, 0, 1) -> next state
 
 
 def _columns(pdf: pd.DataFrame, fold: Fold) -> dict[str, np.ndarray]:
@@ -92,6 +96,9 @@ def run_folds(df: DataFrame, folds: Sequence[Fold], *, series: Sequence[str], or
         res = []
         for f in folds:
             start = list(f.init)
+            if f.maps:
+                res.append((f.name, start, compose(f.maps(_columns(own, f))).astype("float64").tolist()))
+                continue
             if len(halo):
                 _, start = f.run(_columns(halo, f), start)
             _, end = f.run(_columns(own, f), list(start))
@@ -110,10 +117,25 @@ def run_folds(df: DataFrame, folds: Sequence[Fold], *, series: Sequence[str], or
             res.append((name, list(start), list(end)))
         return rows_of(key, res)
 
+    machines = {f.name: int(f.init[0]) for f in folds if f.maps}
+
+    def enter(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ck")
+        state, starts = machines[key[-1]], []
+        for m in pdf["end"]:
+            starts.append([float(state)])
+            state = int(m[state + 1])
+        pdf["start"] = starts
+        return pdf
+
     table = materialize(df.groupBy(*keys).applyInPandas(guess, summary), "fold-state")
+    known = table.filter(F.col("fold").isin(*machines)).groupBy(*series, "fold").applyInPandas(enter, summary) if machines else None
+    table = table.filter(~F.col("fold").isin(*machines)) if machines else table
     w = W.partitionBy(*series, "fold").orderBy("ck")
-    same = lambda a, b: (F.isnan(a) & F.isnan(b)) | (F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a)))
-    while True:
+    # whole numbers (positions, places, times) must agree exactly
+    same = lambda a, b: (F.isnan(a) & F.isnan(b)) | (a == b) | (
+        ((a != F.floor(a)) | (b != F.floor(b))) & (F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a))))
+    while len(machines) < len(folds):
         checked = table.withColumn("before", F.lag("end").over(w)).withColumn(
             "ok", F.col("before").isNull() | F.forall(F.zip_with("before", "start", same), lambda v: v))
         wrong = materialize(checked.filter("not ok").select(
@@ -124,6 +146,8 @@ def run_folds(df: DataFrame, folds: Sequence[Fold], *, series: Sequence[str], or
                  .cogroup(wrong.groupBy(*keys)).applyInPandas(redo, summary))
         table = materialize(checked.filter("ok").select(*summary.names).unionByName(fixed), "fold-state")
 
+    table = table.unionByName(known) if known is not None else table
+
     def emit(key, pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         own = pdf[(pdf[order].to_numpy() // chunk) == pdf["ck"].to_numpy()]
@@ -134,65 +158,79 @@ def run_folds(df: DataFrame, folds: Sequence[Fold], *, series: Sequence[str], or
 
 # ------------------------------------------------------------------ three-state machines
 
-def _machine(name: str, inputs: tuple[str, ...], step, init=(0.0,)) -> Fold:
-    """A position machine over {-1, 0, +1}: ``step(position, *values) -> position``."""
+#: Bars of a lane.
+LANE = 256
+
+
+def _prefixes(maps: np.ndarray) -> np.ndarray:
+    """Inside every lane of ``LANE`` bars the composition of all maps so far: one step per place in a lane, all lanes at once."""
+    n = len(maps)
+    out = np.tile(np.array([-1, 0, 1], dtype=np.int8), (-(-n // LANE) * LANE, 1))
+    out[:n] = maps
+    out = out.reshape(-1, LANE, 3)
+    for j in range(1, LANE):
+        out[:, j] = np.take_along_axis(out[:, j], out[:, j - 1] + 1, axis=1)
+    return out
+
+
+def compose(maps: np.ndarray) -> np.ndarray:
+    """All maps one after the other as one map."""
+    while len(maps) > 1:
+        maps = _prefixes(maps)[:, -1]
+    return maps[0] if len(maps) else np.array([-1, 0, 1], dtype=np.int8)
+
+
+def scan_states(maps: np.ndarray, start: int) -> np.ndarray:
+    """The state after every bar."""
+    if not len(maps):
+        return np.zeros(0, dtype=np.int8)
+    inside = _prefixes(maps)
+    if len(inside) == 1:
+        begin = np.array([start])
+    else:
+        begin = np.concatenate([[start], scan_states(inside[:, -1], start)[:-1]])
+    return np.take_along_axis(inside, (begin + 1)[:, None, None], axis=2).reshape(-1)[:len(maps)]
+
+
+def _machine(name: str, inputs: tuple[str, ...], step) -> Fold:
+    """A position machine over {-1, 0, +1}: ``step(*columns)`` gives the next state from short, from flat and from long.
+
+    Comparisons with NaN are false, so an undefined input moves nothing by itself.
+    """
     out = f"pos_{name}"
 
+    def maps(cols):
+        return np.stack(step(*(cols[c] for c in inputs)), axis=1).astype(np.int8)
+
     def run(cols, state):
-        pos = int(state[0])
-        arrs = [cols[c].tolist() for c in inputs]
-        res = np.empty(len(arrs[0]), dtype="int64")
-        for i, vals in enumerate(zip(*arrs)):
-            pos = step(pos, *vals)
-            res[i] = pos
-        return {out: res}, [float(pos)]
-    return Fold(name, inputs, init, run, ((out, "int"),))
-
-
-def _reentry(pos, c, up, mid, lo, c1, up1, lo1):
-    if up != up or up1 != up1:
-        return 0
-    if (pos == 1 and c >= mid) or (pos == -1 and c <= mid):
-        pos = 0
-    if pos == 0:
-        if c1 < lo1 and c >= lo:
-            return 1
-        if c1 > up1 and c <= up:
-            return -1
-    return pos
-
-
-def _exit_flat(pos, c, hi_in, lo_in, hi_out, lo_out):
-    """Comparisons with NaN are false, so an undefined channel never moves the position."""
-    if pos == 0:
-        return 1 if c > hi_in else -1 if c < lo_in else 0
-    if pos == 1:
-        return 0 if c < lo_out else 1
-    return 0 if c > hi_out else -1
-
-
-def _exit_or_reverse(pos, c, hi_in, lo_in, hi_out, lo_out):
-    if hi_in != hi_in:
-        return 0
-    if pos == 0:
-        return 1 if c > hi_in else -1 if c < lo_in else 0
-    if pos == 1:
-        return pos if c >= lo_out else -1 if c < lo_in else 0
-    return pos if c <= hi_out else 1 if c > hi_in else 0
-
-
-def _squeeze(pos, entry, squeezed, c, mid, ok):
-    if pos == 1 and (squeezed == 1 or (ok == 1 and c < mid)):
-        pos = 0
-    elif pos == -1 and (squeezed == 1 or (ok == 1 and c > mid)):
-        pos = 0
-    return int(entry) if entry != 0 else pos
-
-
-def _keltner(pos, entry, c, mid, ok):
-    if ok == 1 and ((pos == 1 and c < mid) or (pos == -1 and c > mid)):
-        pos = 0
-    return int(entry) if entry != 0 else pos
+        pos = scan_states(maps(cols), int(state[0])).astype("int64")
+        return {out: pos}, [float(pos[-1]) if len(pos) else state[0]]
+    return Fold(name, inputs, (0.0,), run, ((out, "int"),), maps)
+
+
+def _reentry(c, up, mid, lo, c1, up1, lo1):
+    entry = np.where((c1 < lo1) & (c >= lo), 1, np.where((c1 > up1) & (c <= up), -1, 0))
+    off = np.isnan(up) | np.isnan(up1)
+    return tuple(np.where(off, 0, m) for m in (np.where(c <= mid, entry, -1), entry, np.where(c >= mid, entry, 1)))
+
+
+def _exit_flat(c, hi_in, lo_in, hi_out, lo_out):
+    return np.where(c > hi_out, 0, -1), np.where(c > hi_in, 1, np.where(c < lo_in, -1, 0)), np.where(c < lo_out, 0, 1)
+
+
+def _exit_or_reverse(c, hi_in, lo_in, hi_out, lo_out):
+    top, bottom, off = c > hi_in, c < lo_in, np.isnan(hi_in)
+    return tuple(np.where(off, 0, m) for m in (
+        np.where(c <= hi_out, -1, np.where(top, 1, 0)), np.where(top, 1, np.where(bottom, -1, 0)), np.where(c >= lo_out, 1, np.where(bottom, -1, 0))))
+
+
+def _squeeze(entry, squeezed, c, mid, ok):
+    out_short, out_long = (squeezed == 1) | ((ok == 1) & (c > mid)), (squeezed == 1) | ((ok == 1) & (c < mid))
+    return tuple(np.where(entry != 0, entry, m) for m in (np.where(out_short, 0, -1), np.zeros(len(c)), np.where(out_long, 0, 1)))
+
+
+def _keltner(entry, c, mid, ok):
+    return _squeeze(entry, np.zeros(len(c)), c, mid, ok)
 
 
 BAND_REENTRY = _machine("band_reentry", ("close", "bb_up20", "close_sma20", "bb_lo20", "close_l1",

@@ -818,7 +818,7 @@ def _q(spark, sf):
     from tidemark.operators.evaluate import active_returns, effective_n, infer_bar_ms
     p = inputs.study_panel(spark, sf)
     a = active_returns(_sample_positions(spark, sf), _forward(spark, sf)).join(infer_bar_ms(inputs.study_bars(spark, sf)), ["symbol", "tf"]).withColumn("w", F.col("horizon") * F.col("bar_ms"))
-    return effective_n(a, ["signal_name", "symbol", "tf"], "w", chunk=p.chunk, halo=p.halo, split=p.split)
+    return effective_n(a, ["signal_name", "symbol", "tf"], "w", chunk=p.chunk)
 
 
 def _excess(spark, sf):
