@@ -1031,6 +1031,61 @@ def _q(spark, sf):
     return each.select("symbol", "tf", "signal_name", *r6(["p_value"]))
 
 
+_SHORT_BARS = oracle.indexed(oracle.raw_bars(oracle.EVENT_TYPE_TICKS, "1d"))
+_SHORT_CTES = _BL_CTES[_BL_CTES.index("mns AS MATERIALIZED"):]
+_SHORT = f"""bars AS MATERIALIZED ({_SHORT_BARS}),
+  fw AS (SELECT *, ln(lead(close) OVER w / close) AS fwd, lag(close, 1) OVER w AS l1, lag(close, 2) OVER w AS l2, lag(close, 3) OVER w AS l3, lag(close, 5) OVER w AS l5 FROM bars WINDOW w AS (PARTITION BY symbol, tf ORDER BY bar_idx)),
+  base AS (SELECT symbol, tf, avg(fwd) AS b FROM fw GROUP BY 1, 2),
+  exc AS MATERIALIZED (SELECT 'change' || k AS signal_name, symbol, tf, bar_idx, n_bars, sign(close - l) * (fwd - b) AS excess FROM (
+    SELECT *, unnest([1, 2, 3, 5]) AS k, unnest([l1, l2, l3, l5]) AS l FROM fw) JOIN base USING (symbol, tf) WHERE l IS NOT NULL AND close <> l AND fwd IS NOT NULL), {_SHORT_CTES},
+  cuts AS (SELECT symbol, tf, n, block, draw, t FROM (SELECT symbol, tf, n, block FROM ln), range(0, 2000) d(draw), range(0, 800) b(t) WHERE t < n AND (t = 0 OR {oracle.hash32(7, 'symbol', 'tf', 'draw', 't', "'p'")} / 4294967296.0::DOUBLE < 1.0 / greatest(block, 1.0))),
+  blks AS (SELECT *, {oracle.hash32(7, 'symbol', 'tf', 'draw', 't', "'i'")} % n AS i, coalesce(lead(t) OVER (PARTITION BY symbol, tf, draw ORDER BY t), n) - t AS len FROM cuts),
+  drawn AS (SELECT symbol, tf, draw, n, (i + unnest(range(0, len))) % n AS bar_idx FROM blks),
+  dm AS MATERIALIZED (SELECT m.symbol, m.tf, d.draw, m.signal_name, sum(coalesce(e.excess, 0)) / any_value(d.n) - any_value(m.mean) AS m FROM drawn d JOIN mns m USING (symbol, tf)
+    LEFT JOIN exc e ON e.symbol = d.symbol AND e.tf = d.tf AND e.bar_idx = d.bar_idx AND e.signal_name = m.signal_name GROUP BY 1, 2, 3, 4)"""
+
+
+def _short_excess(spark, sf):
+    """Thirty daily bars per event type; the sign of the change over 1, 2, 3 and 5 days as four strategies."""
+    from pyspark.sql import Window as W
+
+    from tidemark.operators.bars import dense_bar_index, ticks_to_bars
+    b = dense_bar_index(ticks_to_bars(inputs.event_ticks(spark, sf, "event_type"), ["1d"]))
+    w = W.partitionBy("symbol", "tf").orderBy("bar_idx")
+    b = b.select("symbol", "tf", "bar_idx", "n_bars", "close", F.ln(F.lead("close").over(w) / F.col("close")).alias("fwd"), *[F.lag("close", k).over(w).alias(f"l{k}") for k in (1, 2, 3, 5)])
+    b = b.withColumn("s", F.explode(F.array(*[F.struct(F.lit(f"change{k}").alias("signal_name"), F.col(f"l{k}").alias("l")) for k in (1, 2, 3, 5)])))
+    base = b.filter("s.signal_name = 'change1'").groupBy("symbol", "tf").agg(F.avg("fwd").alias("b"))
+    return b.join(base, ["symbol", "tf"]).filter("s.l IS NOT NULL AND close <> s.l AND fwd IS NOT NULL").select(
+        "s.signal_name", "symbol", "tf", "bar_idx", "n_bars", (F.signum(F.col("close") - F.col("s.l")) * (F.col("fwd") - F.col("b"))).alias("excess"))
+
+
+@query("stationary_bootstrap", f"""WITH {_SHORT} SELECT l.symbol, l.tf, best_name, round(sqrt(n) * best_mean, 7) AS best_stat, round(p, 6) AS p_value, 4 AS n_strategies, n AS n_obs, round(block, 6) AS block_length FROM ln l
+  JOIN (SELECT symbol, tf, avg((mx >= v)::INT) AS p FROM (SELECT symbol, tf, draw, max(m) AS mx FROM dm GROUP BY 1, 2, 3) JOIN (SELECT symbol, tf, max(mean) AS v FROM mns GROUP BY 1, 2) USING (symbol, tf) GROUP BY 1, 2) USING (symbol, tf)""")
+def _q(spark, sf):
+    """All 2,000 draws."""
+    from tidemark.operators.multiple import reality_check
+    top, _ = reality_check(materialize(_short_excess(spark, sf), "short"), draws=2000)
+    return top.select("symbol", "tf", "best_name", *r6(["best_stat"], 7), *r6(["p_value"]), F.col("n_strategies").cast("int").alias("n_strategies"), "n_obs", *r6(["block_length"]))
+
+
+@query("stationary_bootstrap_strategies", f"WITH {_SHORT} SELECT symbol, tf, signal_name, round(avg((m >= mean)::INT), 6) AS p_value FROM dm JOIN mns USING (symbol, tf, signal_name) GROUP BY 1, 2, 3")
+def _q(spark, sf):
+    from tidemark.operators.multiple import reality_check
+    _, each = reality_check(materialize(_short_excess(spark, sf), "short"), draws=2000)
+    return each.select("symbol", "tf", "signal_name", *r6(["p_value"]))
+
+
+@query("rc_alignment_gate", f"""WITH {_SHORT}, g AS (SELECT symbol, tf, signal_name, CASE WHEN symbol = (SELECT max(symbol) FROM mns) AND signal_name = 'change2' THEN n - 1 ELSE n END AS n FROM mns WHERE symbol <> (SELECT min(symbol) FROM mns) OR signal_name = 'change3')
+  SELECT symbol, tf, count(*) AS k, CASE WHEN count(DISTINCT n) > 1 THEN 'different_lengths' WHEN count(*) < 2 THEN 'one_strategy' ELSE 'corrected' END AS gate FROM g GROUP BY 1, 2""")
+def _q(spark, sf):
+    """One symbol with a single strategy, one with a strategy that is a bar short; the others pass."""
+    from tidemark.operators.multiple import aligned, alignment_refusals, strategy_means
+    m = strategy_means(materialize(_short_excess(spark, sf), "short"))
+    end = m.agg(F.min("symbol").alias("a"), F.max("symbol").alias("z")).first()
+    m = m.filter((F.col("symbol") != end["a"]) | (F.col("signal_name") == "change3")).withColumn("n", F.when((F.col("symbol") == end["z"]) & (F.col("signal_name") == "change2"), F.col("n") - 1).otherwise(F.col("n")))
+    return aligned(m).withColumn("gate", F.lit("corrected")).unionByName(alignment_refusals(m).withColumnRenamed("refused", "gate"))
+
+
 _TRIAL_SQL = """t AS (SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS ts_ms, md5(CAST(o_custkey % 50 AS VARCHAR)) AS config_hash, CASE o_orderstatus WHEN 'F' THEN 'manual' WHEN 'O' THEN 'walkforward' ELSE 'startup' END AS kind, o_orderpriority AS fixture_set, o_totalprice AS value FROM orders)"""
 
 
