@@ -719,13 +719,13 @@ def _q(spark, sf):
 @query("edge_ci", f"""WITH RECURSIVE {_OUT_CTES}, o AS (SELECT side, entry_id, r - cost_r AS x, r - null_r AS d,
     row_number() OVER (PARTITION BY side ORDER BY {oracle.hash32(23, 'entry_id')} % 256, entry_id) - 1 AS k, count(*) OVER (PARTITION BY side) AS n
     FROM (SELECT *, unnest(['all', CASE WHEN direction > 0 THEN 'long' ELSE 'short' END]) AS side FROM res)),
-  pk AS (SELECT side, draw, {oracle.hash32(23, 'side', 'draw', 'k')} % n AS k FROM o, range(0, 50) g(draw)),
+  pk AS (SELECT side, draw, {oracle.hash32(23, 'side', 'draw', 'k')} % n AS k FROM o, range(0, 1000) g(draw)),
   dr AS (SELECT side, draw, avg(x) AS x, avg(d) AS d FROM pk JOIN o USING (side, k) GROUP BY 1, 2)
   SELECT m.side, n, round(ex, 6) AS expectancy_r, round(ed, 6) AS edge_vs_null, round(quantile_cont(x, 0.025), 6) AS expectancy_lo, round(quantile_cont(x, 0.975), 6) AS expectancy_hi,
     round(quantile_cont(d, 0.025), 6) AS edge_lo, round(quantile_cont(d, 0.975), 6) AS edge_hi FROM dr JOIN (SELECT side, count(*) AS n, avg(x) AS ex, avg(d) AS ed FROM o GROUP BY 1) m USING (side) GROUP BY ALL""")
 def _q(spark, sf):
     from tidemark.operators.outcomes import edge_ci
-    return edge_ci(_outcomes(spark, sf), draws=50).select("side", "n", *r6(["expectancy_r", "edge_vs_null", "expectancy_lo", "expectancy_hi", "edge_lo", "edge_hi"]))
+    return edge_ci(_outcomes(spark, sf), draws=1000).select("side", "n", *r6(["expectancy_r", "edge_vs_null", "expectancy_lo", "expectancy_hi", "edge_lo", "edge_hi"]))
 
 
 # Entries from a catalogue signal, so that stops and targets are hit on both sides of the book.
@@ -927,7 +927,7 @@ _RC_CTES = f"""{_BT_CTES},
   ps AS (SELECT symbol, tf, bar_idx + 1 AS upto, sum(r) OVER (PARTITION BY symbol, tf ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) AS cum FROM ret UNION ALL SELECT DISTINCT symbol, tf, 0, 0.0 FROM ret),
   sg0 AS (SELECT signal_name, symbol, tf, n, py, exposure, draw, seg, lo + ({oracle.hash32(11, 'signal_name', 'symbol', 'tf', 'draw', 'seg', "'len'")} % (hi - lo)) AS len,
       ({oracle.hash32(11, 'signal_name', 'symbol', 'tf', 'draw', 'seg', "'on'")} / 4294967296.0::DOUBLE < exposure)::INT AS sw
-    FROM (SELECT *, greatest(2, dur // 2) AS lo, greatest(3, dur * 2) AS hi FROM (SELECT *, greatest(2, CAST(floor(n / greatest(flips, 1)) AS BIGINT)) AS dur FROM su)), range(0, 4) d(draw), range(0, 2000) g(seg) WHERE seg <= ceil(n / lo)),
+    FROM (SELECT *, greatest(2, dur // 2) AS lo, greatest(3, dur * 2) AS hi FROM (SELECT *, greatest(2, CAST(floor(n / greatest(flips, 1)) AS BIGINT)) AS dur FROM su)), range(0, 250) d(draw), range(0, 2000) g(seg) WHERE seg <= ceil(n / lo)),
   sg1 AS (SELECT *, sum(len) OVER (PARTITION BY signal_name, symbol, tf, draw ORDER BY seg) AS e FROM sg0),
   sg AS MATERIALIZED (SELECT *, e - len AS b, abs(sw - coalesce(lag(sw) OVER (PARTITION BY signal_name, symbol, tf, draw ORDER BY seg), 0)) AS flip FROM sg1 WHERE e - len < n),
   rc AS MATERIALIZED (SELECT s.signal_name, s.symbol, s.tf, s.draw, exp((sum(CASE WHEN sw = 1 THEN p1.cum - p0.cum ELSE 0 END) - sum(flip) * 0.0015::DOUBLE) * any_value(py) / any_value(n)) - 1 AS cagr
@@ -937,7 +937,7 @@ _RC_CTES = f"""{_BT_CTES},
 @query("random_control", f"WITH {_RC_CTES} SELECT signal_name, symbol, tf, CAST(draw AS BIGINT) AS draw, {squash_sql('cagr', 'cagr')} FROM rc")
 def _q(spark, sf):
     from tidemark.operators.battery import random_control
-    rc = random_control(_summary(spark, sf), _returns(spark, sf), draws=4, exact_hash=True)
+    rc = random_control(_summary(spark, sf), _returns(spark, sf), draws=250, exact_hash=True)
     return longs(rc.withColumn("cagr", squash("cagr")), "draw")
 
 
@@ -953,7 +953,7 @@ _TEST_CTES = f"""{_RC_CTES},
 
 def _tests(spark, sf):
     from tidemark.operators.battery import battery_tests
-    return battery_tests(_battery_rows(spark, sf), _returns(spark, sf), inputs.study_panel(spark, sf), _bar_ms(spark, sf), draws=4, exact_hash=True)
+    return battery_tests(_battery_rows(spark, sf), _returns(spark, sf), inputs.study_panel(spark, sf), _bar_ms(spark, sf), draws=250, exact_hash=True)
 
 
 @query("battery_tests", f"WITH RECURSIVE {_TEST_CTES} SELECT signal_name, symbol, tf, test, passed, {squash_sql('value', 'value')} FROM te")
@@ -1009,7 +1009,7 @@ def _q(spark, sf):
 
 def _draw_sql(seed: int, name: str) -> str:
     return f"""{name} AS MATERIALIZED (SELECT k.symbol, k.tf, k.draw, b.signal_name, avg(b.bm) AS m FROM (SELECT symbol, tf, draw, {oracle.hash32(seed, 'symbol', 'tf', 'draw', 'slot')} % nb AS blk
-      FROM (SELECT symbol, tf, n // len AS nb FROM ln), range(0, 40) d(draw), range(0, 3000) s(slot) WHERE slot < nb) k JOIN bm b ON b.symbol = k.symbol AND b.tf = k.tf AND b.blk = k.blk GROUP BY 1, 2, 3, 4)"""
+      FROM (SELECT symbol, tf, n // len AS nb FROM ln), range(0, 2000) d(draw), range(0, 3000) s(slot) WHERE slot < nb) k JOIN bm b ON b.symbol = k.symbol AND b.tf = k.tf AND b.blk = k.blk GROUP BY 1, 2, 3, 4)"""
 
 
 _RCK = f"{_BM_CTES}, {_draw_sql(7, 'd1')}, {_draw_sql(8, 'd2')}"
@@ -1020,14 +1020,14 @@ _RCK = f"{_BM_CTES}, {_draw_sql(7, 'd1')}, {_draw_sql(8, 'd2')}"
   JOIN (SELECT symbol, tf, count(*) AS k FROM mns GROUP BY 1, 2) USING (symbol, tf)""")
 def _q(spark, sf):
     from tidemark.operators.multiple import reality_check
-    top, _ = reality_check(_excess(spark, sf), draws=40, exact_hash=True)
+    top, _ = reality_check(_excess(spark, sf), draws=2000, exact_hash=True)
     return top.select("symbol", "tf", "best_name", *r6(["best_stat"], 7), *r6(["p_value"]), "n_strategies", "n_obs", *r6(["block_length"]))
 
 
 @query("reality_check_strategies", f"WITH {_RCK} SELECT symbol, tf, signal_name, round(avg((m >= mean)::INT), 6) AS p_value FROM d2 JOIN mns USING (symbol, tf, signal_name) GROUP BY 1, 2, 3")
 def _q(spark, sf):
     from tidemark.operators.multiple import reality_check
-    _, each = reality_check(_excess(spark, sf), draws=40, exact_hash=True)
+    _, each = reality_check(_excess(spark, sf), draws=2000, exact_hash=True)
     return each.select("symbol", "tf", "signal_name", *r6(["p_value"]))
 
 
