@@ -155,13 +155,17 @@ def excess_returns(signals: DataFrame, fwd: DataFrame) -> DataFrame:
         (F.col("position") * (F.col("fwd") - F.col("_base"))).alias("excess"))
 
 
+#: Edges below this are rounding: a signal that is always in the market has the drift's own return.
+ROUNDING = 1e-12
+
+
 def oos_degradation(ev: DataFrame) -> DataFrame:
     """Share of signals with a positive edge in sample and out of sample, per timeframe."""
     both = ev.filter("oos_edge IS NOT NULL")
+    gains, lasts = F.col("edge") > ROUNDING, F.col("oos_edge") > ROUNDING
     return both.groupBy("tf").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("edge") > 0).cast("double")).alias("positive_in"),
-        F.avg((F.col("oos_edge") > 0).cast("double")).alias("positive_out"),
-        F.avg(((F.col("edge") > 0) & (F.col("oos_edge") > 0)).cast("double")).alias("positive_both"))
+        F.count(F.lit(1)).alias("n"), F.avg(gains.cast("double")).alias("positive_in"),
+        F.avg(lasts.cast("double")).alias("positive_out"), F.avg((gains & lasts).cast("double")).alias("positive_both"))
 
 
 def family_rollup(ev: DataFrame) -> DataFrame:

@@ -755,6 +755,14 @@ HORIZON = "CASE tf WHEN '15m' THEN 32 WHEN '1h' THEN 24 WHEN '4h' THEN 12 WHEN '
 FWD = f"""fwd AS MATERIALIZED (SELECT a.symbol, a.tf, a.bar_idx, a.n_bars, a.open_time_ms, a.h AS horizon, ln(b.close / a.close) AS fwd
   FROM (SELECT *, {HORIZON} AS h FROM bars) a JOIN bars b ON a.symbol = b.symbol AND a.tf = b.tf AND b.bar_idx = a.bar_idx + a.h)"""
 POS = f"pos AS MATERIALIZED ({positions()})"
+
+
+def all_positions() -> str:
+    """The whole catalogue."""
+    from tidemark.signals.registry import catalogue
+    return f"pos AS MATERIALIZED ({positions(list(catalogue()))})"
+
+
 BAR_MS = """bar_ms AS MATERIALIZED (SELECT symbol, tf, CAST(median(d) AS BIGINT) AS bar_ms FROM (SELECT symbol, tf, open_time_ms - lag(open_time_ms)
   OVER (PARTITION BY symbol, tf ORDER BY bar_idx) AS d FROM bars) WHERE d IS NOT NULL GROUP BY 1, 2)"""
 

@@ -791,7 +791,7 @@ def _q(spark, sf):
     return inputs.study_bars(spark, sf).select("symbol", "tf", "bar_idx", out_of_sample(F.col("bar_idx"), F.col("n_bars"), horizon_of()).alias("oos"))
 
 
-_EV_CTES = f"""{oracle.BARS}, {oracle.FWD}, {oracle.POS}, {oracle.BAR_MS},
+_EV_CTES = f"""{oracle.BARS}, {oracle.FWD}, {oracle.all_positions()}, {oracle.BAR_MS},
   act AS MATERIALIZED (SELECT p.signal_name, p.symbol, p.tf, p.bar_idx, p.position * f.fwd AS r, f.fwd, f.n_bars, f.open_time_ms, f.horizon * m.bar_ms AS w, {oracle.oos('p.bar_idx', 'f.n_bars', 'f.horizon')} AS oos, p.position
     FROM pos p JOIN fwd f USING (symbol, tf, bar_idx) JOIN bar_ms m USING (symbol, tf) WHERE p.position <> 0),
   {oracle.spaced('act', 'ne', 'signal_name, symbol, tf', 'open_time_ms', 'w')},
@@ -803,9 +803,13 @@ _EV_CTES = f"""{oracle.BARS}, {oracle.FWD}, {oracle.POS}, {oracle.BAR_MS},
 _EV_NUM = ["hit_rate", "base_rate", "mean_ret", "base_ret", "edge", "oos_edge", "exposure"]
 
 
+def _all_positions(spark, sf):
+    return kept(spark, sf, "positions", lambda: signal_positions(inputs.study_panel(spark, sf)))
+
+
 def _evaluation(spark, sf):
     from tidemark.operators.evaluate import evaluate_signals
-    return kept(spark, sf, "evaluation", lambda: evaluate_signals(_sample_positions(spark, sf), _forward(spark, sf), inputs.study_panel(spark, sf)))
+    return kept(spark, sf, "evaluation", lambda: evaluate_signals(_all_positions(spark, sf), _forward(spark, sf), inputs.study_panel(spark, sf)))
 
 
 @query("evaluate_signals", f"WITH RECURSIVE {_EV_CTES} SELECT signal_name, symbol, tf, family, n_signals, n_effective, {', '.join(f'round({c}, 7) AS {c}' for c in _EV_NUM)} FROM ev")
@@ -817,7 +821,7 @@ def _q(spark, sf):
 def _q(spark, sf):
     from tidemark.operators.evaluate import active_returns, effective_n, infer_bar_ms
     p = inputs.study_panel(spark, sf)
-    a = active_returns(_sample_positions(spark, sf), _forward(spark, sf)).join(infer_bar_ms(inputs.study_bars(spark, sf)), ["symbol", "tf"]).withColumn("w", F.col("horizon") * F.col("bar_ms"))
+    a = active_returns(_all_positions(spark, sf), _forward(spark, sf)).join(infer_bar_ms(inputs.study_bars(spark, sf)), ["symbol", "tf"]).withColumn("w", F.col("horizon") * F.col("bar_ms"))
     return effective_n(a, ["signal_name", "symbol", "tf"], "w", chunk=p.chunk)
 
 
@@ -834,7 +838,7 @@ def _q(spark, sf):
     return _excess(spark, sf).select("signal_name", "symbol", "tf", "bar_idx", *r6(["excess"], 8))
 
 
-@query("oos_degradation", f"WITH RECURSIVE {_EV_CTES} SELECT tf, count(*) AS n, round(avg((edge > 0)::INT), 6) AS positive_in, round(avg((oos_edge > 0)::INT), 6) AS positive_out, round(avg((edge > 0 AND oos_edge > 0)::INT), 6) AS positive_both FROM ev WHERE oos_edge IS NOT NULL GROUP BY 1")
+@query("oos_degradation", f"WITH RECURSIVE {_EV_CTES} SELECT tf, count(*) AS n, round(avg((edge > 1e-12::DOUBLE)::INT), 6) AS positive_in, round(avg((oos_edge > 1e-12::DOUBLE)::INT), 6) AS positive_out, round(avg((edge > 1e-12::DOUBLE AND oos_edge > 1e-12::DOUBLE)::INT), 6) AS positive_both FROM ev WHERE oos_edge IS NOT NULL GROUP BY 1")
 def _q(spark, sf):
     from tidemark.operators.evaluate import oos_degradation
     return oos_degradation(_evaluation(spark, sf)).select("tf", "n", *r6(["positive_in", "positive_out", "positive_both"]))
@@ -1439,18 +1443,26 @@ def _q(spark, sf):
 
 # ------------------------------------------------------------------ the whole catalogue
 
-@query("signal_catalog_counts")
+def _catalog_values() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({text(s.family)}, {text(s.name)}, {text(s.title)}, {text(s.prior)}, CAST({s.warmup} AS INTEGER))" for s in catalogue().values())
+
+
+@query("signal_catalog_counts", f"""WITH {oracle.all_positions()} SELECT family, signal_name, title, prior, min_warmup, count(*) AS bars, count(*) FILTER (position = 1) AS n_long, count(*) FILTER (position = -1) AS n_short
+  FROM (VALUES {_catalog_values()}) c(family, signal_name, title, prior, min_warmup) JOIN pos USING (signal_name) GROUP BY ALL""")
 def _q(spark, sf):
     """The catalogue table beside what every signal does on the study panel."""
     from tidemark.signals.registry import signal_catalog
-    pos = kept(spark, sf, "positions", lambda: signal_positions(inputs.study_panel(spark, sf)))
+    pos = _all_positions(spark, sf)
     n = pos.groupBy("signal_name").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("position") == 1).alias("n_long"), F.count_if(F.col("position") == -1).alias("n_short"))
     return signal_catalog(spark).join(n, "signal_name").select("family", "signal_name", "title", "prior", "min_warmup", "bars", "n_long", "n_short")
 
 
-@query("study_all_signals")
+@query("study_all_signals", f"""WITH RECURSIVE {_EV_CTES}, g AS (SELECT symbol, tf, count(*) AS k, max(edge) AS best_edge, arg_max(signal_name, (round(edge, 9), signal_name)) AS best_name, sum(n_effective) AS n_effective, count(*) FILTER (oos_edge > 1e-12::DOUBLE) AS positive_out FROM ev GROUP BY 1, 2)
+  SELECT symbol, tf, k, best_name, round(best_edge, 7) AS best_edge, CAST(n_effective AS BIGINT) AS n_effective, positive_out FROM g""")
 def _q(spark, sf):
-    """Evaluation of all 100 signals on every series."""
-    from tidemark.operators.evaluate import evaluate_signals
-    pos = kept(spark, sf, "positions", lambda: signal_positions(inputs.study_panel(spark, sf)))
-    return evaluate_signals(pos, _forward(spark, sf), inputs.study_panel(spark, sf), _bar_ms(spark, sf))
+    """The study as a report: per series how many of the 100 signals could be judged, the best of them, and how many hold out of sample."""
+    from tidemark.operators.evaluate import ROUNDING
+    best = F.max_by("signal_name", F.struct(rd("edge", 9), "signal_name"))
+    g = _evaluation(spark, sf).groupBy("symbol", "tf").agg(F.count(F.lit(1)).alias("k"), best.alias("best_name"), F.max("edge").alias("best_edge"), F.sum("n_effective").alias("n_effective"), F.count_if(F.col("oos_edge") > ROUNDING).alias("positive_out"))
+    return g.select("symbol", "tf", "k", "best_name", *r6(["best_edge"], 7), "n_effective", "positive_out")
