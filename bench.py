@@ -28,7 +28,7 @@ def main() -> None:
     from tidemark.operators.indicators import indicators
     from tidemark.operators.outcomes import triple_barrier
     from tidemark.operators.panel import build_panel
-    from tidemark.operators.pivots import confirmed_pivots, zigzag_states
+    from tidemark.operators.pivots import confirmed_pivots, pivot_events
     from tidemark.operators.signals import signal_positions
     from tidemark.plans import inputs, registry
     from tidemark.session import materialize
@@ -58,8 +58,8 @@ def main() -> None:
                  "bb_lo": X.bbands()[2], "max20": X.rmax(h, 20), "min20": X.rmin(l, 20), "roc10": X.roc(c, 10), "adx": X.dmi()[2],
                  "willr": X.willr(), "mfi": X.mfi()}
     timed("indicator_battery_18", lambda: run(indicators(panel, battery18)))
-    states = timed("zigzag", lambda: materialize(zigzag_states(panel), "bench"))
-    timed("pivots_numbered", lambda: run(confirmed_pivots(states)))
+    events = timed("zigzag", lambda: pivot_events(panel)[0])
+    timed("pivots_numbered", lambda: run(confirmed_pivots(events)))
     names = registry.SAMPLE
     study = inputs.study_panel(spark, sf)
     sig = timed("signals_sample", lambda: materialize(signal_positions(study, names), "bench"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tidemark.operators.bars import number_rows
 from tidemark.operators.folds import ZIGZAG, run_folds
 from tidemark.operators.indicators import compute
 from tidemark.operators.panel import Panel
+from tidemark.session import materialize
 
 SERIES = ("symbol", "tf", "variant")
 
@@ -180,3 +183,116 @@ def pivot_stats(pivots: DataFrame, states: DataFrame) -> DataFrame:
             .join(exact_median(legs, keys, "leg", "median_leg_pct"), keys)
             .join(exact_median(legs, keys, "lag", "median_lag"), keys)
             .withColumn("bars_per_pivot", F.col("bars") / F.col("pivots")))
+
+
+# ------------------------------------------------------------------ events only
+
+_EVENT = "p_kind int, p_idx long, p_ts long, p_price double, p_thr double, bar_idx long, open_time_ms long"
+_EVENTS_SCHEMA = f"symbol string, tf string, ck long, variant string, {_EVENT}, start array<double>, end array<double>"
+_UNSET = [float("nan")] * 5
+
+
+def _pivot_kernel(batches: Iterator[pa.RecordBatch], variants: Sequence[Variant], chunk: int, period: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by chunk and bar. Out go the pivots of each chunk's own bars and, per variant, one row with the
+    state before its first own bar and after its last; bars themselves do not come back.
+
+    Where rows carry ``given`` (variant, state), the chunk starts from that state instead of what its halo says.
+    """
+    key, states, starts, own, prev, atr, total, seen = None, [], [], False, None, None, 0.0, 0
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(_EVENT_TYPES)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _EVENT_TYPES, strict=True)], names=[n for n, _ in _EVENT_TYPES])
+
+    def close() -> None:
+        for v, s, e in zip(variants, starts, states, strict=True):
+            out.append((*key, v.name, *[None] * 7, s, list(e)))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        idx, ts, hi, lo, cl = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("bar_idx", "open_time_ms", "high", "low", "close"))
+        given = b.column("given") if "given" in b.schema.names else None
+        codes = [b.column(c).dictionary_encode().indices.to_numpy() for c in ("symbol", "tf")] + [b.column("ck").to_numpy()]
+        turns = set((np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist()) | {0}
+        for k in range(b.num_rows):
+            if k in turns and (now := tuple(b.column(c)[k].as_py() for c in ("symbol", "tf", "ck"))) != key:
+                if key is not None:
+                    close()
+                key, own, prev, atr, total, seen = now, False, None, None, 0.0, 0
+                states = [list(_UNSET) for _ in variants]
+                starts = [list(_UNSET) for _ in variants]
+            if not own and idx[k] // chunk == key[2]:
+                own = True
+                if given is not None:
+                    told = {g["variant"]: g["state"] for g in given[k].as_py()}
+                    states = [list(told.get(v.name, s)) for v, s in zip(variants, states, strict=True)]
+                starts = [list(s) for s in states]
+            h, l, c = hi[k], lo[k], cl[k]
+            if prev is not None:
+                tr = max(h - l, abs(h - prev), abs(l - prev))
+                seen += 1
+                if atr is not None:
+                    atr = (atr * (period - 1) + tr) / period
+                else:
+                    total += tr
+                    if seen == period:
+                        atr = total / period
+            prev = c
+            if atr is None:
+                continue
+            for v, s in zip(variants, states, strict=True):
+                top, low = (c, c) if v.on_close else (h, l)
+                thr = max(v.k * atr, v.min_pct * c)
+                up = s[0]
+                if up != up:
+                    s[:] = [1.0, idx[k], ts[k], top, thr]
+                    continue
+                ahead, back = (top, low) if up == 1.0 else (low, top)
+                if (ahead - s[3]) * up > 0:
+                    s[1:] = [idx[k], ts[k], ahead, thr]
+                elif (s[3] - back) * up >= s[4]:
+                    if own:
+                        out.append((*key, v.name, int(up), int(s[1]), int(s[2]), s[3], s[4], idx[k], ts[k], None, None))
+                    s[:] = [-up, idx[k], ts[k], back, thr]
+        yield flush()
+    if key is not None:
+        close()
+        yield flush()
+
+
+_EVENT_TYPES = [("symbol", pa.string()), ("tf", pa.string()), ("ck", pa.int64()), ("variant", pa.string()), ("p_kind", pa.int32()), ("p_idx", pa.int64()), ("p_ts", pa.int64()),
+                ("p_price", pa.float64()), ("p_thr", pa.float64()), ("bar_idx", pa.int64()), ("open_time_ms", pa.int64()), ("start", pa.list_(pa.float64())), ("end", pa.list_(pa.float64()))]
+
+
+def pivot_events(panel: Panel, variants: Sequence[Variant] = (Variant(),), period: int = 14) -> tuple[DataFrame, DataFrame]:
+    """(pivots, open extremes): the rows of :func:`zigzag_states` that hold a pivot, and of each series the state after its last bar.
+
+    Bars stream through a small kernel in the panel's own partitioning; only pivots and a state per chunk leave it. A chunk
+    starts from what its halo leads to; where the chunk before ends otherwise, it runs again from that end, until all agree.
+    """
+    need = ["symbol", "tf", "ck", "bar_idx", "open_time_ms", "high", "low", "close"]
+    variants = tuple(variants)
+    chunk = panel.chunk
+    keys = ["symbol", "tf", "ck"]
+    ordered = lambda df: df.sortWithinPartitions(*keys, "bar_idx")
+    kernel = lambda b: _pivot_kernel(b, variants, chunk, period)
+    got = materialize(ordered(panel.df.select(*need)).mapInArrow(kernel, _EVENTS_SCHEMA), "pivot-events")
+    w = W.partitionBy("symbol", "tf", "variant").orderBy("ck")
+    agree = F.forall(F.zip_with("before", "start", lambda a, b: (F.isnan(a) & F.isnan(b)) | (a == b) | (F.abs(a - b) <= 1e-9 * F.abs(a)) & (a != F.floor(a))), lambda x: x)
+    while panel.split:
+        ends = got.filter("p_kind IS NULL").withColumn("before", F.lag("end").over(w))
+        wrong = materialize(ends.filter("before IS NOT NULL").filter(~agree).select(*keys, "variant", F.col("before").alias("state")), "pivot-redo")
+        if wrong.isEmpty():
+            break
+        given = wrong.groupBy(*keys).agg(F.collect_list(F.struct("variant", "state")).alias("given"))
+        again = ordered(panel.df.select(*need).join(given, keys).repartition(*keys)).mapInArrow(kernel, _EVENTS_SCHEMA)
+        again = again.join(wrong.select(*keys, "variant"), [*keys, "variant"], "left_semi")
+        got = materialize(got.join(wrong.select(*keys, "variant"), [*keys, "variant"], "left_anti").unionByName(again), "pivot-events")
+    pivots = got.filter("p_kind IS NOT NULL").drop("ck", "start", "end")
+    ends = got.filter("p_kind IS NULL").groupBy(*SERIES).agg(F.max_by("end", "ck").alias("e")).filter(~F.isnan(F.get("e", F.lit(0))))
+    e = lambda i: F.get("e", F.lit(i))
+    return pivots, ends.select(*SERIES, e(1).cast("long").alias("idx"), e(2).cast("long").alias("ts_ms"), e(3).alias("price"), e(0).cast("byte").alias("kind"),
+                               e(4).alias("thr_at_extreme"), (e(3) - e(0) * e(4)).alias("confirm_price"))

@@ -522,8 +522,8 @@ def _states(spark, sf):
 
 
 def _pivots(spark, sf):
-    from tidemark.operators.pivots import confirmed_pivots
-    return kept(spark, sf, "pivots", lambda: confirmed_pivots(_states(spark, sf)))
+    from tidemark.operators.pivots import confirmed_pivots, pivot_events
+    return kept(spark, sf, "pivots", lambda: confirmed_pivots(pivot_events(inputs.study_panel(spark, sf))[0]))
 
 
 def _cands(spark, sf):
@@ -550,10 +550,9 @@ def _q(spark, sf):
 
 @query("zigzag_variants", " UNION ALL ".join(_PV.format(oracle.pivots_sql(n, k=k, pct=p, on_close=c)) for n, k, p, c in (("k3", 3.0, 0.0, False), ("k2_close", 2.0, 0.005, True))))
 def _q(spark, sf):
-    from tidemark.operators.pivots import Variant, confirmed_pivots, zigzag_states
+    from tidemark.operators.pivots import Variant, confirmed_pivots, pivot_events
     from tidemark.session import materialize
-    st = zigzag_states(inputs.study_panel(spark, sf), [Variant("k3", 3.0, 0.0), Variant("k2_close", 2.0, 0.005, True)])
-    return _pv_out(confirmed_pivots(materialize(st, "zigzag")))
+    return _pv_out(confirmed_pivots(pivot_events(inputs.study_panel(spark, sf), [Variant("k3", 3.0, 0.0), Variant("k2_close", 2.0, 0.005, True)])[0]))
 
 
 @query("provisional_pivot", f"WITH {oracle.STA} SELECT symbol, tf, variant, CAST(zat AS BIGINT) AS idx, round(zpx, 6) AS price, CAST(zup AS BIGINT) AS kind, round(zpx - zup * zthr, 6) AS confirm_price FROM sta WHERE bar_idx = n_bars - 1")
