@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,19 @@ def test_chats_read_back_as_they_were(spark):
     assert op7.format_chats(frame.limit(0)).count() == 0
 
 
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    took = []
+    for n in (5_000, 50_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.concat(F.lit("# </turn> "), F.col("id").cast("string")).alias("text"))
+        begin = time.perf_counter()
+        out = op7.format_chats(rows).select(op7.read_turns(F.col("formatted")).alias("turns"), op7.read_loss(F.col("formatted"), F.col("mask")).alias("loss")).first()
+        took.append(time.perf_counter() - begin)
+        assert [(t.role, t.text) for t in out.turns] == [("user" if i % 3 == 0 else "assistant", f"# </turn> {i}") for i in range(n)]
+        assert out.loss == "".join(f"# </turn> {i}" for i in range(n) if i % 3)
+    assert took[1] < 20 * took[0], took
+
+
 def test_query_against_rows(spark):
     out = {r.conv_id: r for r in op7.op7_chat_format(spark, "/root/testdata/sf0.001").collect()}
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()

@@ -32,7 +32,7 @@ def format_chats(rows: DataFrame, learned_role: str = "assistant", conv_col: str
     Turns are sorted by number, null first, then by role and text, so that ties have one order; repeated rows are turns of their own.
     Neighbours of one role share a block: one head, then each turn with its end mark, so that the turns
     can be told apart again. ``mask`` lists the lengths of consecutive stretches of ``formatted`` in code points and whether the loss counts
-    them; it covers the text without a gap, and only texts of ``learned_role`` count. Null roles and texts are
+    them: three stretches a turn, its head (length 0 inside a block), its text and its end mark; it covers the text without a gap, and only texts of ``learned_role`` count. Null roles and texts are
     empty strings; rows of null conversation form one conversation; other columns are not read.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -47,27 +47,34 @@ def format_chats(rows: DataFrame, learned_role: str = "assistant", conv_col: str
                          F.flatten(F.transform("pieces", lambda p: F.array(run(p["head"], F.lit(False)), run(p["body"], p["loss"]), run(F.lit(END), F.lit(False))))).alias("mask"))
 
 
+def _without_last(parts: Column) -> Column:
+    """Pieces that an end mark closed: what follows the last mark is empty."""
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+
 def read_turns(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation, in order; a block's further turns have the role of its head."""
-    parts = F.split(formatted, END, -1)
-    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    headed = lambda p: p.startswith(HEAD)
-    role = lambda p: F.substring_index(F.substr(p, F.lit(len(HEAD) + 1)), COLON, 1)
-    last = F.struct(F.lit("").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
+    """The turns (role, text) of a formatted conversation, in order.
 
-    def step(s: Column, p: Column) -> Column:
-        now = F.when(headed(p), role(p)).otherwise(s["role"])
-        body = F.when(headed(p), F.substr(p, F.lit(len(HEAD) + len(COLON) + 1) + F.length(now))).otherwise(p)
-        return F.struct(now.alias("role"), F.concat(s["turns"], F.array(F.struct(unescape(now).alias("role"), unescape(body).alias("text")))).alias("turns"))
-    return F.aggregate(parts, last, step, lambda s: s["turns"])
+    Escaped texts hold no head, so the text splits at the heads into blocks, and each block at the end marks into its turns.
+    """
+    def block(b: Column) -> Column:
+        role = F.substring_index(b, COLON, 1)
+        turns = F.split(F.substr(b, F.length(role) + len(COLON) + 1), END, -1)
+        return F.transform(_without_last(turns), lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
+    blocks = F.split(formatted, HEAD, -1)
+    return F.flatten(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), block))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, with nothing between."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("text"))
-    step = lambda s, r: F.struct((s["at"] + r["length"]).alias("at"), F.concat(s["text"], F.when(
-        r["loss"], F.substr(formatted, s["at"].cast("int"), r["length"].cast("int"))).otherwise("")).alias("text"))
-    return unescape(F.aggregate(mask, start, step, lambda s: s["text"]))
+    """All text under the mask, unescaped, with nothing between.
+
+    The mask has three stretches a turn: head, text, end mark. Each stretch is cut from the piece of its own turn, so the work is in
+    proportion to the length.
+    """
+    turns = _without_last(F.split(formatted, END, -1))
+    said = F.transform(turns, lambda t, i: F.when(F.get(mask, 3 * i + 1)["loss"], F.substr(
+        t, (F.get(mask, 3 * i)["length"] + 1).cast("int"), F.get(mask, 3 * i + 1)["length"].cast("int"))))
+    return unescape(F.array_join(F.array_compact(said), ""))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
