@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,13 @@ def test_hits_are_brute_force(spark):
     assert kept.columns == left.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
     assert op4.contamination(left.limit(0), right).count() == 0
     assert op4.contamination(left, right.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_a_very_long_text_with_a_frequent_short_item(spark):
+    n = 200_000
+    docs = spark.createDataFrame([(1, "w x " * (n // 2)), (2, " ".join(f"v{i}" for i in range(n))), (3, "y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x"), (2, "x w x"), (3, " ".join(f"v{i}" for i in range(500, 520)))], "item_id long, text string")
+    begin = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in op4.contamination(docs, items).collect()}
+    assert got == {1: (n, n - 1, ["1", "2"], True), 2: (n, 20, ["3"], False), 3: (1, 0, [], False)}
+    assert time.perf_counter() - begin < 120

@@ -70,9 +70,11 @@ def occurrences(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int =
         found = found.unionByName(placed.select("id", "th", (F.col("pos") - F.col("at")).alias("i"), (F.col("pos") - F.col("at") + 1).alias("end"), "length").filter("i >= 0"))
     wanted = C.stored(found.groupBy("id", "th").agg(F.collect_set(F.struct("i", "end", "length")).alias("found")), "op4-found")
     texts = keyed.join(wanted, ["id", "th"]).select("id", "th", "found", words(F.col("text")).alias("words"))
+    # a place and a length in one whole number: structs would be compared each with each
     spread = F.array_distinct(F.flatten(F.transform("found", lambda f: F.transform(
-        F.sequence(f["i"], f["end"] - 1), lambda s: F.struct(s.alias("s"), f["length"].alias("length"))))))
-    texts = texts.withColumn("places", F.filter(spread, lambda p: p["s"] + p["length"] <= F.size("words")))
+        F.sequence(f["i"], f["end"] - 1), lambda s: s.cast("long") * (span + 1) + f["length"]))))
+    texts = texts.withColumn("places", F.filter(F.transform(spread, lambda p: F.struct(
+        F.floor(p / (span + 1)).cast("int").alias("s"), F.pmod(p, F.lit(span + 1)).cast("int").alias("length"))), lambda p: p["s"] + p["length"] <= F.size("words")))
     grams = texts.select("id", "th", F.explode_outer(F.transform("places", lambda p: F.struct(
         p["s"].alias("s"), p["length"].alias("length"), gram_at("words", p["s"], p["length"], span).alias("window")))).alias("p")).select("id", "th", "p.*")
     hits = C.stored(grams.join(windows.select("item", "window"), "window").select("id", "th", "s", "length", "item").distinct(), "op4-hits")
