@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import op8_embedding_dedup as op8
 
@@ -52,3 +54,25 @@ def test_links_are_brute_force(spark):
     f32 = [(d, [None if x is None else float(np.float32(x)) for x in v] if v is not None else None, x) for d, v, x in rows]
     assert sorted((tuple(r) for r in op8.near_vectors(docs).collect()), key=str) == brute(f32)
     assert op8.near_vectors(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.9, 0.98])
+def test_isolated_pairs_are_found_at_every_dimension(spark, least):
+    """Pairs just above the threshold, each under a label of its own, so nothing but its own cells can bring a pair together."""
+    rng, rows, label = np.random.default_rng(12), [], 0
+    dims, pairs = (5, 8, 12, 16, 32, 64, 768), 1500
+    for dim in dims:
+        n = pairs if dim < 768 else 400
+        x, y = rng.normal(size=(2, n, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y -= (x * y).sum(axis=1)[:, None] * x
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        c = least + 1e-6
+        z = c * x + np.sqrt(1 - c * c) * y
+        for k in range(n):
+            rows += [(len(rows), x[k].tolist(), label), (len(rows) + 1, z[k].tolist(), label)]
+            label += 1
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = op8.near_vectors(docs, least).join(docs.select("vec_id", F.size("embedding").alias("dim")), "vec_id")
+    share = {r.dim: r.share for r in got.groupBy("dim").agg(F.avg((F.col("n_links") == 1).cast("int")).alias("share")).collect()}
+    assert set(share) == set(dims) and min(share.values()) >= 0.999, share
