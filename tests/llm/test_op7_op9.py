@@ -1,6 +1,9 @@
 import hashlib
+import itertools
+import math
 import time
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import op7_chat_format as op7
@@ -81,7 +84,37 @@ def test_edges_of_the_sample(spark):
     assert op9.keep_good(docs, labels).columns == docs.columns
     assert op9.resample(docs.limit(0), labels).count() == 0 and op9.resample(docs, labels.limit(0)).filter("kept").count() == 5
     kept = op9.resample(docs.filter("doc_id <> 2"), labels, k=1)
-    assert kept.filter("kept").count() == 1 and kept.orderBy(F.desc("q")).first().kept
+    assert kept.filter("sampled").count() == 1 and kept.orderBy(F.desc("q")).first().sampled
+    assert op9.resample(docs.filter("doc_id <> 2"), labels, rate=0.5).filter("sampled").count() == 1
+
+
+def test_shares_of_the_sample_are_the_exact_law(spark):
+    """Over many seeds every item is drawn as often as successive draws in proportion to the weights say."""
+    weights, k, seeds = [2.0, 1.0, 0.5, 0.0, -1.0, -2.5], 3, 20_000
+    law = [0.0] * len(weights)
+    for order in itertools.permutations(range(len(weights)), k):
+        p, left = 1.0, sum(math.exp(w) for w in weights)
+        for i in order:
+            p *= math.exp(weights[i]) / left
+            left -= math.exp(weights[i])
+        for i in order:
+            law[i] += p
+    rows = spark.createDataFrame(list(enumerate(weights)), "id long, log_weight double").crossJoin(spark.range(seeds).select(F.col("id").alias("seed")))
+    rows = rows.withColumn("q", op9._key(F.col("log_weight"), F.col("seed"), F.lit(7)))
+    got = rows.withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("q")))).groupBy("id").agg(F.avg((F.col("r") <= k).cast("int")).alias("share")).collect()
+    for r in got:
+        assert abs(r.share - law[r.id]) < 4.5 * math.sqrt(law[r.id] * (1 - law[r.id]) / seeds), (r, law)
+    one = op9.gumbel_top_k(spark.createDataFrame([(i, 0, w) for i, w in enumerate(weights)], "id long, th long, log_weight double"), k)
+    assert one.filter("sampled").count() == k and op9.gumbel_top_k(one.drop("q", "sampled"), 0).filter("sampled").count() == 0
+
+
+def test_chance_has_its_part_in_the_sample(spark):
+    """Another seed draws other documents, some of them documents the filter rejects; the filter itself does not move."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (op9.resample(docs, labels, seed=x).select("id", "kept", "sampled") for x in (18, 19))
+    j = a.join(b.select("id", F.col("kept").alias("k2"), F.col("sampled").alias("s2")), "id")
+    r = j.agg(F.count_if(F.expr("kept <> k2")).alias("moved"), F.count_if(F.expr("sampled <> s2")).alias("redrawn"), F.count_if(F.expr("kept <> sampled")).alias("apart"), F.count_if(F.expr("sampled")).alias("n"), F.count_if(F.expr("kept")).alias("k")).first()
+    assert r.moved == 0 and r.redrawn > 0 and r.apart > 0 and r.n == r.k
 
 
 def test_kth_is_exact(spark):

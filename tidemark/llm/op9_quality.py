@@ -1,4 +1,8 @@
-"""Quality classifier by importance resampling: hashed n-gram models of good and of all text, Gumbel top-k."""
+"""Quality classifier by importance resampling: hashed n-gram models of good and of all text, Gumbel top-k.
+
+Two decisions come from the same weights: ``sampled``, an importance sample in which chance has the part the weights leave it, and
+``kept``, a filter with a cut set on held-out labels.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +21,6 @@ LABELLED = 50_000
 #: Buckets of the hashed n-grams: words and pairs of words; shapes of up to three tokens.
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 14
 BUCKETS = 2 * WORD_BUCKETS + SHAPE_BUCKETS
-#: Log weights are the mean log ratio of a document's n-grams times this.
-SHARPNESS = 100.0
 SEED = 17
 #: Buckets of words and pairs of words for toxicity, so many that a long clean text hardly meets a toxic one's; a bucket's share of toxic
 #: labelled documents starts from so many documents of the usual share.
@@ -138,19 +140,20 @@ def _scores(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: np.nd
     toxic = np.zeros(TOXIC_BUCKETS)
     toxic[buckets] = told
     for batch in batches:
-        weight, worst = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        weight, worst, grams = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for row, end, data, offsets in C.slices(batch):
             if not len(data):
                 continue
             found = tokens(data, offsets)
             text, bucket = features(data, offsets, found)
-            n = np.bincount(text, minlength=end - row)
-            weight[row:end] = SHARPNESS * np.bincount(text, weights=ratio[bucket], minlength=end - row) / np.maximum(n, 1)
+            grams[row:end] = np.bincount(text, minlength=end - row)
+            weight[row:end] = np.bincount(text, weights=ratio[bucket], minlength=end - row)
             text, bucket = toxic_buckets(*found[4:])
             value = toxic[bucket]
             hit = value > 0
             np.maximum.at(worst, row + text[hit], value[hit])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(weight), pa.array(worst)], names=["id", "th", "log_weight", "toxicity"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(weight), pa.array(weight / np.maximum(grams, 1)), pa.array(worst)],
+                                         names=["id", "th", "log_weight", "mean_ratio", "toxicity"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
@@ -205,19 +208,30 @@ def _kth(keys: DataFrame, k: int) -> int:
     return prefix
 
 
-def _key(weight: Column) -> Column:
-    """Weight plus Gumbel noise from the id's hash, as a whole number of 2**-32 above -2**15."""
-    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED + 1)), 11) + 0.5) / F.lit(2.0**53)
-    return F.floor((F.greatest(F.least(weight - F.log(-F.log(u)), F.lit(2.0**15)), F.lit(-(2.0**15))) + 2.0**15) * 2.0**32).cast("long")
+def _key(weight: Column, seed: Column | int = SEED + 1, tie: Column | None = None) -> Column:
+    """Weight plus Gumbel noise from the id's hash, as a whole number of 2**-32 above -2**20; ``tie`` tells rows of one id apart."""
+    at = F.lit(seed) if isinstance(seed, int) else seed
+    u = (F.shiftrightunsigned(F.xxhash64("id", at) if tie is None else F.xxhash64("id", tie, at), 11) + 0.5) / F.lit(2.0**53)
+    return F.floor((F.greatest(F.least(weight - F.log(-F.log(u)), F.lit(2.0**20)), F.lit(-(2.0**20))) + 2.0**20) * 2.0**32).cast("long")
+
 
+def gumbel_top_k(scored: DataFrame, k: int, seed: int = SEED + 1) -> DataFrame:
+    """``scored`` (id, th, log_weight, ...) with ``q`` and ``sampled``: k rows drawn without replacement, each next one with a chance in proportion to
+    exp(log_weight) among those left. Wholly repeated rows draw the same number and are drawn together, and rows that tie with the last one are drawn too."""
+    scored = scored.withColumn("q", _key(F.col("log_weight"), seed, F.col("th")))
+    if k <= 0:
+        return scored.withColumn("sampled", F.lit(False))
+    return scored.withColumn("sampled", F.col("q") >= (_kth(scored, k) if k < scored.count() else 0))
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, k: int | None = None) -> DataFrame:
-    """(id, th, log_weight, toxicity, toxic, q, kept) for every row of ``docs``; ``th`` is the text's hash.
 
-    ``labels`` has the id column, ``quality``, 1 for good, and, if known, ``toxic``, 1 for toxic. ``kept`` is about quality alone. A
-    document's log weight is the mean log ratio of its n-grams under the two models, sharpened; with Gumbel noise added, the ``k`` largest are an importance sample without
-    replacement. Without ``k`` it is the number of documents above the cut that separates the held-out labels best, so
-    the sample is as large as the set of good documents. Rows that tie with the last one chosen are chosen too.
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, k: int | None = None, rate: float | None = None,
+             seed: int = SEED + 1) -> DataFrame:
+    """(id, th, log_weight, mean_ratio, toxicity, toxic, kept, q, sampled) for every row of ``docs``; ``th`` is the text's hash.
+
+    ``labels`` has the id column, ``quality``, 1 for good, and, if known, ``toxic``, 1 for toxic. A document's log weight is the sum of the log ratios of its
+    n-grams under the two models, its importance; ``sampled`` are the ``k`` documents (or ``rate`` of all) with the largest log weight plus Gumbel noise, which is an
+    importance sample without replacement. ``mean_ratio`` is the weight per n-gram, and ``kept`` that it reaches the cut that separates the held-out labels
+    best: a filter, in which chance has no part. Without ``k`` and ``rate`` the sample is as large as what is kept.
 
     ``toxicity`` is the largest log ratio, toxic against all labelled documents, of a text's words and pairs of words, ``toxic`` that it reaches
     the cut that separates the held-out labels best; without both kinds of labels in either half nothing is toxic.
@@ -230,25 +244,24 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).alias("good"), toxic.alias("toxic"))
     ratio, sample = fit(rows, marks.filter("good IS NOT NULL OR toxic IS NOT NULL"), labelled)
     buckets, told = fit_toxic(rows, sample.filter("half AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")))
-    scored = C.stored(rows.withColumn("th", F.xxhash64("text")).mapInArrow(lambda b: _scores(b, ratio, buckets, told), "id long, th long, log_weight double, toxicity double"), "op9-scores")
+    scored = C.stored(rows.withColumn("th", F.xxhash64("text")).mapInArrow(lambda b: _scores(b, ratio, buckets, told), "id long, th long, log_weight double, mean_ratio double, toxicity double"), "op9-scores")
     held = sample.filter("NOT half").select("id", "good", F.col("toxic").alias("is_toxic"))
-    marked = C.stored(scored.join(F.broadcast(held), "id").select("log_weight", "good", "toxicity", "is_toxic").limit(4 * labelled), "op9-held").toArrow()     # of the bounded labels
+    # one row per label of the bounded sample: several texts of an id count with their mean
+    seen = scored.join(F.broadcast(held.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.avg("mean_ratio").alias("mean_ratio"), F.avg("toxicity").alias("toxicity"))
+    marked = C.stored(held.join(seen, "id").select("mean_ratio", "good", "toxicity", "is_toxic"), "op9-held").toArrow()
     pairs = marked.filter(pc.is_valid(marked["is_toxic"]))
     worst, is_toxic = pairs["toxicity"].to_numpy(), pairs["is_toxic"].to_numpy().astype(bool)
     least = _best_cut(worst, is_toxic) if len(buckets) and is_toxic.any() and not is_toxic.all() else np.inf
-    scored = scored.withColumn("toxic", (F.col("toxicity") >= F.lit(float(least))) & (F.col("toxicity") > 0)).withColumn("q", _key(F.col("log_weight")))
+    pairs = marked.filter(pc.is_valid(marked["good"]))
+    cut = _best_cut(pairs["mean_ratio"].to_numpy(), pairs["good"].to_numpy().astype(bool))
+    scored = scored.withColumn("toxic", (F.col("toxicity") >= F.lit(float(least))) & (F.col("toxicity") > 0)).withColumn("kept", F.col("mean_ratio") >= F.lit(float(cut)))
     if k is None:
-        pairs = marked.filter(pc.is_valid(marked["good"]))
-        cut = _best_cut(pairs["log_weight"].to_numpy(), pairs["good"].to_numpy().astype(bool))
-        k = scored.filter(F.col("log_weight") >= cut).count()
-    if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
-    total = scored.count()
-    return scored.withColumn("kept", F.col("q") >= (_kth(scored, k) if k < total else 0))
+        k = round(rate * scored.count()) if rate is not None else scored.filter("kept").count()
+    return gumbel_top_k(scored, k, seed)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the sample holds and that are toxic neither by their label nor by their words, as they came.
+    """The rows of ``docs`` that the filter keeps and that are toxic neither by their label nor by their words, as they came.
 
     Of several texts of one id each stays or goes by itself; a label is one of all texts of its id, and a null id's says nothing of a row.
     """
@@ -264,4 +277,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
-    return out.select(C.unkeyed().alias("doc_id"), "log_weight", "kept", "toxicity", "toxic")
+    return out.select(C.unkeyed().alias("doc_id"), "log_weight", "mean_ratio", "kept", "sampled", "toxicity", "toxic")
