@@ -48,3 +48,19 @@ def test_one_text_of_an_id_takes_no_other_along(spark):
     scored = op9.resample(more, labels)
     left = op9.keep_good(more, labels).filter("doc_id IS NULL").count()
     assert left == scored.filter(f"id = {-(2**63)} AND kept AND NOT toxic").count() > 100
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that look like an operator's own, with rows of every kind."""
+    from tidemark.llm.op4_decontamination import decontaminate
+    from tidemark.llm.op6_pii import sanitize
+    from tidemark.llm.op9_quality import keep_good
+    names = ["_bad", "_th", "_told", "_id", "_clean", "_gone", "id", "th", "kept", "toxic", "words", "n_words"]
+    rows = [(1, "write to a@b.org now", *names), (None, None, *names), (2, "", *names), (2, "", *names), (3, "one two three", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    for out, n in ((decontaminate(docs, items), 4), (sanitize(docs), 5), (keep_good(docs, labels), 4)):
+        assert out.columns == docs.columns and out.count() == n
+        assert out.select(*names).distinct().count() == 1
+    assert {r.text for r in sanitize(docs).filter("doc_id = 1").collect()} == {"write to [EMAIL] now"}

@@ -56,6 +56,18 @@ def unkeyed(name: str = "id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def fresh(*labels: str) -> list[str]:
+    """Column names that no input table has, for joins with whole input rows."""
+    mark = uuid.uuid4().hex
+    return [f"_{x}_{mark}" for x in labels]
+
+
+def same_text(docs: DataFrame, id_col: str, text_col: str, id_name: str, th_name: str) -> Column:
+    """A row of ``docs`` is the text known by (id, hash)."""
+    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == F.col(id_name)) & (th == F.col(th_name))
+
+
 def numbered(rows: DataFrame, label: str) -> DataFrame:
     """``rows`` (id, text) as (id, text, doc): ``doc`` is the id, ``id`` one number for each different pair of id and text.
 

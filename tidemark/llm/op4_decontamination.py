@@ -103,9 +103,9 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they came."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).filter("contaminated").select(F.col("id").alias("_bad"), F.col("th").alias("_th")).distinct()
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_bad")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_th"))
-    return docs.join(C.stored(bad, "op4-bad"), same, "left_anti")
+    i, th = C.fresh("id", "th")
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).filter("contaminated").select(F.col("id").alias(i), F.col("th").alias(th)).distinct()
+    return docs.join(C.stored(bad, "op4-bad"), C.same_text(docs, id_col, text_col, i, th), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

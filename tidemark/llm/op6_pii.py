@@ -103,11 +103,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every covered stretch of the text generalised to its kind, such as ``[EMAIL]``; the other columns as they came."""
     rows, spans = pii_spans(docs, id_col, text_col, **options)
+    i, th, new = C.fresh("id", "th", "clean")
     clean = C.stored(S.redacted(rows.dropDuplicates(["id", "th"]), spans, lambda kind, _: F.concat(F.lit("["), F.upper(kind), F.lit("]"))), "op6-clean").select(
-        F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("clean").alias("_clean"))
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_th"))
-    out = docs.join(clean, same, "left")
-    return out.select(*(F.coalesce("_clean", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+        F.col("id").alias(i), F.col("th").alias(th), F.col("clean").alias(new))
+    out = docs.join(clean, C.same_text(docs, id_col, text_col, i, th), "left")
+    return out.select(*(F.coalesce(F.col(new), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,14 +265,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Of several texts of one id each stays or goes by itself; a label is one of all texts of its id, and a null id's says nothing of a row.
     """
-    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias("_bad"), "th").distinct()
-    bad = C.stored(bad.withColumnRenamed("th", "_th"), "op9-bad")
-    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    left = docs.join(bad, (F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)) == F.col("_bad")) & (th == F.col("_th")), "left_anti")
+    i, th, told_id = C.fresh("id", "th", "told")
+    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias(i), F.col("th").alias(th)).distinct()
+    left = docs.join(C.stored(bad, "op9-bad"), C.same_text(docs, id_col, text_col, i, th), "left_anti")
     if "toxic" not in labels.columns:
         return left
-    told = labels.filter("toxic = 1").select(F.col(id_col).cast("long").alias("_told"))
-    return left.join(told, left[id_col].cast("long") == F.col("_told"), "left_anti")
+    told = labels.filter("toxic = 1").select(F.col(id_col).cast("long").alias(told_id))
+    return left.join(told, left[id_col].cast("long") == F.col(told_id), "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
