@@ -27,10 +27,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id; repeated rows of it are one, different texts of one id are different documents."""
     rows = C.numbered(C.keyed(docs), "pipeline-near")
     gone = near_duplicates(rows.select("id", "text"), id_col="id").filter("NOT kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("id"))
-    gone = rows.select("id", F.col("doc").alias("_gone"), F.xxhash64("text").alias("_th")).join(gone, "id", "left_semi")
-    gone = C.stored(gone.select("_gone", "_th").distinct(), "pipeline-gone")
-    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    kept = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NULL_ID)) == F.col("_gone")) & (th == F.col("_th")), "left_anti")
+    i, th = C.fresh("id", "th")
+    gone = rows.select("id", F.col("doc").alias(i), F.xxhash64("text").alias(th)).join(gone, "id", "left_semi")
+    gone = C.stored(gone.select(i, th).distinct(), "pipeline-gone")
+    kept = docs.join(gone, C.same_text(docs, "doc_id", "text", i, th), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if docs.count() != docs.select("doc_id").distinct().count() else kept
 
 
