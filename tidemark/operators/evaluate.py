@@ -98,11 +98,13 @@ def _compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*key, total)], columns=["_k%d" % i for i in range(len(key))] + ["n"])
 
 
-def effective_n(active: DataFrame, keys: list[str], span: str, *, chunk: int = CHUNK) -> DataFrame:
+def effective_n(active: DataFrame, keys: list[str], span: str, *, chunk: int = CHUNK, halo: int | None = None,
+                split: bool | None = None) -> DataFrame:
     """Greedy count per group of rows at least ``span`` ms after the last counted one; ``span`` is one number per group.
 
     Each chunk is summed up as a map from the row where the count enters to (rows counted, last row counted); maps are composed
-    per group. Two rounds whatever the number of chunks; what is composed is as long as a span has rows, per chunk.
+    per group. Two rounds whatever the number of chunks; what is composed is as long as a span has rows, per chunk. Maps need no
+    halo and short series no plan of their own, so ``halo`` and ``split`` of earlier callers change nothing.
     """
     a = active.select(*keys, F.floor(F.col("bar_idx") / chunk).alias("_ck"), "open_time_ms", F.ceil(span).cast("long").alias("_span"))
     types = [(k, a.schema[k].dataType.simpleString()) for k in keys]
