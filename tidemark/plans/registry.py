@@ -156,10 +156,10 @@ def _q(spark, sf):
 
 
 @query("bar_coverage", f"""SELECT symbol, tf, open_time_ms, round(n_source_bars / (tf_ms / 60000.0), 6) AS coverage
-  FROM ({' UNION ALL '.join(oracle.raw_bars(oracle.EVENT_TICKS, t) for t in ('15m', '1h'))})""")
+  FROM ({oracle.STUDY})""")
 def _q(spark, sf):
     from tidemark.operators.bars import bar_coverage
-    b = inputs.study_bars(spark, sf).filter("symbol = 'ALL'")
+    b = inputs.study_bars(spark, sf)
     return b.select("symbol", "tf", "open_time_ms", rd(bar_coverage(F.col("n_source_bars")), 6).alias("coverage"))
 
 
@@ -178,14 +178,14 @@ def _q(spark, sf):
 
 # A copy of the bars with rows broken by a rule, so that the checks have something to find.
 _BROKEN = f"""SELECT symbol, tf, open_time_ms + CASE WHEN trades % 7 = 0 THEN 1 ELSE 0 END AS open_time_ms, open,
-  CASE WHEN trades % 5 = 0 THEN low ELSE high END AS high, low, close, tf_ms FROM ({oracle.raw_bars(oracle.LINEITEM_TICKS, '1d')})"""
+  CASE WHEN trades % 5 = 0 THEN low ELSE high END AS high, low, close, tf_ms FROM ({oracle.STUDY})"""
 
 
 @query("validate_bars", f"""SELECT symbol, tf, open_time_ms, CASE WHEN open_time_ms % tf_ms <> 0 THEN 'off_grid'
   WHEN high < greatest(open, close, low) THEN 'high_not_max' WHEN low > least(open, close, high) THEN 'low_not_min' END AS violation FROM ({_BROKEN})""")
 def _q(spark, sf):
     from tidemark.operators.bars import validate_bars
-    b = inputs.study_bars(spark, sf).filter("tf = '1d'")
+    b = inputs.study_bars(spark, sf)
     b = (b.withColumn("open_time_ms", F.col("open_time_ms") + F.when(F.col("trades") % 7 == 0, 1).otherwise(0))
          .withColumn("high", F.when(F.col("trades") % 5 == 0, F.col("low")).otherwise(F.col("high"))))
     return validate_bars(b).select("symbol", "tf", "open_time_ms", "violation")
@@ -298,21 +298,23 @@ def _q(spark, sf):
 
 
 def _kline_folder(spark, sf) -> str:
-    """Minutes of all events written as headerless monthly CSVs, one of them twice and out of order."""
-    from tidemark.session import checkpoint_root
-    import uuid
-    root = f"{checkpoint_root(spark)}/tidemark/klines-{uuid.uuid4().hex}"
-    m = inputs.event_minutes(spark, sf)
-    t = F.col("open_time_ms")
-    rows = m.select("symbol", (t * 1000).alias("a"), *OHLCV, (t * 1000 + 59_999_999).alias("b"), "quote_volume", "trades",
-                    F.lit(0.0).alias("tb"), F.lit(0.0).alias("tq"), F.lit(0).alias("i"))
-    for name in ("click", "error", "purchase", "signup", "view"):
-        part = rows.filter(F.col("symbol") == name).drop("symbol")
-        part.unionByName(part).write.csv(f"{root}/{name}-1m-2024-01")
+    """Minutes of all events as headerless CSVs, one archive per event type and month, every row twice and out of order, each 17th
+    minute seven seconds off the grid; beside each an archive that is half a minute off, one of mixed units and one of the wrong month."""
+    from tidemark.functions.clock import month_key
+    root = _root(spark, "klines")
+    t, k = F.col("open_time_ms"), F.floor(F.col("open_time_ms") / 60_000)
+    m = inputs.event_minutes(spark, sf).withColumn("month", month_key(t))
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(c).alias("copy")) for n, c in (("", 0), ("", 1), ("_off", 0), ("_mixed", 0), ("_month", 0))]))
+    m = m.withColumn("v", kinds).select("*", "v.*")
+    us = t * 1000 + F.when(F.col("kind") == "_off", 31_000_000).when((F.col("kind") == "") & (k % 17 == 0), 7_000_000).otherwise(0)
+    epoch = F.when((F.col("kind") == "_mixed") & (k % 2 == 1), t).otherwise(us)
+    archive = F.concat("symbol", "kind", F.lit("-1m-"), F.when(F.col("kind") == "_month", F.lit("1999-01")).otherwise(F.col("month")))
+    rows = m.select(epoch.alias("a"), *OHLCV, (us + 59_999_999).alias("b"), "quote_volume", "trades", F.lit(0.0).alias("tb"), F.lit(0.0).alias("tq"), F.lit(0).alias("i"), archive.alias("archive"))
+    rows.repartition("archive").write.partitionBy("archive").csv(root)
     return root
 
 
-@query("klines_csv_to_bars", _bars_sql(oracle.EVENT_TYPE_TICKS.replace("FROM events", "FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view')"), ["1h"]))
+@query("klines_csv_to_bars", _bars_sql(oracle.EVENT_TYPE_TICKS, ["1h"]))
 def _q(spark, sf):
     from tidemark.operators.bars import resample_bars
     from tidemark.sources.klines import load_klines
@@ -320,12 +322,15 @@ def _q(spark, sf):
     return _bars_out(resample_bars(bars, ["1h"]))
 
 
-@query("klines_file_report", """SELECT event_type AS symbol, '1m' AS tf, '2024-01' AS month, 2 * count(DISTINCT (epoch_us(ts) // 1000) // 60000) AS rows, 2 * count(DISTINCT (epoch_us(ts) // 1000) // 60000) AS rows_us,
-  count(DISTINCT (epoch_us(ts) // 1000) // 60000) AS duplicates FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1""")
+@query("klines_file_report", """WITH m AS (SELECT DISTINCT event_type AS s, (epoch_us(ts) // 60000000) AS k, strftime(ts, '%Y-%m') AS mo FROM events)
+  SELECT s AS symbol, '1m' AS tf, mo AS month, 2 * count(*) AS rows, 2 * count(*) AS rows_us, 2 * count(*) FILTER (k % 17 = 0) AS realigned, CAST(max(CASE WHEN k % 17 = 0 THEN 7000 ELSE 0 END) AS BIGINT) AS max_offset_ms,
+    0 AS outside_month, count(*) AS duplicates, CAST(NULL AS VARCHAR) AS rejected FROM m GROUP BY 1, 3
+  UNION ALL SELECT s || '_off', '1m', mo, count(*), count(*), count(*), 31000, 0, 0, 'off_grid' FROM m GROUP BY s, mo
+  UNION ALL SELECT s || '_mixed', '1m', mo, count(*), count(*) FILTER (k % 2 = 0), 0, 0, 0, 0, CASE WHEN count(*) FILTER (k % 2 = 0) BETWEEN 1 AND count(*) - 1 THEN 'mixed_units' END FROM m GROUP BY s, mo
+  UNION ALL SELECT s || '_month', '1m', '1999-01', count(*), count(*), 0, 0, count(*), 0, 'outside_month' FROM m GROUP BY s""")
 def _q(spark, sf):
     from tidemark.sources.klines import file_report, read_klines
-    raw = read_klines(spark, f"{_kline_folder(spark, sf)}/*").withColumn("file", F.col("symbol"))
-    return file_report(raw).select("symbol", "tf", "month", "rows", "rows_us", "duplicates")
+    return file_report(read_klines(spark, f"{_kline_folder(spark, sf)}/*")).select("symbol", "tf", "month", "rows", "rows_us", "realigned", "max_offset_ms", "outside_month", "duplicates", "rejected")
 
 
 def _store(spark, sf):
