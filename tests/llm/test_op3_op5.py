@@ -101,3 +101,79 @@ def test_empty_tables_and_repeated_rows(spark):
     copies = spark.createDataFrame([(1, text), (2, text + " tail")], "doc_id long, text string")
     assert {r.doc_id: (len(r.spans), r.kept) for r in op5.substring_dedup(copies).collect()} == {1: (1, ""), 2: (1, "tail")}
     assert {r.doc_id: bytes(r.kept) for r in op3.suffix_dedup(copies).collect()} == {1: text.encode(), 2: b" tail"}
+
+
+def brute_paths(edges):
+    """Each edge's maximal nonbranching path: (the edges in order, whether it is a cycle)."""
+    leaves, enters = defaultdict(list), defaultdict(list)
+    for e, (t, h) in edges.items():
+        leaves[t].append(e)
+        enters[h].append(e)
+    after = {enters[v][0]: leaves[v][0] for v in edges_nodes(edges) if len(enters[v]) == len(leaves[v]) == 1}
+    before = {b: a for a, b in after.items()}
+    out = {}
+    for e in edges:
+        start, cycle = e, False
+        while start in before:
+            start = before[start]
+            if start == e:
+                cycle = True
+                break
+        path = [start]
+        while path[-1] in after and after[path[-1]] != start:
+            path.append(after[path[-1]])
+        out[e] = (path, cycle)
+    return out
+
+
+def edges_nodes(edges):
+    return {v for pair in edges.values() for v in pair}
+
+
+def test_unitigs_are_the_nonbranching_paths(spark):
+    rng = random.Random(11)
+    edges, node, edge = {}, 0, 100
+    for size in (1, 2, 3, 17, 40):                                            # cycles
+        for i in range(size):
+            edges[edge] = (node + i, node + (i + 1) % size)
+            edge += 1
+        node += size
+    for size in (1, 5, 33, 64):                                               # paths
+        for i in range(size):
+            edges[edge] = (node + i, node + i + 1)
+            edge += 1
+        node += size + 1
+    for _ in range(60):                                                       # branches
+        edges[edge] = (node + rng.randrange(50), node + rng.randrange(50))
+        edge += 1
+    names = list(edges)
+    rng.shuffle(names)                                                        # only some neighbours follow each other in a text
+    rows = [(e, *edges[e], 1 + i // 7, i % 7) for i, e in enumerate(sorted(names[:100]) + names[100:])]
+    df = spark.createDataFrame(rows, "edge long, tail long, head long, id long, p int").repartition(4)
+    got = {r.edge: (r.unitig, r.at) for r in op5.compact(df, "test").collect()}
+    assert set(got) == set(edges)
+    for e, (path, cycle) in brute_paths(edges).items():
+        assert len({got[x][0] for x in path}) == 1, path
+        at = [got[x][1] for x in path]
+        if cycle:                                                             # cut somewhere
+            k = at.index(0)
+            at = at[k:] + at[:k]
+        assert at == list(range(len(path)))
+    assert len({u for u, _ in got.values()}) == len({tuple(sorted(p)) for p, _ in brute_paths(edges).values()})
+
+
+def test_pieces_with_other_words_are_not_cut(spark):
+    import pyarrow as pa
+    text = " ".join(f"w{i}" for i in range(20))
+    spans = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("doc", pa.int64()), ("spans", spans)])
+    piece = pa.list_(pa.struct([("p", pa.int32()), ("k", pa.int64()), ("proof", pa.int64())]))
+
+    def cut(proof):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([1]), pa.array([[{"p": 3, "k": 2, "proof": proof}]], piece)],
+                                           names=["id", "text", "doc", "pieces"])
+        return next(op5.verified(iter([batch]), 5, schema)).column("spans").to_pylist()[0]
+    data = op5.np.frombuffer(text.encode(), op5.np.uint8)
+    every = op5.second_fingerprint(data, op5.np.array([0, len(data)]))[0].every(5)
+    right = int((every[3] ^ every[4]).view(op5.np.int64))
+    assert cut(right) == [{"s": 3, "e": 9}] and cut(right ^ 1) == []
