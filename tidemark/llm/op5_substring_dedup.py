@@ -27,7 +27,7 @@ from tidemark.llm import windows as W
 
 _CUT = "doc_id long, n_words long, spans array<struct<s:long,e:long>>, kept string"
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_EDGES = pa.schema([("edge", pa.int64()), ("tail", pa.int64()), ("head", pa.int64()), ("proof", pa.int64()), ("id", pa.int64()),
+_EDGES = pa.schema([("tail", pa.int64()), ("head", pa.int64()), ("proof", pa.int64()), ("id", pa.int64()),
                     ("p", pa.int32()), ("content", pa.int64()), ("o", pa.int32()), ("copied", pa.bool_())])
 #: Runs of one class that a join brings to one task.
 PER_TASK = 20_000
@@ -40,7 +40,7 @@ def second_fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[C.Running
 
 
 def edges_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Every edge of the runs listed beside each text: its hash, its nodes, its second fingerprint, its place and that in its run."""
+    """Every edge of the runs listed beside each text: its nodes, its second fingerprint, its place and that in its run."""
     for batch in batches:
         ids, lists = batch.column("id").to_numpy(), batch.column("runs")
         for row, end, data, offsets in C.slices(batch):
@@ -54,8 +54,7 @@ def edges_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             local = np.repeat(p, k) + o
             s = first[text] + local
             yield pa.RecordBatch.from_arrays([
-                pa.array(C.signed(h.of(s, s + n))), pa.array(C.signed(h.of(s, s + n - 1))), pa.array(C.signed(h.of(s + 1, s + n))),
-                pa.array(C.signed(other.of(s, s + n))), pa.array(ids[row + text]), pa.array(local.astype(np.int32)),
+                pa.array(C.signed(h.of(s, s + n - 1))), pa.array(C.signed(h.of(s + 1, s + n))), pa.array(C.signed(other.of(s, s + n))), pa.array(ids[row + text]), pa.array(local.astype(np.int32)),
                 pa.array(np.repeat(flat.field("content").to_numpy(), k)), pa.array(o.astype(np.int32)),
                 pa.array(np.repeat(np.asarray(flat.field("copied").to_pylist(), bool), k))], schema=_EDGES)
 
@@ -89,15 +88,17 @@ def compact(edges: DataFrame, label: str) -> DataFrame:
     """
     ends = edges.select(F.col("tail").alias("node"), F.col("edge").alias("leaves"), F.lit(None).cast("long").alias("enters")).unionByName(
         edges.select(F.col("head").alias("node"), F.lit(None).cast("long").alias("leaves"), F.col("edge").alias("enters")))
-    links = ends.groupBy("node").agg(F.count("leaves").alias("n_out"), F.count("enters").alias("n_in"),
-                                     F.max("leaves").alias("edge"), F.max("enters").alias("prev")).filter("n_out = 1 AND n_in = 1")
+    links = C.stored(ends.groupBy("node").agg(F.count("leaves").alias("n_out"), F.count("enters").alias("n_in"),
+                                              F.max("leaves").alias("edge"), F.max("enters").alias("prev"))
+                     .filter("n_out = 1 AND n_in = 1").select("edge", "prev"), f"{label}-links")
     text = Window.partitionBy("id").orderBy("p")
-    told = edges.select("edge", "id", "p").join(links.select("edge", "prev"), "edge", "left").select(
+    told = edges.select("edge", "id", "p").join(links, "edge", "left").select(
         "edge", "id", "p", "prev", ((F.lag("edge").over(text) == F.col("prev")) & (F.lag("p").over(text) == F.col("p") - 1)).alias("on"))
     begun = F.last(F.when(~F.coalesce("on", F.lit(False)), F.struct("edge", "p")), ignorenulls=True).over(
         text.rowsBetween(Window.unboundedPreceding, 0))
     located = C.stored(told.withColumn("begun", begun).select(
         "edge", "prev", F.col("begun.edge").alias("seg"), (F.col("p") - F.col("begun.p")).alias("off")), f"{label}-located")
+    C.forget(links)
     sizes = C.stored(located.groupBy("seg").agg(F.count(F.lit(1)).alias("len"), F.max(F.when(F.col("off") == 0, F.col("prev"))).alias("prev")), f"{label}-segments")
     before = (sizes.filter("prev IS NOT NULL").select("seg", F.col("prev").alias("edge"))
               .join(located.select("edge", F.col("seg").alias("ptr")), "edge").drop("edge")
@@ -112,7 +113,9 @@ def compact(edges: DataFrame, label: str) -> DataFrame:
         opened = chain.join(round_ones, "seg").select("seg", F.when(cut, F.col("seg")).otherwise(F.col("ptr")).alias("ptr"),
                                                       F.when(cut, 0).otherwise(F.col("dist")).cast("long").alias("dist"))
         ended = ended.unionByName(_follow(opened, f"{label}-cycles").select("seg", "root", "dist"))
-    return located.join(ended, "seg").select("edge", F.col("root").alias("unitig"), (F.col("dist") + F.col("off")).alias("at"))
+    paths = C.stored(located.join(ended, "seg").select("edge", F.col("root").alias("unitig"), (F.col("dist") + F.col("off")).alias("at")), f"{label}-unitigs")
+    C.forget(located, sizes, chain)
+    return paths
 
 
 def pieces_of_corpus(rows: DataFrame, n: int, q: int) -> DataFrame:
@@ -132,20 +135,22 @@ def pieces_of_corpus(rows: DataFrame, n: int, q: int) -> DataFrame:
         .filter("copied OR many"), "op5-classes")
     wanted = classes.select("lo.id", F.struct("lo.p", "k", "content", "copied").alias("run")).groupBy("id").agg(F.collect_list("run").alias("runs"))
     windows = C.stored(rows.select("id", "text").join(wanted, "id").mapInArrow(
-        lambda b: edges_of(b, n), "edge long, tail long, head long, proof long, id long, p int, content long, o int, copied boolean"), "op5-windows")
-    edges = C.stored(windows.groupBy("edge", "proof").agg(
+        lambda b: edges_of(b, n), "tail long, head long, proof long, id long, p int, content long, o int, copied boolean"), "op5-windows")
+    edge = F.xxhash64("tail", "head").alias("edge")                             # both nodes together are the words of the edge
+    edges = C.stored(windows.groupBy("tail", "head", "proof").agg(
         F.max("copied").alias("copied"), F.min("id").alias("id"), F.max("id").alias("hi"), F.min("p").alias("a"), F.max("p").alias("b"),
-        F.min_by("p", "id").alias("p"), F.max("tail").alias("tail"), F.max("head").alias("head"))
-        .filter("copied OR id <> hi OR a <> b").select("edge", "tail", "head", "id", "p"), "op5-edges")
-    paths = C.stored(compact(edges, "op5"), "op5-unitigs")
+        F.min_by("p", "id").alias("p")).filter("copied OR id <> hi OR a <> b").select("tail", "head", "id", "p"), "op5-edges")
+    paths = compact(edges.select(edge, "*"), "op5")
+    C.forget(edges)
     run = Window.partitionBy("content").orderBy("o")
-    laid = (windows.select("edge", "proof", "content", "o").join(paths, "edge").drop("edge")
+    laid = (windows.select(edge, "proof", "content", "o").join(paths, "edge").drop("edge")
             .withColumn("o_before", F.lag("o").over(run)).filter("o_before IS NULL OR o_before <> o")     # rows that repeat another wholly
             .withColumn("new", (F.coalesce(F.lag("o").over(run), F.lit(-2)) != F.col("o") - 1) | (F.lag("unitig").over(run) != F.col("unitig"))
                         | (F.lag("at").over(run) != F.col("at") - 1))
             .withColumn("piece", F.count_if("new").over(run)))
-    pieces = laid.groupBy("content", "piece").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("k"), F.first("unitig").alias("unitig"),
-                                                  F.min("at").alias("at"), F.bit_xor("proof").alias("proof"))
+    pieces = C.stored(laid.groupBy("content", "piece").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("k"), F.first("unitig").alias("unitig"),
+                                                           F.min("at").alias("at"), F.bit_xor("proof").alias("proof")), "op5-pieces")
+    C.forget(windows, paths)
     pieces = pieces.join(classes.select("content", "shares"), "content")
     shared = pieces.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("piece", "shares")
     placed = met.select("content", "id", "p", F.pmod(F.xxhash64("id", "p"), "shares").alias("share")).join(shared, ["content", "share"])
