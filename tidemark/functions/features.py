@@ -26,6 +26,7 @@ class Feature:
     carry: bool = False                    # ``expr`` is an event to be carried forward
     first: int = 0                         # the bar it is defined from, if its inputs have no holes
     params: tuple = ()                     # what tells it from others of the same inputs, beyond the name
+    span: int = 0                          # how many bars before its own ``expr`` reads its inputs
 
     @property
     def c(self) -> Column:
@@ -35,14 +36,16 @@ class Feature:
 _KNOWN: dict[str, Feature] = {}
 
 
-def feature(name: str, deps, expr, carry: bool = False, first: int | None = None, params: tuple = ()) -> Feature:
+def feature(name: str, deps, expr, carry: bool = False, first: int | None = None, params: tuple = (),
+            span: int = 0) -> Feature:
     """Get or define the feature ``name``. One name cannot stand for two definitions: other inputs or
-    parameters under a known name are refused. ``first`` is that of the latest input unless given."""
+    parameters under a known name are refused. ``first`` is that of the latest input unless given.
+    ``span`` must cover every window and lag of ``expr``: the halo of a panel is derived from it."""
     deps = tuple(deps)
     if first is None:
         first = max((d.first for d in deps), default=0)
-    have = _KNOWN.setdefault(name, Feature(name, deps, expr, carry, first, params))
-    if ([d.name for d in have.deps], have.first, have.params, have.carry) != ([d.name for d in deps], first, params, carry):
+    have = _KNOWN.setdefault(name, Feature(name, deps, expr, carry, first, params, span))
+    if ([d.name for d in have.deps], have.first, have.params, have.carry, have.span) != ([d.name for d in deps], first, params, carry, span):
         raise ValueError(f"'{name}' is already defined with other inputs or parameters")
     return have
 
@@ -75,7 +78,7 @@ def pos_in_block() -> Column:
 def lag(x: Feature, k: int = 1) -> Feature:
     if k < 1:
         raise ValueError("lag only reads the past (k >= 1)")
-    return feature(f"{x.name}_l{k}", [x], lambda: F.lag(x.c, k).over(win()), first=x.first + k)
+    return feature(f"{x.name}_l{k}", [x], lambda: F.lag(x.c, k).over(win()), first=x.first + k, span=k)
 
 
 def guard(n: int, x: Feature, value: Column, skip: int = 0, holes: bool = False) -> Column:
@@ -91,9 +94,9 @@ def guard(n: int, x: Feature, value: Column, skip: int = 0, holes: bool = False)
 def prefix(x: Feature) -> tuple[Feature, Feature]:
     """(running sum inside the 512-bar block, total of the block before)."""
     p = feature(f"{x.name}_ps", [x],
-                lambda: F.sum(F.coalesce(x.c, F.lit(0.0))).over(block_running()))
+                lambda: F.sum(F.coalesce(x.c, F.lit(0.0))).over(block_running()), span=BLOCK)
     t = feature(f"{x.name}_pt", [x],
-                lambda: F.coalesce(F.sum(x.c).over(blocks_before(1)), F.lit(0.0)))
+                lambda: F.coalesce(F.sum(x.c).over(blocks_before(1)), F.lit(0.0)), span=2 * BLOCK)
     return p, t
 
 
@@ -104,20 +107,21 @@ def rsum(x: Feature, n: int, holes: bool = False) -> Feature:
     name = f"{x.name}_sum{n}" + ("_holes" if holes else "")
     if n > BLOCK:
         # bar i-n lies n // BLOCK blocks back, or one more when i stands too near its block's start
-        less, more = (feature(f"{x.name}_pt{m}", [x], lambda m=m: F.coalesce(F.sum(x.c).over(blocks_before(m)), F.lit(0.0)))
+        less, more = (feature(f"{x.name}_pt{m}", [x], lambda m=m: F.coalesce(F.sum(x.c).over(blocks_before(m)), F.lit(0.0)),
+                              span=(m + 1) * BLOCK)
                       for m in (n // BLOCK, n // BLOCK + 1))
 
         def far():
             old = F.coalesce(F.lag(p.c, n).over(win()), F.lit(0.0))
             return guard(n, x, p.c + F.when(pos_in_block() >= n % BLOCK, less.c).otherwise(more.c) - old, holes=holes)
-        return feature(name, [x, p, less, more], far, first=x.first + n - 1)
+        return feature(name, [x, p, less, more], far, first=x.first + n - 1, span=n)
 
     def e():
         at = pos_in_block()
         old = F.lag(p.c, n).over(win())
         total = F.when(at >= n, p.c - old).when(at == n - 1, p.c).otherwise(p.c + (t.c - old))
         return guard(n, x, total, holes=holes)
-    return feature(name, [x, p, t], e, first=x.first + n - 1)
+    return feature(name, [x, p, t], e, first=x.first + n - 1, span=n)
 
 
 def sma(x: Feature, n: int, holes: bool = False) -> Feature:
@@ -126,17 +130,45 @@ def sma(x: Feature, n: int, holes: bool = False) -> Feature:
 
 
 def std(x: Feature, n: int) -> Feature:
-    return feature(f"{x.name}_std{n}", [x], lambda: guard(n, x, F.stddev_pop(x.c).over(rows(n))), first=x.first + n - 1)
+    return feature(f"{x.name}_std{n}", [x], lambda: guard(n, x, F.stddev_pop(x.c).over(rows(n))), first=x.first + n - 1, span=n - 1)
+
+
+NEAR = 32                   # windows up to this many bars are compared value by value
+
+
+def _doubled(x: Feature, k: int, best: str) -> Feature:
+    """Extreme of the last 2**k bars (fewer at the head) as that of two halves."""
+    if k == 0:
+        return x
+    half = _doubled(x, k - 1, best)
+    pick = F.greatest if best == "max" else F.least
+    return feature(f"{x.name}_{best}_of_{1 << k}", [half], lambda: pick(half.c, F.lag(half.c, 1 << (k - 1)).over(win())),
+                   first=x.first, span=1 << (k - 1))
+
+
+def _extreme(name: str, x: Feature, n: int, skip: int, best: str, defined: Feature) -> Feature:
+    """Extreme of the n bars ending ``skip`` bars ago, of numbers or structs, where ``defined`` has a value n bars back.
+
+    A long window is covered by two overlapping ones of a power of two, each built from halves: log2(n) lags a bar
+    instead of n comparisons, all in the one sort order of the panel, and shared by every length over the same input.
+    """
+    if n <= NEAR:
+        over = F.max if best == "max" else F.min
+        return feature(name, [x, defined], lambda: guard(n, defined, over(x.c).over(rows(n, skip)), skip),
+                       first=x.first + n - 1 + skip, span=n - 1 + skip)
+    k = n.bit_length() - 1
+    part, pick = _doubled(x, k, best), F.greatest if best == "max" else F.least
+    ends = (skip, skip + n - (1 << k))
+    return feature(name, [part, defined], lambda: guard(n, defined, pick(*[
+        F.lag(part.c, e).over(win()) if e else part.c for e in ends]), skip), first=x.first + n - 1 + skip, span=n - 1 + skip)
 
 
 def rmax(x: Feature, n: int, skip: int = 0) -> Feature:
-    return feature(f"{x.name}_max{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x, F.max(x.c).over(rows(n, skip)), skip), first=x.first + n - 1 + skip)
+    return _extreme(f"{x.name}_max{n}" + (f"_p{skip}" if skip else ""), x, n, skip, "max", x)
 
 
 def rmin(x: Feature, n: int, skip: int = 0) -> Feature:
-    return feature(f"{x.name}_min{n}" + (f"_p{skip}" if skip else ""), [x],
-                   lambda: guard(n, x, F.min(x.c).over(rows(n, skip)), skip), first=x.first + n - 1 + skip)
+    return _extreme(f"{x.name}_min{n}" + (f"_p{skip}" if skip else ""), x, n, skip, "min", x)
 
 
 def roc(x: Feature, n: int) -> Feature:
@@ -144,13 +176,13 @@ def roc(x: Feature, n: int) -> Feature:
     def e():
         p = F.lag(x.c, n).over(win())
         return F.when(p != 0, (x.c / p - 1.0) * 100.0).when(p == 0, 0.0)
-    return feature(f"{x.name}_roc{n}", [x], e, first=x.first + n)
+    return feature(f"{x.name}_roc{n}", [x], e, first=x.first + n, span=n)
 
 
 def slope(x: Feature, n: int) -> Feature:
     """Least-squares slope against 0..n-1."""
     return feature(f"{x.name}_slope{n}", [x], lambda: guard(
-        n, x, F.regr_slope(x.c, F.col("bar_idx").cast("double")).over(rows(n))))
+        n, x, F.regr_slope(x.c, F.col("bar_idx").cast("double")).over(rows(n))), span=n - 1)
 
 
 def rank_pct(x: Feature, n: int) -> Feature:
@@ -159,7 +191,7 @@ def rank_pct(x: Feature, n: int) -> Feature:
         arr = F.collect_list(x.c).over(rows(n))
         below = F.size(F.filter(arr, lambda v: v < x.c))
         return F.when(x.c.isNotNull() & (F.size(arr) == n), below / F.lit(float(n - 1)))
-    return feature(f"{x.name}_rank{n}", [x], e)
+    return feature(f"{x.name}_rank{n}", [x], e, span=n - 1)
 
 
 def hold_bars(ev: Feature, n: int) -> Feature:
@@ -168,7 +200,7 @@ def hold_bars(ev: Feature, n: int) -> Feature:
         last = F.last(F.when(ev.c != 0, F.struct(F.col("bar_idx").alias("i"), ev.c.alias("v"))),
                       ignorenulls=True).over(rows(n))
         return F.coalesce(last["v"], F.lit(0))
-    return feature(f"{ev.name}_hold{n}", [ev], e)
+    return feature(f"{ev.name}_hold{n}", [ev], e, span=n - 1)
 
 
 def ffill(x: Feature) -> Feature:
@@ -199,7 +231,7 @@ def affine(name: str, u: Feature, q: float, first: int) -> Feature:
     m = q ** BLOCK
     reach = max(1, math.ceil(40.0 / (loss * BLOCK)))
     p = feature(f"{name}_blk", [u], lambda: F.pow(F.lit(q), pos_in_block()) * F.sum(
-        u.c * F.pow(F.lit(q), -pos_in_block())).over(block_running()))
+        u.c * F.pow(F.lit(q), -pos_in_block())).over(block_running()), span=BLOCK)
 
     def e():
         end = F.when(F.pmod(F.col("bar_idx"), F.lit(BLOCK)) == BLOCK - 1, p.c)
@@ -210,7 +242,7 @@ def affine(name: str, u: Feature, q: float, first: int) -> Feature:
                                 lambda acc, v: acc * m + v)
         y = p.c + F.pow(F.lit(q), pos_in_block() + 1) * carry
         return F.when(F.col("bar_idx") >= first, y)
-    return feature(name, [p], e, first=first, params=(q,))
+    return feature(name, [p], e, first=first, params=(q,), span=(reach + 1) * BLOCK)
 
 
 def _first(x: Feature, start: int, n: int) -> Column:
@@ -227,7 +259,7 @@ def smooth(name: str, x: Feature, n: int, alpha: float, start: int) -> Feature:
     def e():
         return (F.when(F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)) * alpha)
                 .when(F.col("bar_idx") == at, _first(x, start, n) / n).otherwise(0.0))
-    return affine(name, feature(f"{name}_u", [x], e), 1.0 - alpha, at)
+    return affine(name, feature(f"{name}_u", [x], e, span=n), 1.0 - alpha, at)
 
 
 def trailing(name: str, x: Feature, n: int, start: int, seed: str = "mean") -> Feature:
@@ -244,7 +276,7 @@ def trailing(name: str, x: Feature, n: int, start: int, seed: str = "mean") -> F
         step = F.coalesce(x.c - F.lag(x.c, 1).over(win()), F.lit(0.0))
         first = x.c - _first(x, start, n) / n if seed == "mean" else F.lit(0.0)
         return (F.when(F.col("bar_idx") > at, q * step).when(F.col("bar_idx") == at, first).otherwise(0.0))
-    d = affine(f"{name}_d", feature(f"{name}_du", [x], e), q, at)
+    d = affine(f"{name}_d", feature(f"{name}_du", [x], e, span=n), q, at)
     return feature(name, [x, d], lambda: x.c - d.c, first=at)
 
 
@@ -262,7 +294,7 @@ def wilder_sum(x: Feature, n: int, start: int) -> Feature:
     name = f"{x.name}_wsum{n}{since(x, start)}"
     u = feature(f"{name}_u", [x], lambda: F.when(
         F.col("bar_idx") > at, F.coalesce(x.c, F.lit(0.0)))
-        .when(F.col("bar_idx") == at, _first(x, start, n - 1)).otherwise(0.0))
+        .when(F.col("bar_idx") == at, _first(x, start, n - 1)).otherwise(0.0), span=n)
     return affine(name, u, 1.0 - 1.0 / n, at + 1)
 
 
@@ -270,9 +302,9 @@ def affine_varying(name: str, coef: Feature, u: Feature, first: int, slowest: fl
     """y_i = m_i·y_{i-1} + u_i with a per-bar coefficient in (0, 1]: same scheme, with block
     products kept as logs. ``slowest`` is the largest coefficient that can persist."""
     reach = max(1, math.ceil(40.0 / (-math.log(slowest) * BLOCK)))
-    lp = feature(f"{name}_lp", [coef], lambda: F.sum(F.ln(coef.c)).over(block_running()))
+    lp = feature(f"{name}_lp", [coef], lambda: F.sum(F.ln(coef.c)).over(block_running()), span=BLOCK)
     p = feature(f"{name}_blk", [lp, u],
-                lambda: F.exp(lp.c) * F.sum(u.c * F.exp(-lp.c)).over(block_running()))
+                lambda: F.exp(lp.c) * F.sum(u.c * F.exp(-lp.c)).over(block_running()), span=BLOCK)
 
     def e():
         end = F.when(F.pmod(F.col("bar_idx"), F.lit(BLOCK)) == BLOCK - 1,
@@ -280,14 +312,14 @@ def affine_varying(name: str, coef: Feature, u: Feature, first: int, slowest: fl
         carry = F.aggregate(F.collect_list(end).over(blocks_before(reach)), F.lit(0.0),
                             lambda acc, v: acc * v["m"] + v["y"])
         return F.when(F.col("bar_idx") >= first, p.c + F.exp(lp.c) * carry)
-    return feature(name, [p], e, first=first, params=(slowest,))
+    return feature(name, [p], e, first=first, params=(slowest,), span=(reach + 1) * BLOCK)
 
 
 # ------------------------------------------------------------------ named indicators
 
-def row(name: str, deps, fn) -> Feature:
-    """A plain expression over other features."""
-    return feature(name, deps, fn)
+def row(name: str, deps, fn, span: int = 0) -> Feature:
+    """An expression over other features, of the same bar unless ``span`` says otherwise."""
+    return feature(name, deps, fn, span=span)
 
 
 RANGE = row("range", [HIGH, LOW], lambda: F.col("high") - F.col("low"))
@@ -369,9 +401,9 @@ def aroon(n: int = 25) -> tuple[Feature, Feature]:
         return F.col("bar_idx") - at["i"] * sgn
     full = lambda: F.lag(HIGH.c, n).over(win()).isNotNull()
     up = row(f"aroon_up{n}", [HIGH, IDX], lambda: F.when(
-        full(), 100.0 * (n - age(F.max, HIGH.c, 1)) / n))
+        full(), 100.0 * (n - age(F.max, HIGH.c, 1)) / n), span=n)
     dn = row(f"aroon_dn{n}", [LOW, IDX], lambda: F.when(
-        full(), 100.0 * (n - age(F.min, LOW.c, -1)) / n))
+        full(), 100.0 * (n - age(F.min, LOW.c, -1)) / n), span=n)
     return up, dn
 
 
@@ -390,7 +422,7 @@ def kama(n: int = 10) -> Feature:
     m = row(f"kama{n}_m", [al], lambda: F.coalesce(1.0 - al.c, F.lit(1.0)))
     # as in ``trailing``: the distance from the price is scanned, seeded with 0 at bar n-1
     u = feature(f"kama{n}_u", [m, CLOSE], lambda: F.when(
-        F.col("bar_idx") >= n, m.c * F.coalesce(CLOSE.c - F.lag(CLOSE.c, 1).over(win()), F.lit(0.0))).otherwise(0.0))
+        F.col("bar_idx") >= n, m.c * F.coalesce(CLOSE.c - F.lag(CLOSE.c, 1).over(win()), F.lit(0.0))).otherwise(0.0), span=1)
     d = affine_varying(f"kama{n}_d", m, u, n, 1.0 - slow ** 2)
     return row(f"kama{n}", [d, CLOSE], lambda: CLOSE.c - d.c)
 
@@ -409,7 +441,7 @@ def cci(n: int = 20) -> Feature:
         mad = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean.c)) / n
         return F.when(mean.c.isNotNull(), F.when(mad > 0, (TYPICAL.c - mean.c) / (0.015 * mad))
                       .otherwise(0.0))
-    return feature(f"cci{n}", [TYPICAL, mean], e)
+    return feature(f"cci{n}", [TYPICAL, mean], e, span=n - 1)
 
 
 SIGNED_VOLUME = row("obv_step", [CLOSE, _PC, VOLUME], lambda: F.when(
@@ -448,6 +480,9 @@ def mfi(n: int = 14) -> Feature:
                .when(a.c.isNotNull(), 0.0))
 
 
+DAY_BARS = 1_440            # a day of the finest timeframe
+
+
 def session_vwap() -> tuple[Feature, Feature, Feature]:
     """(vwap, volume-weighted σ, bar of the day), accumulated from UTC midnight."""
     from pyspark.sql import Window as W
@@ -457,11 +492,11 @@ def session_vwap() -> tuple[Feature, Feature, Feature]:
     day = row("utc_day", [TS], lambda: day_of(F.col("open_time_ms")))
     w = lambda: W.partitionBy(*KEYS, "utc_day").orderBy("bar_idx").rowsBetween(
         W.unboundedPreceding, 0)
-    v = feature("sess_vol", [day], lambda: F.sum(VOLUME.c).over(w()))
-    pv = feature("sess_pv", [day, TYPICAL], lambda: F.sum(TYPICAL.c * VOLUME.c).over(w()))
-    pv2 = feature("sess_pv2", [day, TYPICAL], lambda: F.sum(TYPICAL.c * TYPICAL.c * VOLUME.c).over(w()))
+    v = feature("sess_vol", [day], lambda: F.sum(VOLUME.c).over(w()), span=DAY_BARS)
+    pv = feature("sess_pv", [day, TYPICAL], lambda: F.sum(TYPICAL.c * VOLUME.c).over(w()), span=DAY_BARS)
+    pv2 = feature("sess_pv2", [day, TYPICAL], lambda: F.sum(TYPICAL.c * TYPICAL.c * VOLUME.c).over(w()), span=DAY_BARS)
     k = feature("sess_bar", [day], lambda: F.row_number().over(
-                W.partitionBy(*KEYS, "utc_day").orderBy("bar_idx")))
+                W.partitionBy(*KEYS, "utc_day").orderBy("bar_idx")), span=DAY_BARS)
     vwap = row("vwap", [v, pv], lambda: F.when(v.c > 0, pv.c / v.c))
     sd = row("vwap_sd", [vwap, pv2, v], lambda: F.when(
         v.c > 0, F.sqrt(F.greatest(pv2.c / v.c - vwap.c * vwap.c, F.lit(0.0)))))
@@ -475,7 +510,7 @@ def session_open() -> Feature:
     from tidemark.operators.panel import KEYS
     day = row("utc_day", [TS], lambda: day_of(F.col("open_time_ms")))
     return feature("sess_open", [day, OPEN], lambda: F.first(OPEN.c).over(
-        W.partitionBy(*KEYS, "utc_day").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0)))
+        W.partitionBy(*KEYS, "utc_day").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0)), span=DAY_BARS)
 
 
 AO = row("ao", [sma(MEDIAN, 5), sma(MEDIAN, 34)],
@@ -484,14 +519,11 @@ AO = row("ao", [sma(MEDIAN, 5), sma(MEDIAN, 34)],
 
 def prior_extreme(high_side: bool, far: int = 100, near: int = 10) -> Feature:
     """Close and oscillator at the extreme close of bars [i-far, i-near]; first on ties."""
-    def e():
-        w = win().rowsBetween(-far, -near)
-        s = F.struct(CLOSE.c.alias("c"), (F.col("bar_idx") * (-1 if high_side else 1)).alias("i"),
-                     AO.c.alias("ao"))
-        return F.when(F.lag(CLOSE.c, far).over(win()).isNotNull(),
-                      (F.max(s) if high_side else F.min(s)).over(w))
+    tag = "hi" if high_side else "lo"
+    at = row(f"prior_{tag}_at", [AO, CLOSE, IDX], lambda: F.struct(
+        CLOSE.c.alias("c"), (F.col("bar_idx") * (-1 if high_side else 1)).alias("i"), AO.c.alias("ao")))
     away = "" if (far, near) == (100, 10) else f"_{far}_{near}"
-    return feature(("prior_hi" if high_side else "prior_lo") + away, [AO, CLOSE, IDX], e)
+    return _extreme(f"prior_{tag}{away}", at, far - near + 1, near, "max" if high_side else "min", CLOSE)
 
 
 RS_TERM = row("rs_term", [OPEN, HIGH, LOW, CLOSE], lambda: F.when(
@@ -503,7 +535,7 @@ RS_TERM = row("rs_term", [OPEN, HIGH, LOW, CLOSE], lambda: F.when(
 def rs_vol(n: int = 24) -> Feature:
     # summed in bar order for every window: quiet stretches give exactly equal values, which a
     # difference of running sums would blur, and the percentile rank counts ties
-    m = feature(f"rs_mean{n}", [RS_TERM], lambda: guard(n, RS_TERM, F.sum(RS_TERM.c).over(rows(n)) / n, holes=True))
+    m = feature(f"rs_mean{n}", [RS_TERM], lambda: guard(n, RS_TERM, F.sum(RS_TERM.c).over(rows(n)) / n, holes=True), span=n - 1)
     return row(f"rs_vol{n}", [m], lambda: F.sqrt(m.c))
 
 
@@ -520,10 +552,10 @@ def nvi_rel() -> Feature:
 
 FR_HI = feature("fractal_hi", [HIGH], lambda: F.when(
     F.lag(HIGH.c, 4).over(win()).isNotNull() & (F.lag(HIGH.c, 2).over(win()) == F.max(HIGH.c).over(rows(5))),
-    F.lag(HIGH.c, 2).over(win())))
+    F.lag(HIGH.c, 2).over(win())), span=4)
 FR_LO = feature("fractal_lo", [LOW], lambda: F.when(
     F.lag(LOW.c, 4).over(win()).isNotNull() & (F.lag(LOW.c, 2).over(win()) == F.min(LOW.c).over(rows(5))),
-    F.lag(LOW.c, 2).over(win())))
+    F.lag(LOW.c, 2).over(win())), span=4)
 SWING_HI, SWING_LO = ffill(FR_HI), ffill(FR_LO)
 _PH, _PL = lag(SWING_HI), lag(SWING_LO)
 SWING_HI2 = ffill(row("fractal_hi_prev", [FR_HI, _PH], lambda: F.when(FR_HI.c.isNotNull(), _PH.c)))
@@ -551,7 +583,7 @@ def side(up: Column, dn: Column) -> Column:
 
 def fresh(name: str, cond: Feature) -> Feature:
     """Rising edge of a boolean feature; the first bar keeps the condition."""
-    return feature(name, [cond], lambda: cond.c & ~F.coalesce(F.lag(cond.c).over(win()), F.lit(False)))
+    return feature(name, [cond], lambda: cond.c & ~F.coalesce(F.lag(cond.c).over(win()), F.lit(False)), span=1)
 
 
 # ------------------------------------------------------------------ candle shapes
@@ -572,7 +604,7 @@ LOWER = row("lower_wick", [OPEN, LOW, CLOSE], lambda: F.least(OPEN.c, CLOSE.c) -
 def _avg_before(x: Feature, n: int, skip: int = 1) -> Feature:
     """Mean of the n bars ending ``skip`` bars ago."""
     return feature(f"{x.name}_avg{n}_p{skip}", [x],
-                   lambda: guard(n, x, F.avg(x.c).over(rows(n, skip)), skip))
+                   lambda: guard(n, x, F.avg(x.c).over(rows(n, skip)), skip), span=n - 1 + skip)
 
 
 def engulfing() -> Feature:

@@ -39,7 +39,7 @@ def battery_rows(signals: DataFrame, returns: DataFrame, panel: Panel, *, horizo
     """(signal, bar) rows with the position now, one and two bars ago, and across the OOS purge."""
     j = signals.drop("open_time_ms").join(returns, ["symbol", "tf", "bar_idx"])
     if panel.split:
-        j = with_halo(j, "bar_idx", panel.chunk, panel.halo)
+        j = with_halo(j, "bar_idx", panel.chunk, max(2, horizon + 1))
     else:
         j = j.withColumn("ck", F.lit(0).cast("long"))
     w = W.partitionBy(*KEYS, "ck").orderBy("bar_idx")
@@ -109,7 +109,7 @@ def delay_sweep(rows: DataFrame, bar_ms: DataFrame, delays=(0, 1, 2, 3), cost_bp
     w = W.partitionBy(*KEYS, "ck").orderBy("bar_idx")
     base = rows
     if panel is not None and panel.split:
-        base = with_halo(rows.drop("ck"), "bar_idx", panel.chunk, panel.halo)
+        base = with_halo(rows.drop("ck"), "bar_idx", panel.chunk, max(delays) + 1)
     at = lambda k: F.coalesce(F.lag("w0", k).over(w), F.lit(0.0)) if k else F.col("w0")
     arr = F.array(*[F.struct(F.lit(k).alias("delay"), at(k).alias("p"), at(k + 1).alias("q")) for k in delays])
     d = base.withColumn("_d", arr)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features as X
 from tidemark.functions.features import Feature
-from tidemark.operators.panel import Panel, carry_last, carry_sum
+from tidemark.operators.panel import CHUNK, MAX_HALO, Panel, carry_last, carry_sum
 
 
 def _levels(wanted: Iterable[Feature]) -> list[list[Feature]]:
@@ -35,9 +35,38 @@ def _carry_depth(f: Feature) -> int:
     return (1 if f.carry else 0) + max((_carry_depth(d) for d in f.deps), default=0)
 
 
+def served(panel: Panel, wanted: Iterable[Feature]) -> bool:
+    """Is the halo long enough for every wanted feature? Base columns are right in all of it; an expression loses its
+    span, a carry needs events from its trusted part on and is itself right there. Owned rows must be left."""
+    right: dict[Feature, int] = {}
+
+    def bars(f: Feature) -> int:
+        if f not in right:
+            got = min((bars(d) for d in f.deps), default=panel.halo) - f.span
+            if f.carry:
+                sub = panel.reach(_carry_depth(f))
+                got = sub if got >= sub else -1
+            right[f] = got
+        return right[f]
+    return all(bars(f) >= 0 for f in wanted)
+
+
+def reaching(panel: Panel, wanted: Iterable[Feature]) -> Panel:
+    """``panel`` with a halo, doubled as often as needed, that serves the wanted features; ``MAX_HALO`` is the end."""
+    wanted, halo = list(wanted), panel.halo
+    while panel.split and not served(Panel(panel.df, max(panel.chunk, halo) if halo > CHUNK else panel.chunk, halo, True), wanted):
+        halo *= 2
+        if halo > MAX_HALO:
+            break
+    return panel.widened(halo)
+
+
 def compute(panel: Panel, wanted: Iterable[Feature]) -> Panel:
     """Add the wanted features and everything they read. One select per level of the graph; a
-    level with carried features also resolves them across chunks."""
+    level with carried features also resolves them across chunks. A halo too short for what the
+    features read is widened first, so the panel that comes back may have another than that given."""
+    wanted = list(wanted)
+    panel = reaching(panel, wanted)
     for lv in _levels(wanted):
         plain = [f for f in lv if not f.carry]
         carried = [f for f in lv if f.carry]

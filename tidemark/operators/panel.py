@@ -20,7 +20,8 @@ from tidemark.session import lean_columns, materialize
 
 BLOCK = 512                 # closed-form block of the affine scan
 CHUNK = 65_536
-HALO = 8_192                # >= 30 / -ln(q) bars for the slowest smoother in the catalogue
+HALO = 8_192                # to begin with; ``compute`` widens it to what the wanted features read
+MAX_HALO = 1_048_576        # two years of minutes: a longer lookback is refused
 ROWS_PER_TASK = 40_000
 SERIES = ("symbol", "tf")
 KEYS = (*SERIES, "ck")
@@ -34,9 +35,25 @@ class Panel:
     chunk: int
     halo: int
     split: bool
+    n_rows: int = 0
 
     def with_df(self, df: DataFrame) -> Panel:
-        return Panel(df, self.chunk, self.halo, self.split)
+        return Panel(df, self.chunk, self.halo, self.split, self.n_rows)
+
+    def reach(self, depth: int) -> int:
+        """How far before its chunk a value carried ``depth`` times is trusted."""
+        return min(self.halo, self.chunk) >> depth
+
+    def widened(self, halo: int) -> Panel:
+        """The same rows with more of them copied before each chunk. Owned rows are right whatever the halo was,
+        so columns added so far come along."""
+        if not self.split or halo <= self.halo:
+            return self
+        if halo > MAX_HALO:
+            raise ValueError(f"a lookback of more than {MAX_HALO} bars is not served")
+        rows_ = self.owned()
+        # chunks grow with very long lookbacks, so copies stay at most as many as the rows themselves
+        return _cut(rows_, max(self.chunk, halo) if halo > CHUNK else self.chunk, halo, self.n_rows)
 
     def owned(self) -> DataFrame:
         """Drop the halo copies."""
@@ -60,21 +77,25 @@ def build_panel(bars: DataFrame, *, chunk: int = CHUNK, halo: int = HALO,
     if not stored:
         bars = materialize(bars, "bars")
     total, longest = bars.agg(F.count(F.lit(1)), F.max("n_bars")).first()
-    split = (longest or 0) > chunk
-    # Window stages are CPU-bound on narrow rows: size partitions by rows, not by bytes, so
-    # coalescing by shuffle bytes does not serialise them.
-    parallel = max(bars.sparkSession.sparkContext.defaultParallelism,
-                   int(total * (1 + (halo / chunk if split else 0)) // ROWS_PER_TASK) + 1)
+    if (longest or 0) > chunk:
+        return _cut(bars, chunk, halo, total)
+    df = bars.withColumn("ck", F.floor(F.col("bar_idx") / chunk))
+    return Panel(_spread(df, total), chunk, halo, False, total)
+
+
+def _cut(bars: DataFrame, chunk: int, halo: int, total: int) -> Panel:
+    """Every bar goes to its own chunk and to each later one whose halo holds it."""
     i = F.col("bar_idx")
-    own = F.floor(i / chunk)
-    if split:
-        last = F.floor((F.col("n_bars") - 1) / chunk)
-        cks = F.array_distinct(F.array(own, F.least(last, F.floor((i + halo) / chunk))))
-        df = bars.withColumn("ck", F.explode(cks))
-    else:
-        df = bars.withColumn("ck", own)
-    df = df.withColumn("blk", F.floor(i / BLOCK)).repartition(parallel, *KEYS)
-    return Panel(df, chunk, halo, split)
+    last = F.least(F.floor((F.col("n_bars") - 1) / chunk), F.floor((i + halo) / chunk))
+    df = bars.withColumn("ck", F.explode(F.sequence(F.floor(i / chunk), last)))
+    return Panel(_spread(df, int(total * (1 + halo / chunk))), chunk, halo, True, total)
+
+
+def _spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """Window stages are CPU-bound on narrow rows: partitions are sized by rows, not by bytes, so coalescing by
+    shuffle bytes does not serialise them."""
+    parallel = max(df.sparkSession.sparkContext.defaultParallelism, n_rows // ROWS_PER_TASK + 1)
+    return df.withColumn("blk", F.floor(F.col("bar_idx") / BLOCK)).repartition(parallel, *KEYS)
 
 
 # ------------------------------------------------------------------ windows
@@ -121,13 +142,13 @@ def carry_last(panel: Panel, cols: dict[str, str], depth: int) -> Panel:
     Inside a chunk it is a running ``last``. Where series are split, the part before the chunk
     comes from a summary table (one row per sub-chunk), scanned and joined back on the chunk key.
     Events in the first part of the halo are not trusted (their own lookback is cut off), so each
-    carry at ``depth`` d only uses events from ``halo / 2^d`` bars before the chunk on.
+    carry at ``depth`` d only uses events from ``panel.reach(d)`` bars before the chunk on.
     """
     if not panel.split:
         return panel.with_df(panel.df.select("*", *[
             F.last(c, ignorenulls=True).over(running()).alias(o) for o, c in cols.items()]))
     stored = panel.with_df(materialize(panel.df, "carry"))
-    sub = panel.halo >> depth
+    sub = panel.reach(depth)
     if sub < 1 or panel.chunk % sub:
         raise ValueError("halo too small for this many chained carries")
     per = panel.chunk // sub

@@ -42,8 +42,8 @@ def zigzag_states(panel: Panel, variants: Sequence[Variant] = (Variant(),)) -> D
                ).alias("zz_thr")) for v in variants])
     df = p.df.select("symbol", "tf", "ck", "bar_idx", "n_bars", "open_time_ms", "close",
                      a.c.alias("atr"), F.explode(arr).alias("v")).select("*", "v.*").drop("v")
-    return run_folds(df, [ZIGZAG], series=SERIES, order="bar_idx", chunk=panel.chunk,
-                     split=panel.split, keep=["open_time_ms", "n_bars", "close", "atr"])
+    return run_folds(df, [ZIGZAG], series=SERIES, order="bar_idx", chunk=p.chunk,
+                     split=p.split, keep=["open_time_ms", "n_bars", "close", "atr"])
 
 
 def confirmed_pivots(states: DataFrame) -> DataFrame:

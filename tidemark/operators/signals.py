@@ -48,8 +48,8 @@ def signal_positions(panel: Panel, names: Iterable[str] | None = None) -> DataFr
         p = compute(panel, [d for s in seq for d in s.deps])
         folds = list({s.fold.name: s.fold for s in seq}.values())
         keep = ["open_time_ms", "n_bars"] + (["close"] if any(f.name == "sar" for f in folds) else [])
-        out = run_folds(p.df, folds, series=("symbol", "tf"), order="bar_idx", chunk=panel.chunk,
-                        split=panel.split, keep=keep)
+        out = run_folds(p.df, folds, series=("symbol", "tf"), order="bar_idx", chunk=p.chunk,
+                        split=p.split, keep=keep)
         parts.append(_melt(out, seq))
     df = parts[0]
     for x in parts[1:]:

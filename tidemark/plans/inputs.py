@@ -62,6 +62,11 @@ def study_panel(spark, sf_dir: str) -> Panel:
     return build_panel(study_bars(spark, sf_dir), indexed=True, stored=True)
 
 
+def cut_study_panel(spark, sf_dir: str) -> Panel:
+    """The study bars in chunks so short that every series is split and most lookbacks pass a chunk's start."""
+    return build_panel(study_bars(spark, sf_dir), chunk=1_024, halo=512, indexed=True, stored=True)
+
+
 def event_minutes(spark, sf_dir: str) -> DataFrame:
     return ticks_to_minutes(event_ticks(spark, sf_dir, "event_type"))
 

@@ -389,7 +389,7 @@ def _q(spark, sf):
 
 # ------------------------------------------------------------------ indicators
 
-def _ind(name: str, make, build):
+def _ind(name: str, make, build, panel=inputs.study_panel):
     """``make()`` -> {column: feature}; ``build(g)`` -> {column: sql}. Values are rounded alike:
     six decimals, three for large ones."""
     g = oracle.Graph()
@@ -398,7 +398,7 @@ def _ind(name: str, make, build):
 
     def run(spark, sf):
         from tidemark.operators.indicators import indicators
-        d = indicators(inputs.study_panel(spark, sf), make())
+        d = indicators(panel(spark, sf), make())
         x = {k: F.col(k).cast("double") for k in cols}
         return d.select("symbol", "tf", "bar_idx", *[
             F.when(F.abs(v) < 100, rd(v, 6)).otherwise(F.round(v + 1.7e-7, 3)).alias(k) for k, v in x.items()])
@@ -424,6 +424,16 @@ def _register_indicators():
         g.add("macd", f"{a} - {b}", [a, b])
         return {"macd": "macd", "macd_signal": g.ema("macd", 9, 25)}
     _ind("ind_macd", lambda: dict(zip(("macd", "macd_signal"), X.macd())), macd)
+    _ind("sma_long_windows", lambda: {"sma600": X.sma(X.CLOSE, 600), "sma1500": X.sma(X.CLOSE, 1_500), "sum700": X.rsum(X.VOLUME, 700), "max900": X.rmax(X.HIGH, 900),
+                                      "min333": X.rmin(X.LOW, 333, 1), "std520": X.std(X.CLOSE, 520), "roc1100": X.roc(X.CLOSE, 1_100)},
+         lambda g: {"sma600": g.sma("close", 600), "sma1500": g.sma("close", 1_500), "sum700": g.sum("volume", 700), "max900": g.max("high", 900),
+                    "min333": g.min("low", 333, 1), "std520": g.std("close", 520), "roc1100": g.roc("close", 1_100)}, inputs.cut_study_panel)
+
+    def nested(g):
+        s, e = g.sma("close", 300), g.ema("close", 600)
+        return {"ema_of_sma": g.ema(s, 700, 299), "ema_of_ema": g.ema(e, 50, 599), "sma_of_ema": g.sma(e, 700), "top_of_ema": g.max(e, 400)}
+    _ind("rule_nested_averages", lambda: {"ema_of_sma": X.ema(X.sma(X.CLOSE, 300), 700, 299), "ema_of_ema": X.ema(X.ema(X.CLOSE, 600), 50, 599),
+                                          "sma_of_ema": X.sma(X.ema(X.CLOSE, 600), 700), "top_of_ema": X.rmax(X.ema(X.CLOSE, 600), 400)}, nested, inputs.cut_study_panel)
     _ind("ind_channels", lambda: {"max20": X.rmax(X.HIGH, 20), "min20": X.rmin(X.LOW, 20), "pmax55": X.rmax(X.HIGH, 55, 1), "pmin55": X.rmin(X.LOW, 55, 1),
                                   "willr": X.willr(), "aroon_up": X.aroon()[0], "aroon_dn": X.aroon()[1]},
          lambda g: {"max20": g.max("high", 20), "min20": g.min("low", 20), "pmax55": g.max("high", 55, 1), "pmin55": g.min("low", 55, 1),

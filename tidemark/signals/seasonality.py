@@ -40,7 +40,7 @@ _add("friday_derisk_short", "15m/1h", [_wd, _hour], lambda: side(NO(False), (_wd
 _a14 = X.atr(14)
 _ref = X.feature("friday_close", [X.TS, CLOSE], lambda: F.last(F.when(
     (weekday_of(F.col("open_time_ms")) == 4) & (hour_of(F.col("open_time_ms")) == 21), CLOSE.c),
-    ignorenulls=True).over(rows(97)))
+    ignorenulls=True).over(rows(97)), span=96)
 
 
 def _cme():
