@@ -42,41 +42,49 @@ def rejection_counts(plans: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def barrier_index(bars: DataFrame, max_bars: int = MAX_BARS) -> DataFrame:
+    """One row per series and bucket of ``max_bars`` bars: ``_w``, the bars of the bucket and of the next one in order.
+
+    Whatever bar an entry stands on, the ``max_bars`` bars after it are in the one row of the bucket they begin in. A row
+    holds at most twice ``max_bars`` bars, however long the series.
+    """
+    i = F.col("bar_idx")
+    bar = F.struct(i.alias("_j"), F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"), F.col("open_time_ms").alias("_t"))
+    b = bars.select("symbol", "tf", bar.alias("_x"), F.explode(F.array(F.floor(i / max_bars), F.floor(i / max_bars) - 1)).alias("_b"))
+    return b.filter("_b >= 0").groupBy("symbol", "tf", "_b").agg(F.sort_array(F.collect_list("_x")).alias("_w"))
+
+
 def triple_barrier(entries: DataFrame, bars: DataFrame, *, max_bars: int = MAX_BARS,
                    fine: DataFrame | None = None) -> DataFrame:
     """First touch of target or stop within ``max_bars`` bars after the entry bar.
 
-    ``entries(entry_id, symbol, tf, bar_idx, direction, entry, stop, target)``. A band join on
-    bar buckets of ``max_bars`` meets each entry with at most two buckets; everything after works
-    on its at most ``max_bars`` following bars. With ``fine`` (1m bars) a bar that touches both is
-    resolved by the first minute that touches one; otherwise it counts as stopped and ambiguous.
+    ``entries(entry_id, symbol, tf, bar_idx, direction, entry, stop, target)``. Each entry meets exactly
+    one row of :func:`barrier_index` and is resolved inside its own row: nothing fans out and nothing is
+    grouped again. With ``fine`` (1m bars) a bar that touches both is resolved by the first minute that
+    touches one; otherwise it counts as stopped and ambiguous.
     """
     spread = F.abs(F.col("entry") - F.col("stop"))
     e = entries.withColumn("_r", F.when(spread <= 0, F.raise_error(F.lit("zero risk")).cast("double"))
                            .otherwise(spread))
     i = F.col("bar_idx")
-    e = e.withColumn("_b", F.explode(F.array_distinct(F.array(
-        F.floor((i + 1) / max_bars), F.floor((i + max_bars) / max_bars)))))
-    b = bars.select("symbol", "tf", F.col("bar_idx").alias("_j"), F.col("high").alias("_h"),
-                    F.col("low").alias("_l"), F.col("close").alias("_c"),
-                    F.col("open_time_ms").alias("_t"), F.floor(F.col("bar_idx") / max_bars).alias("_b"))
-    near = e.join(b, ["symbol", "tf", "_b"], "left")
-    inside = F.col("_j").between(i + 1, i + max_bars)
+    e = e.withColumn("_b", F.floor((i + 1) / max_bars))
+    g = e.join(barrier_index(bars, max_bars), ["symbol", "tf", "_b"], "left")
+    g = g.withColumn("_w", F.filter("_w", lambda x: x["_j"].between(i + 1, i + max_bars)))
     long = F.col("direction") > 0
-    g = near.groupBy("entry_id").agg(
-        *[F.first(c).alias(c) for c in [*[x for x in entries.columns if x != "entry_id"], "_r"]],
-        F.sort_array(F.collect_list(F.when(inside, F.struct("_j", "_h", "_l", "_c", "_t")))).alias("_w"))
     tp = lambda x: F.when(long, x["_h"] >= F.col("target")).otherwise(x["_l"] <= F.col("target"))
     sl = lambda x: F.when(long, x["_l"] <= F.col("stop")).otherwise(x["_h"] >= F.col("stop"))
     g = g.withColumn("_hit", F.get(F.filter("_w", lambda x: tp(x) | sl(x)), F.lit(0)))
     hit = F.col("_hit")
-    g = g.withColumn("_seen", F.filter("_w", lambda x: F.col("_hit").isNull() | (x["_j"] <= F.col("_hit._j"))))
-    best = lambda f: F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform("_seen", f)), F.lit(0.0)))
-    fav = lambda x: F.when(long, x["_h"] - F.col("entry")).otherwise(F.col("entry") - x["_l"]) / F.col("_r")
-    adv = lambda x: F.when(long, F.col("entry") - x["_l"]).otherwise(x["_h"] - F.col("entry")) / F.col("_r")
-    n = F.size("_seen")
+    g = g.withColumn("_n", F.when(hit.isNotNull(), F.array_position(F.col("_w")["_j"], hit["_j"]))
+                     .otherwise(F.greatest(F.lit(0), F.coalesce(F.size("_w"), F.lit(0)))).cast("int"))
+    # the best and worst prices up to the touch are all that the excursions need
+    top = F.array_max(F.slice(F.col("_w")["_h"], F.lit(1), F.col("_n")))
+    bottom = F.array_min(F.slice(F.col("_w")["_l"], F.lit(1), F.col("_n")))
+    up, down = (top - F.col("entry")) / F.col("_r"), (F.col("entry") - bottom) / F.col("_r")
+    best = lambda a, b: F.greatest(F.lit(0.0), F.coalesce(F.when(long, a).otherwise(b), F.lit(0.0)))
+    n = F.col("_n")
     g = (g.withColumn("_tp", hit.isNotNull() & tp(hit)).withColumn("_sl", hit.isNotNull() & sl(hit))
-         .withColumn("mfe_r", best(fav)).withColumn("mae_r", best(adv)).withColumn("bars", n))
+         .withColumn("mfe_r", best(up, down)).withColumn("mae_r", best(down, up)).withColumn("bars", n))
     both = F.col("_tp") & F.col("_sl")
     g = g.withColumn("_first", F.lit(None).cast("string"))
     if fine is not None:
@@ -101,7 +109,7 @@ def triple_barrier(entries: DataFrame, bars: DataFrame, *, max_bars: int = MAX_B
             "_first", F.when(both & (F.col("_f") != "tie"), F.col("_f"))).drop("_f")
     won = (F.col("_tp") & ~F.col("_sl")) | (both & (F.coalesce("_first", F.lit("")) == "tp"))
     lost = (F.col("_sl") & ~F.col("_tp")) | (both & ~won)
-    last = F.try_element_at("_seen", F.lit(-1))
+    last = F.get("_w", n - 1)
     g = (g.withColumn("barrier", F.when(won, "tp").when(lost, "sl").otherwise("vertical"))
          .withColumn("r", F.when(won, F.abs(F.col("target") - F.col("entry")) / F.col("_r"))
                      .when(lost, -1.0).when(n == 0, 0.0)
