@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PICK = ["bars_lineitem_1d", "bars_events_resampled", "validate_bars", "fill_grid", "import_user_signals", "ind_wilder", "rule_positions",
+PICK = ["bars_lineitem_1d", "sma_long_windows", "rule_nested_averages", "bars_events_resampled", "validate_bars", "fill_grid", "import_user_signals", "ind_wilder", "rule_positions",
         "zigzag_pivots", "wave_candidates", "build_plans", "triple_barrier_signals", "evaluate_signals", "battery_summary", "random_control",
         "block_means", "audit_prefix_machines", "audit_planted_lookahead", "stream_pivots", "stream_resample", "stream_seeded_states", "stream_late_bars", "stream_late_kept", "stationary_bootstrap", "klines_file_report", "rc_alignment_gate", "signal_trend_psar_002_020",
         "signal_structure_choch", "signal_volatility_squeeze_bb_kc_release", "signal_flow_nvi_fosback", "signal_flow_obv_ema21"]

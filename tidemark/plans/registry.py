@@ -1472,6 +1472,16 @@ def _q(spark, sf):
     return signal_catalog(spark).join(n, "signal_name").select("family", "signal_name", "title", "prior", "min_warmup", "bars", "n_long", "n_short")
 
 
+@query("signals_over_chunks", f"""WITH {oracle.all_positions()} SELECT signal_name, symbol, tf, count(*) AS bars, count(*) FILTER (position = 1) AS n_long,
+  count(*) FILTER (position = -1) AS n_short, CAST(sum(position * bar_idx) AS BIGINT) AS places FROM pos GROUP BY 1, 2, 3""")
+def _q(spark, sf):
+    """All signals over series cut into short chunks, against whole series in SQL: how many bars each side holds, and where."""
+    pos = signal_positions(inputs.cut_study_panel(spark, sf))
+    return pos.groupBy("signal_name", "symbol", "tf").agg(
+        F.count(F.lit(1)).alias("bars"), F.count_if(F.col("position") == 1).alias("n_long"), F.count_if(F.col("position") == -1).alias("n_short"),
+        F.sum(F.col("position").cast("long") * F.col("bar_idx")).cast("long").alias("places"))
+
+
 @query("study_all_signals", f"""WITH RECURSIVE {_EV_CTES}, g AS (SELECT symbol, tf, count(*) AS k, max(edge) AS best_edge, arg_max(signal_name, (round(edge, 9), signal_name)) AS best_name, sum(n_effective) AS n_effective, count(*) FILTER (oos_edge > 1e-12::DOUBLE) AS positive_out FROM ev GROUP BY 1, 2)
   SELECT symbol, tf, k, best_name, round(best_edge, 7) AS best_edge, CAST(n_effective AS BIGINT) AS n_effective, positive_out FROM g""")
 def _q(spark, sf):
