@@ -271,3 +271,16 @@ def test_ingest_names_its_months(spark, tmp_path):
     ingest_bars(spark, root, b.drop("tf")).collect()
     plan = stored_keys(spark, root, ["2020-09"])._jdf.queryExecution().toString()
     assert "2020-09" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_pivot_stats_where_a_pivot_lies_at_zero(spark):
+    from tidemark.operators.pivots import pivot_stats
+    prices = {"1h": [4.0, 2.0, 3.0, 0.0, 5.0], "15m": [0.0, 5.0, 0.0, 5.0, 10.0], "4h": [0.0, 0.0], "1d": [7.0]}
+    p = [("S", tf, "k", i, x, 10 * i, 10 * i + 2 + i) for tf, xs in prices.items() for i, x in enumerate(xs)]
+    p = spark.createDataFrame(p, "symbol string, tf string, variant string, pivot_no long, price double, idx long, confirmed_idx long")
+    states = spark.createDataFrame([(tf, "k") for tf in prices for _ in range(100)], "tf string, variant string")
+    got = {r.tf: r for r in pivot_stats(p, states).collect()}
+    assert {tf: got[tf].median_leg_pct for tf in ("1h", "15m", "1d")} == {"1h": 75.0, "15m": math.inf, "1d": None}       # 50, 50, 100, inf; inf, 100, inf, 100
+    assert math.isnan(got["4h"].median_leg_pct)
+    assert {tf: (r.pivots, r.bars, r.median_lag, r.bars_per_pivot) for tf, r in got.items()} == {
+        "1h": (5, 100, 4.0, 20.0), "15m": (5, 100, 4.0, 20.0), "4h": (2, 100, 2.5, 50.0), "1d": (1, 100, 2.0, 100.0)}

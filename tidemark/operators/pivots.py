@@ -172,15 +172,21 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, piece
 
 
 def pivot_stats(pivots: DataFrame, states: DataFrame) -> DataFrame:
-    """Pivots, bars per pivot, median |leg| in percent and median confirmation lag per (tf, variant)."""
+    """Pivots, bars per pivot, median |leg| in percent and median confirmation lag per (tf, variant).
+
+    A leg that starts at price 0 is infinitely long, one from 0 to 0 is NaN; both sort last in the median, as in SQL. Where there is no
+    leg, its median is null.
+    """
     keys = ["tf", "variant"]
     p, w = pivot_windows(pivots, 1)
-    legs = own_pivots(p.withColumn("leg", F.abs(F.col("price") / F.lag("price").over(w) - 1.0) * 100.0))
+    p = p.withColumn("_prev", F.lag("price").over(w))
+    ratio = F.when(F.col("_prev") == 0, F.col("price") * float("inf")).otherwise(F.col("price") / F.col("_prev"))
+    legs = own_pivots(p.withColumn("leg", F.abs(ratio - 1.0) * 100.0))
     legs = legs.withColumn("lag", (F.col("confirmed_idx") - F.col("idx")).cast("double"))
     n = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pivots"))
     bars = states.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"))
     return (n.join(bars, keys)
-            .join(exact_median(legs, keys, "leg", "median_leg_pct"), keys)
+            .join(exact_median(legs, keys, "leg", "median_leg_pct"), keys, "left")
             .join(exact_median(legs, keys, "lag", "median_lag"), keys)
             .withColumn("bars_per_pivot", F.col("bars") / F.col("pivots")))
 
