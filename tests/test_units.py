@@ -284,3 +284,20 @@ def test_pivot_stats_where_a_pivot_lies_at_zero(spark):
     assert math.isnan(got["4h"].median_leg_pct)
     assert {tf: (r.pivots, r.bars, r.median_lag, r.bars_per_pivot) for tf, r in got.items()} == {
         "1h": (5, 100, 4.0, 20.0), "15m": (5, 100, 4.0, 20.0), "4h": (2, 100, 2.5, 50.0), "1d": (1, 100, 2.0, 100.0)}
+
+
+def test_rank_correlation_of_degenerate_outcomes(spark):
+    from tidemark.operators.outcomes import score_rank_corr
+
+    def corr(*rows):
+        return tuple(score_rank_corr(spark.createDataFrame(list(rows), "score double, r double").repartition(4)).first())
+
+    assert corr() == (0, None)
+    for rows in ([(1.0, 2.0)], [(1.0, 2.0), (1.0, 3.0)], [(1.0, 2.0), (2.0, 2.0)], [(0.1, float(i)) for i in range(7)], [(float(i), -1.0) for i in range(101)]):
+        n, c = corr(*rows)
+        assert n == len(rows) and math.isnan(c)
+    assert corr((1.0, 1.0), (2.0, 0.5), (3.0, 4.0)) == (3, pytest.approx(0.5))
+    # null ranks last: no outcome is the largest, and its row counts
+    assert corr((1.0, None), (2.0, 0.5), (3.0, 4.0)) == (3, pytest.approx(-0.5))
+    assert corr((None, 1.0), (2.0, 0.5), (3.0, 4.0)) == (3, pytest.approx(0.5))
+    assert corr((0.0, 1.0), (-0.0, 0.5), (3.0, 4.0)) == (3, pytest.approx(0.75**0.5))

@@ -186,11 +186,11 @@ def edge_ci(outcomes: DataFrame, *, draws: int = 1000, seed: int = 23, level: fl
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, average rank) over the whole table: equal values counted first, then ranked inside
-    quantile pieces shifted by the pieces before."""
+    quantile pieces shifted by the pieces before; null ranks last, after NaN."""
     v = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     cuts = sorted(set(v.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.002)))     # 63 numbers
     piece = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    v = v.withColumn("_b", piece)
+    v = v.withColumn("_b", F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(piece))
     sizes = v.groupBy("_b").agg(F.sum("_c").alias("_n"))
     offs = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(
         W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))          # at most 64 rows
@@ -200,7 +200,11 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def score_rank_corr(outcomes: DataFrame) -> DataFrame:
-    """Rank correlation of candidate score and outcome."""
+    """Rank correlation of candidate score and outcome: null without any, NaN where all scores or all outcomes are equal, as in SQL."""
     o = outcomes.select("score", "r")
-    j = o.join(average_rank(o, "score", "rs"), "score").join(average_rank(o, "r", "rr"), "r")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.corr("rs", "rr").alias("rank_corr"))
+    rs, rr = (average_rank(o, c, out).withColumnRenamed(c, f"_{c}") for c, out in (("score", "rs"), ("r", "rr")))
+    j = o.join(rs, F.col("score").eqNullSafe(F.col("_score"))).join(rr, F.col("r").eqNullSafe(F.col("_r")))
+    # F.corr divides by the deviations before any condition on them is looked at; sums of equal ranks need not cancel to exactly 0
+    a = j.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rs", "rr").alias("_cov"), F.stddev_pop("rs").alias("_s"), F.stddev_pop("rr").alias("_t"),
+              ((F.min("rs") == F.max("rs")) | (F.min("rr") == F.max("rr"))).alias("_flat"))
+    return a.select("n", F.when(F.col("_flat"), float("nan")).otherwise(F.col("_cov") / (F.col("_s") * F.col("_t"))).alias("rank_corr"))
