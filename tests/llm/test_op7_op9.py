@@ -77,6 +77,22 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     assert insults.count() >= 20 and insults.join(left, "doc_id", "left_semi").count() <= 0.05 * insults.count()
 
 
+def test_whole_rows_are_joined_once_for_both_verdicts(spark):
+    least = -(2**63)
+    rows = [(1, "plain words"), (1, "other words of the same id"), (2, "plain words"), (None, "plain words"), (None, None), (least, "plain words"), (least, "more"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (None, 1, 1), (least, 1, 1), (9, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = op9.keep_good(docs, labels)
+        assert left._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+        # a toxic label takes every text of its id; those of null ids, and of the id that stands for null, take no row of a null id
+        assert sorted((tuple(r) for r in left.collect()), key=repr) == sorted([rows[2], rows[3], rows[4], rows[7], rows[8]], key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_edges_of_the_sample(spark):
     docs = spark.createDataFrame([(None, None, "z"), (1, "", "z"), (2, "plain words here", "z"), (2, "plain words here", "z"), (3, "x" * 200_000, "z")], "doc_id long, text string, good string")
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")

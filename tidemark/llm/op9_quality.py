@@ -265,13 +265,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Of several texts of one id each stays or goes by itself; a label is one of all texts of its id, and a null id's says nothing of a row.
     """
-    i, th, told_id = C.fresh("id", "th", "told")
-    bad = resample(docs, labels, id_col, text_col, **options).filter("NOT kept OR toxic").select(F.col("id").alias(i), F.col("th").alias(th)).distinct()
-    left = docs.join(C.stored(bad, "op9-bad"), C.same_text(docs, id_col, text_col, i, th), "left_anti")
-    if "toxic" not in labels.columns:
-        return left
-    told = labels.filter("toxic = 1").select(F.col(id_col).cast("long").alias(told_id))
-    return left.join(told, left[id_col].cast("long") == F.col(told_id), "left_anti")
+    i, th, told_id, own = C.fresh("id", "th", "told", "own")
+    # verdicts meet on ids and hashes first, so that whole rows are joined, and their texts shuffled, only once
+    bad = resample(docs, labels, id_col, text_col, **options).select(F.col("id").alias(i), F.col("th").alias(th), (~F.col("kept") | F.col("toxic")).alias(own))
+    if "toxic" in labels.columns:
+        told = labels.filter("toxic = 1").select(F.col(id_col).cast("long").alias(told_id)).distinct()
+        bad = bad.join(told, F.col(i) == F.col(told_id), "left").filter(F.col(own) | F.col(told_id).isNotNull()).drop(told_id)
+    else:
+        bad = bad.filter(F.col(own))
+    gone = C.same_text(docs, id_col, text_col, i, th) & (F.col(own) | docs[id_col].cast("long").isNotNull())
+    return docs.join(C.stored(bad.distinct(), "op9-bad"), gone, "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
